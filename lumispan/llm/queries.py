@@ -27,7 +27,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc}
+def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.chunkbpe import round_trip_hashes
+
+    return round_trip_hashes(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.packing import pack_tokens
+
+    return pack_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.fingerprint import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op8_harmonic_packing": op8_harmonic_packing, "op10_prefix_fingerprints": op10_prefix_fingerprints}
 
 ORACLE_SQL = {
     "op2_warc": """
