@@ -33,6 +33,12 @@ def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_hashes(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumispan.llm.packing import pack_tokens
 
@@ -45,7 +51,7 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op8_harmonic_packing": op8_harmonic_packing, "op10_prefix_fingerprints": op10_prefix_fingerprints}
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op5_jaccard_join": op5_jaccard_join, "op8_harmonic_packing": op8_harmonic_packing, "op10_prefix_fingerprints": op10_prefix_fingerprints}
 
 ORACLE_SQL = {
     "op2_warc": """
