@@ -75,3 +75,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     vertices = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return vertices.unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def bucket_components(active: DataFrame, verify) -> DataFrame:
+    """(id, component) of ids that share buckets (key, id), by the pairs for which ``verify`` (DataFrame of u, v) finds links.
+
+    A first pass compares each id of a bucket with its smallest one; a second one compares all ids of a bucket whose
+    components still differ. What it skips is one component already.
+    """
+    least = active.groupBy("key").agg(F.min("id").alias("u"))
+    links = verify(active.join(least, "key").where("id != u").select("u", F.col("id").alias("v")))
+    parts = components(links)
+    placed = active.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = materialize(placed.join(mixed, "key"), "mixed")
+    a, b = left.alias("a"), left.alias("b")
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")))
+    return components(links.unionByName(verify(across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))))

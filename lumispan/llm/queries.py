@@ -45,13 +45,20 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.linededup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumispan.llm.fingerprint import compare_with_edits
 
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op5_jaccard_join": op5_jaccard_join, "op8_harmonic_packing": op8_harmonic_packing, "op10_prefix_fingerprints": op10_prefix_fingerprints}
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op5_jaccard_join": op5_jaccard_join, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints}
 
 ORACLE_SQL = {
     "op2_warc": """
