@@ -17,7 +17,7 @@ CACHE_ENTRIES = 400_000
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 _CONTROL = re.compile("[\x01\x1c-\x1f]")
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+_NOT_LATIN = re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ ]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -42,6 +42,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.entries = entries
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache before; what is used again moves on
         self.first: dict[str, bytes] = {}
         self.added = [a["content"] for a in spec["added_tokens"]]
         self.kind = self._kind(spec)
@@ -50,15 +51,15 @@ class WordEncoder:
         for k, v in self.full.get_vocab(with_added_tokens=True).items():
             names[v] = k
         self.names = names
-        if self.kind == "byte":
-            self.opens = np.array([n.startswith("Ġ") for n in names])
-        if self.kind == "word":
-            self.closes = np.array([n.endswith("</w>") for n in names])
+        self.opens = np.array([n.startswith("Ġ") for n in names])
+        self.closes = np.array([n.endswith("</w>") for n in names])
+        if self.kind != "other":
+            # the same merges without normalizer and pattern, for words that need neither
             self.alphabet = byte_alphabet() | {32: " "}
-            bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
             self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.tail = {c: self._whole(c) for c in ".,"}
             self.mark = self._whole("\x01")
-            self.points = {c: self._whole(c) for c in ".,"}
 
     def _kind(self, spec: dict) -> str:
         pre, norm, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
@@ -82,7 +83,7 @@ class WordEncoder:
         if self.kind == "other":
             return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
         if len(self.cache) > self.entries:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         if len(self.first) > self.entries // 4:
             self.first.clear()
         get, later, missing = self.cache.get, [], set()
@@ -98,7 +99,10 @@ class WordEncoder:
             else:
                 out[i] = b"".join(found)
         if missing:
-            self._learn(list(missing))
+            again = missing & self.older.keys()
+            self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self._learn(list(missing - again))
+            get = self.cache.get
             for i, words in later:
                 out[i] = b"".join(map(get, words))
         if self.kind == "byte":
@@ -125,9 +129,42 @@ class WordEncoder:
         return (_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" "))[1:]
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            (self._learn_byte if self.kind == "byte" else self._learn_word)(part)
+        for at in range(0, len(words), 16384):
+            odd = self._learn_plain(words[at : at + 16384])
+            if odd:
+                (self._learn_byte if self.kind == "byte" else self._learn_word)(odd)
+
+    def _cut(self, ids: np.ndarray) -> list[bytes]:
+        """The bytes of each word's ids: it begins, or ends, where the vocabulary says so."""
+        raw, k = ids.tobytes(), self.dtype.itemsize
+        if self.kind == "byte":
+            at = (np.flatnonzero(self.opens[ids]) * k).tolist()
+            return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+        at = ((np.flatnonzero(self.closes[ids]) + 1) * k).tolist()
+        return [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Learn the words of Latin letters, with a full stop or comma after them or not; returns the others."""
+        plain, odd, lower = [], [], self.kind == "word"
+        for w in words:
+            stem = w[:-1] if w[-1:] in self.tail else w
+            if stem.isalpha():
+                plain.append((w, stem))
+            else:
+                odd.append(w)
+        if _NOT_LATIN.search(" ".join([stem for _, stem in plain])):
+            odd += [w for w, stem in plain if _NOT_LATIN.search(stem)]
+            plain = [(w, stem) for w, stem in plain if not _NOT_LATIN.search(stem)]
+        if plain:
+            order = list({stem for _, stem in plain})
+            text = " ".join(order)
+            text = (text.lower() if lower else text).encode().decode("latin-1").translate(self.alphabet)
+            if not lower:
+                text = "Ġ" + text.replace(" ", " Ġ")
+            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, self.dtype)
+            known, tail = dict(zip(order, self._cut(ids), strict=True)), self.tail
+            self.cache.update((w, known[stem] + tail[w[-1]] if w[-1] in tail else known[stem]) for w, stem in plain)
+        return odd
 
     def _learn_byte(self, words: list[str]) -> None:
         """A piece begins with its space, and only there does one of its tokens begin with a space, unless it holds more."""
@@ -145,23 +182,8 @@ class WordEncoder:
             ends = [*(at[1:] * k).tolist(), len(raw)]
             self.cache.update(zip(plain, (raw[a:b] for a, b in zip((at * k).tolist(), ends, strict=True)), strict=True))
 
-    def _learn_word(self, words: list[str]) -> None:
-        stems, odd, k = set(), [], self.dtype.itemsize
-        for w in words:
-            if _LATIN.fullmatch(w):
-                stems.add(w.rstrip(".,").lower())
-            else:
-                odd.append(w)
-        known = {}
-        if stems:
-            order = list(stems)
-            text = " ".join(order).encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, self.dtype)
-            raw, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * k).tolist()
-            known = dict(zip(order, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        for w in words:
-            if _LATIN.fullmatch(w):
-                self.cache[w] = known[w.rstrip(".,").lower()] + self.points.get(w[-1], b"")
+    def _learn_word(self, odd: list[str]) -> None:
+        k = self.dtype.itemsize
         if odd:
             ids = np.array(self.full.encode(" \x01 ".join(odd), add_special_tokens=False).ids, self.dtype)
             raw, step = ids.tobytes(), len(self.mark)
