@@ -45,6 +45,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.toxicity import severities
+
+    return severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumispan.llm.packing import pack_tokens
 
@@ -64,7 +70,7 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_language_id": op6_language_id, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints}
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_language_id": op6_language_id, "op7_toxicity": op7_toxicity, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints}
 
 ORACLE_SQL = {
     "op2_warc": """
