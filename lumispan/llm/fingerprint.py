@@ -18,6 +18,7 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -148,7 +149,7 @@ def edit(text: str, after: str) -> str:
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_edits(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
+def compare_with_edits(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
     """Each document against its edited text and the next document in descending order of doc_id (after the last: the first).
 
     Rows are dealt to ranges of doc_id by quantiles; each range also gets the first row of the next one, so that a pass over
@@ -160,10 +161,16 @@ def compare_with_edits(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
     n = ids.count()
     if not n:
         return spark.createDataFrame([], EDITED)
-    many = min(4096, max(1, n // per_bucket))  # at most so many cut points go to the driver
+    many = min(1 << 16, max(1, n // per_bucket))  # at most so many cut points go to the driver
     cuts = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / many for i in range(1, many)], 0.2 / many))) if many > 1 else []
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(len(edges) - np.searchsorted(edges, doc_id.to_numpy(np.int64)), dtype="int32")
+
     # range 0 holds the largest ids; rows without an id come after all others
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(sum((F.when(F.col("doc_id") <= int(c), 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) <= 64 else F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("doc_id")))).cast("int")
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0))))
     dealt = rows.withColumn("range", place)
     tie = F.xxhash64("text")
     tops = dealt.groupBy("range").agg(F.max("doc_id").alias("top")).collect()  # one row a range
