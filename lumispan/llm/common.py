@@ -76,3 +76,24 @@ def small_slices(batch, column: int, most_bytes: int = 4 << 20, rows: int = 2048
         total += n
     if at < len(sizes):
         yield batch.slice(at)
+
+
+def with_columns(docs: DataFrame, fields: str, columns) -> DataFrame:
+    """``docs`` with new columns (``fields``, a schema string) from ``columns(batches)``.
+
+    ``columns`` takes an iterator of Arrow batches and gives, for each slice that it makes of them, the slice and the list of
+    its new arrays. Columns of ``docs`` with the names of new ones are replaced.
+    """
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in fields.split(", ")]
+    kept = docs.drop(*names)
+    added = docs.sparkSession.createDataFrame([], fields).schema
+    schema = type(added)([*kept.schema.fields, *added.fields])
+    old = kept.columns
+
+    def run(batches):
+        for some, new in columns(batches):
+            yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*old, *names])
+
+    return kept.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.llm.common import small_slices
+from lumispan.llm.common import small_slices, with_columns
 
 BUCKETS = 1 << 16
 SWITCH = 9.0  # nats
@@ -210,11 +210,11 @@ _held: dict[int, tuple[Model, Labeller]] = {}
 
 
 def predict(docs: DataFrame, model: Model, with_spans: bool = False, switch: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred and score of each text, and its spans if asked for; other columns stay out."""
+    """``docs`` with lang_pred and score of each text, and its spans if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS by languages
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans
+    fields = "lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans
 
-    def run(batches):
+    def columns(batches):
         m = shared.value
         if id(m) not in _held:
             _held.clear()
@@ -228,14 +228,13 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False, switch: flo
                 else:
                     words, labels = [[]] * len(texts), [np.zeros(0, np.int8)] * len(texts)
                 found = [_decide(w, x, m.langs) for w, x in zip(words, labels, strict=True)]
-                columns = [some.column("doc_id"), pa.array([x for x, _ in found]), pa.array([x for _, x in found], pa.float64())]
+                new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 if with_spans:
                     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-                    columns.append(pa.array([[dict(zip(("lang", "start", "end"), s, strict=True)) for s in spans(t or "", x, m.langs)] if len(x) else [] for t, x in zip(texts, labels, strict=True)], kind))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    new.append(pa.array([[dict(zip(("lang", "start", "end"), s, strict=True)) for s in spans(t or "", x, m.langs)] if len(x) else [] for t, x in zip(texts, labels, strict=True)], kind))
+                yield some, new
 
-    names = ["doc_id", "lang_pred", "score", *["spans"] * with_spans]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return with_columns(docs, fields, columns)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -246,4 +245,4 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score; the model learns from the rows of ``docs`` that are not held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), most_docs)
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -33,6 +33,12 @@ def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_hashes(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.graphdedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumispan.llm.jaccard import near_duplicates
 
@@ -70,9 +76,18 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_language_id": op6_language_id, "op7_toxicity": op7_toxicity, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints}
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op4_vector_graph": op4_vector_graph, "op5_jaccard_join": op5_jaccard_join, "op6_language_id": op6_language_id, "op7_toxicity": op7_toxicity, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints}
 
 ORACLE_SQL = {
+    "op4_vector_graph": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT DISTINCT u AS id, u AS reached FROM l UNION SELECT r.id, l.w FROM r JOIN l ON l.u = r.reached),
+c AS (SELECT id, min(reached) AS component FROM r GROUP BY id),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(c.component, m.vec_id) AS BIGINT) AS component_id, m.vec_id = coalesce(c.component, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN n ON n.u = m.vec_id LEFT JOIN c ON c.id = m.vec_id""",
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits,
@@ -86,7 +101,9 @@ FROM d""",
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

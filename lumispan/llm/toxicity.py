@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.llm.common import small_slices
+from lumispan.llm.common import small_slices, with_columns
 
 BUCKETS = 1 << 20
 MOST_LABELS = 20_000
@@ -122,13 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MO
     return Model(place, weight, theta)
 
 
-SCORED = "doc_id long, severity double, grade int, toxic boolean"
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, expected severity, likeliest grade and whether a grade above 0 is likelier than not."""
+    """``docs`` with the expected severity, the likeliest grade and whether a grade above 0 is likelier than not."""
 
-    def run(batches):
+    def columns(batches):
         look = {int(f): float(w) for f, w in zip(model.place, model.weight, strict=True)}
         known: dict[str, tuple] = {}
         for batch in batches:
@@ -146,9 +143,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                             hit.update(fs)
                     scores.append(sum(look[f] for f in sorted(hit)))
                 odds = model.grade_odds(np.array(scores, np.float64))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(odds @ np.arange(odds.shape[1])), pa.array(odds.argmax(axis=1), pa.int32()), pa.array(odds[:, 0] < 0.5)], names=["doc_id", "severity", "grade", "toxic"])
+                yield some, [pa.array(odds @ np.arange(odds.shape[1])), pa.array(odds.argmax(axis=1), pa.int32()), pa.array(odds[:, 0] < 0.5)]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return with_columns(docs, "severity double, grade int, toxic boolean", columns)
 
 
 def label_grade() -> Column:
@@ -157,4 +154,6 @@ def label_grade() -> Column:
 
 
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return predict(docs, fit(docs, labels, label_grade()))
+    """doc_id, severity, grade and toxic of each document; the model learns from ``labels`` (doc_id, toxic, quality)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return predict(rows, fit(rows, labels, label_grade())).select("doc_id", "severity", "grade", "toxic")
