@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier not toxic than toxic, by a model of the labels of those that are left."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.label_grade())
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.predict(docs, model).where(~F.col("toxic")).select(*docs.columns)
 
 

@@ -25,6 +25,9 @@ from lumispan.llm.common import small_slices, with_columns
 BUCKETS = 1 << 20
 MOST_LABELS = 20_000
 FEATURES = 4096
+SUPPORT = 0.005  # a feature is in this share of the toxic documents, or of the others, at least
+RIDGE = 1e-4
+CERTAIN = 4.0  # standard deviations between its counts and those of an indifferent one
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,39 +54,69 @@ class Model:
         return np.diff(edge, axis=1)
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, ridge: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of a cumulative logit model by gradient steps with momentum of both orders (Adam).
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of a cumulative logit model by L-BFGS.
 
-    ``rows`` and ``columns`` are the places of the ones of a sparse matrix of ``len(grades)`` rows, sorted by row.
+    ``rows`` and ``columns`` are the places of the ones of a sparse matrix of ``len(grades)`` rows.
     """
     n, top = len(grades), int(grades.max(initial=0))
     if not n or not top:
         return np.zeros(width), np.full(max(top, 1), 30.0)
     share = np.array([np.clip((grades <= k).mean(), 1e-6, 1 - 1e-6) for k in range(top)])
     theta = np.log(share / (1 - share))
-    # thresholds are the first one and the logarithms of the steps to the next ones, which keeps them in order
-    z = np.concatenate([np.zeros(width), [theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))])
-    m, v = np.zeros_like(z), np.zeros_like(z)
     lo, hi = np.maximum(grades - 1, 0), np.minimum(grades, top - 1)
-    for t in range(1, steps + 1):
-        w, step = z[:width], np.exp(z[width + 1 :])
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+    def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
+        # thresholds are the first one and the logarithms of the steps to the next ones, which keeps them in order
+        w, step = z[:width], np.exp(np.clip(z[width + 1 :], -20, 20))
         theta = z[width] + np.concatenate([[0], np.cumsum(step)])
         score = np.bincount(rows, w[columns], n)
-        a = np.where(grades > 0, 1 / (1 + np.exp(-np.clip(theta[lo] - score, -40, 40))), 0.0)
-        b = np.where(grades < top, 1 / (1 + np.exp(-np.clip(theta[hi] - score, -40, 40))), 1.0)
-        p = np.maximum(b - a, 1e-12)
+        a = np.where(grades > 0, sigmoid(theta[lo] - score), 0.0)
+        b = np.where(grades < top, sigmoid(theta[hi] - score), 1.0)
+        p = np.maximum(b - a, 1e-15)
         da, db = a * (1 - a) / p, b * (1 - b) / p
-        by_score = (db - da) / n  # of the negative log likelihood
         by_theta = (np.bincount(lo, da * (grades > 0), top) - np.bincount(hi, db * (grades < top), top)) / n
         tail = np.cumsum(by_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(columns, by_score[rows], width) + ridge * w, [tail[0]], tail[1:] * step])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        z = z - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return z[:width], z[width] + np.concatenate([[0], np.cumsum(np.exp(z[width + 1 :]))])
+        by_weight = np.bincount(columns, ((db - da) / n)[rows], width) + ridge * w
+        return float(-np.log(p).mean() + ridge / 2 * (w @ w)), np.concatenate([by_weight, [tail[0]], tail[1:] * step])
 
-
-def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MOST_LABELS, most_features: int = FEATURES) -> Model:
-    """Learn from ``docs`` (doc_id, text) and the ``grade`` (0 and up) of each row of ``labels`` (doc_id, ...)."""
+    z = np.concatenate([np.zeros(width), [theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))])
+    value, g = loss(z)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, alphas = -g, []
+        for s, y, r in reversed(past):
+            alphas.append(r * (s @ d))
+            d = d - alphas[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y, r), alpha in zip(past, reversed(alphas), strict=True):
+            d = d + (alpha - r * (y @ d)) * s
+        slope, size = g @ d, 1.0
+        if slope >= -1e-12:
+            break
+        while size > 1e-8:
+            new, after = loss(z + size * d)
+            if new <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * d, after - g
+        if s @ y > 1e-14:
+            past = [*past[-9:], (s, y, 1 / (s @ y))]
+        z, g, value = z + s, after, new
+    return z[:width], z[width] + np.concatenate([[0], np.cumsum(np.exp(np.clip(z[width + 1 :], -20, 20)))])
+
+
+def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MOST_LABELS, most_features: int = FEATURES, extent: int = 0) -> Model:
+    """Learn from ``docs`` (doc_id, text) and the ``grade`` (0 and up) of each row of ``labels`` (doc_id, ...).
+
+    ``extent``: where labels only say toxic or not, toxic documents are graded 1 to ``extent`` by how many of the features
+    that speak for toxicity they have, in parts of about equal size.
+    """
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL AND grade >= 0")
     one = graded.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -102,11 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MO
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, 30.0))
-    counted = sample.mapInArrow(count, "f int, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("c + t >= 2")
+    counted = sample.mapInArrow(count, "f int, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where((F.col("t") >= max(3, SUPPORT * toxic)) | (F.col("c") >= max(3, SUPPORT * clean)))
     spread = F.sqrt((F.col("c") + F.col("t") + 1.0) * (clean + 1.0) * (toxic + 1.0)) / (clean + toxic + 2.0)
     gap = F.abs(F.col("t") - (F.col("c") + F.col("t")) * F.lit(toxic / (clean + toxic)))
-    chosen = counted.orderBy(F.desc(gap / spread), "f").limit(most_features).select("f").toPandas()["f"].to_numpy(np.int64)
-    place = np.sort(chosen)
+    chosen = counted.where(gap >= CERTAIN * spread).orderBy(F.desc(gap / spread), "f").limit(most_features).select("f", (F.col("t") * max(clean, 1) > F.col("c") * toxic).alias("bad")).toPandas().sort_values("f")
+    place, bad = chosen["f"].to_numpy(np.int64), chosen["bad"].to_numpy(bool)
 
     def keep(batches):
         look = {int(f): i for i, f in enumerate(place)}
@@ -118,7 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MO
     grades = rows["grade"].to_numpy(np.int64)
     sizes = np.array([len(x) for x in rows["at"]], np.int64)
     columns = np.concatenate([np.asarray(x, np.int64) for x in rows["at"]]) if sizes.sum() else np.zeros(0, np.int64)
-    weight, theta = fit_ordinal(np.repeat(np.arange(len(grades)), sizes), columns, grades, len(place))
+    at = np.repeat(np.arange(len(grades)), sizes)
+    if extent:
+        hits = np.bincount(at, bad[columns], len(grades))
+        edges = np.quantile(hits[grades > 0], np.arange(1, extent) / extent) if (grades > 0).any() else np.zeros(0)
+        level = np.searchsorted(np.unique(edges), hits, "left") + 1
+        grades = np.where(grades > 0, level, 0)
+    weight, theta = fit_ordinal(at, columns, grades, len(place))
     return Model(place, weight, theta)
 
 
@@ -148,12 +187,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return with_columns(docs, "severity double, grade int, toxic boolean", columns)
 
 
-def label_grade() -> Column:
-    """Of the labels' toxic and quality: 0 if not toxic, 1 if toxic, 2 if toxic and of low quality as well."""
-    return F.when(F.col("toxic") > 0, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic").isNotNull(), 0)
+EXTENT = 3
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of ``labels`` (doc_id, toxic 0 or 1), toxic documents graded by extent."""
+    return fit(docs, labels, F.when(F.col("toxic") > 0, 1).when(F.col("toxic").isNotNull(), 0), extent=EXTENT)
 
 
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, severity, grade and toxic of each document; the model learns from ``labels`` (doc_id, toxic, quality)."""
+    """doc_id, severity, grade and toxic of each document; the model learns from ``labels``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return predict(rows, fit(rows, labels, label_grade())).select("doc_id", "severity", "grade", "toxic")
+    return predict(rows, learn(rows, labels)).select("doc_id", "severity", "grade", "toxic")
