@@ -53,14 +53,14 @@ def _lines(spark: SparkSession, path: str, least: int) -> DataFrame:
 def read_nodes_text(spark: SparkSession, path: str) -> DataFrame:
     """A node for each line that is not blank; z is 0 where it has two numbers."""
     kept = _lines(spark, path, 2).withColumn("node_id", (F.row_number().over(W.orderBy("no")) - 1).cast("long"))  # the lines of one file
-    at = lambda k: F.coalesce(F.get("t", F.lit(k)).cast("float"), F.lit(0.0)).cast("float")
+    at = lambda k: F.coalesce(F.get("t", F.lit(k)).try_cast("float"), F.lit(0.0)).cast("float")
     return kept.select("node_id", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
 
 
 def read_edges_text(spark: SparkSession, path: str, marked: bool = False) -> DataFrame:
     """(src, dst) of each line with two numbers at least, or (src, dst, marker) of those with three."""
     names = ["src", "dst", "marker"] if marked else ["src", "dst"]
-    return _lines(spark, path, len(names)).select(*[F.get("t", F.lit(k)).cast("double").cast("long").alias(n) for k, n in enumerate(names)])
+    return _lines(spark, path, len(names)).select(*[F.get("t", F.lit(k)).try_cast("double").cast("long").alias(n) for k, n in enumerate(names)])
 
 
 def structured_catalog(files: DataFrame, name: Column) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumispan.functions.vectors import finite, pack_rgb, unpack_rgb, xyz
 from lumispan.operators.clouds import cloud
@@ -145,16 +146,16 @@ def _ascii(spark: SparkSession, path: str, header: dict, fields: list[str]) -> D
     def value(f: str):
         text = part[int(at[f])]
         if f in ("rgb", "rgba"):
-            return (_bits(text) if header["kinds"][header["fields"].index(f)][0] == "F" else text.cast("long").cast("int")).alias(f)
-        return text.cast("float").alias(f)
+            return (_bits(text.try_cast("float")) if header["kinds"][header["fields"].index(f)][0] == "F" else text.try_cast("long").cast("int")).alias(f)
+        return text.try_cast("float").alias(f)
 
     return body.select((F.col("no") - F.col("first") - 1).cast("long").alias("point_id"), *[value(f) for f in fields])
 
 
-@F.pandas_udf("int")
-def _bits(text: pd.Series) -> pd.Series:
+@F.pandas_udf(T.IntegerType())
+def _bits(numbers: pd.Series) -> pd.Series:
     """The bits of numbers in single precision."""
-    return pd.Series(np.ascontiguousarray(text.astype("float32").to_numpy()).view("<i4"))
+    return pd.Series(np.ascontiguousarray(numbers.astype("float32").to_numpy()).view("<i4"))
 
 
 def _colored(raw: DataFrame, fields: list[str]) -> DataFrame:
