@@ -108,7 +108,24 @@ def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least:
     return rows["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-SIGNED = "doc_id long, n_shingles long, whole binary, signature binary, prefix array<long>"
+def parity(shingles: np.ndarray) -> bytes:
+    """Bits that say of each bucket whether an odd number of the set's hashes falls into it; two to four bits a shingle.
+
+    A larger one folds to a smaller one. Two sets of a and b elements whose bits differ in d places share at most
+    (a + b - d) / 2 elements, so most pairs that cannot link go without a look at their texts.
+    """
+    bits = max(64, 1 << (2 * max(1, len(shingles)) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 > 0, bitorder="little").tobytes()
+
+
+def most_common(a: int, b: int, x: bytes, y: bytes) -> int:
+    """The most elements that sets of a and b elements with these parity bits can share."""
+    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    v = np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0)
+    return (a + b - int(np.bitwise_count(u ^ v).sum())) // 2
+
+
+SIGNED = "doc_id long, n_shingles long, whole binary, signature binary, bits binary, prefix array<long>"
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -121,10 +138,11 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
         place = np.argsort(frequent, kind="stable")
         for batch in batches:
             for some in small_slices(batch, "text"):
-                sizes, wholes, signs, prefixes = [], [], [], []
+                sizes, wholes, signs, bits, prefixes = [], [], [], [], []
                 for text in some.column("text").to_pylist():
                     s = hasher.shingles(text)
                     sizes.append(len(s))
+                    bits.append(parity(s))
                     wholes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     k = prefix_length(len(s), percent) if len(s) else 0
                     at = np.minimum(np.searchsorted(rank, s), max(0, len(rank) - 1))
@@ -137,15 +155,34 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
                     signs.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=names)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(signs, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=names)
 
     names = [c.split()[0] for c in SIGNED.split(", ")]
     return docs.mapInArrow(run, SIGNED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT, most_broadcast: int = 500_000) -> DataFrame:
+def possible(pairs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those pairs (u, v) whose sizes and parity bits leave a link possible."""
+    known = signed.select("doc_id", "n_shingles", "bits").dropDuplicates(["doc_id"])
+    a = known.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("nu"), F.col("bits").alias("bu"))
+    b = known.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("nv"), F.col("bits").alias("bv"))
+
+    def run(batches):
+        for batch in batches:
+            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+            keep = []
+            for i, (p, q, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("nu", "nv", "bu", "bv")), strict=True)):
+                common = min(p, q, most_common(p, q, x, y))
+                if 100 * common >= percent * (p + q - common):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
+
+    return pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int = N, percent: int = PERCENT, most_broadcast: int = 500_000) -> DataFrame:
     """Those pairs (u, v) of documents whose sets reach the threshold, from their whole texts."""
-    pairs = materialize(pairs.distinct(), "pairs")
+    pairs = materialize(possible(pairs, signed, percent), "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     # a list of ids of checked size filters the scan; a longer one joins
     few = ids.count() <= most_broadcast
@@ -189,7 +226,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     band = active.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) * 2))
     centres = band.groupBy("shingle", "band").agg(F.min(F.struct("gid", "size", "pos")).alias("c"))
     star = band.join(centres, ["shingle", "band"]).where("gid != c.gid").where(_may_link("size", "pos", "c.size", "c.pos", percent)).select(F.col("c.gid").alias("u"), F.col("gid").alias("v"))
-    links = verified(inside.unionByName(star), docs, n, percent)
+    links = verified(inside.unionByName(star), docs, signed, n, percent)
     parts = components(links)
 
     # second pass: every pair with different components, members of groups included
@@ -206,7 +243,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     group_pairs = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.gid") < F.col("q.gid")) & different & _may_link("p.size", "p.pos", "q.size", "q.pos", percent)).select(F.col("p.gid").alias("g"), F.col("q.gid").alias("h")).distinct()
     m1, m2 = member.select(F.col("gid").alias("g"), F.col("doc_id").alias("x"), F.col("component").alias("cx")), member.select(F.col("gid").alias("h"), F.col("doc_id").alias("y"), F.col("component").alias("cy"))
     across = group_pairs.join(m1, "g").join(m2, "h").where("cx != cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    more = verified(within.unionByName(across), docs, n, percent)
+    more = verified(within.unionByName(across), docs, signed, n, percent)
     parts = components(links.unionByName(more))
 
     by_set = reps.join(parts, reps.doc_id == parts.id, "left").select("whole", F.coalesce("component", "doc_id").alias("component_id"))
