@@ -28,15 +28,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold Arrow batches of this session at ``rows``: texts can be long, and a batch is in memory several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
+    short_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,6 +95,7 @@ def with_columns(docs: DataFrame, fields: str, columns) -> DataFrame:
     """
     import pyarrow as pa
 
+    short_batches(docs.sparkSession)
     names = [f.split()[0] for f in fields.split(", ")]
     kept = docs.drop(*names)
     added = docs.sparkSession.createDataFrame([], fields).schema

@@ -163,7 +163,12 @@ def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, le
     active = materialize(shared_buckets(seen.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("line").alias("id"))), "buckets")
     ids = materialize(active.select("id").distinct(), "ids")
     few = ids.count() <= most_broadcast  # a list of checked size filters the scan; a longer one joins
-    texts = materialize(line_texts(docs, least).join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+    ids_or = F.broadcast(ids) if few else ids
+    # each of these lines is read from one document that has it
+    owners = seen.select(F.col("line").alias("id"), "doc_id").join(ids_or, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    owners = materialize(owners, "owners")
+    some = docs.join(F.broadcast(owners) if few else owners, "doc_id", "left_semi")  # no longer than ``ids``
+    texts = materialize(line_texts(some, least).join(ids_or, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
 
     def run(batches):
         for batch in batches:
