@@ -229,7 +229,7 @@ def best_feature_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     blocks, slices = 16, 16
     a = left.select(F.col("id").alias("p"), F.col("f").alias("fp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    b = right.select(F.col("id").alias("s"), F.col("f").alias("fs"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    b = right.select(F.col("id").alias("s"), F.col("f").alias("fs"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     schema = "p long, s long, d double"
 
     def meet(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

@@ -159,7 +159,7 @@ def bridge_edges(s, d):
     last = n1.agg(F.max("node_id")).first()[0]
     chain = n1.where(F.col("node_id") < last).select(F.col("node_id").alias("src"), (F.col("node_id") + 3).alias("dst"))
     none = chain.limit(0)
-    return G.union_with_bridges(n1, chain, n2, none, 0.2)[1].where(F.col("dst") > last + 3).select("src", "dst")
+    return G.union_with_bridges(n1, chain, n2, none, 0.2)[1].where(F.col("dst") > last).select("src", "dst")
 
 
 @query("delete_cascade", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, p) AS rank FROM (SELECT q.point_id AS q, p.point_id AS p, {_d2('q', 'p')} AS d2 FROM {D.CLOUD_EMB} q, {D.CLOUD_EMB} p WHERE q.selected AND p.alive)) SELECT q AS node_id FROM n WHERE rank = 1 AND p % 2 <> 0")
