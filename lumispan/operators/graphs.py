@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,8 +82,61 @@ def union_with_bridges(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFram
     return nodes, edges.unionByName(bridges.select(F.col("p").alias("src"), (F.col("q") + top).alias("dst")))
 
 
+LOCAL = 100_000  # a graph with no more edges than this, which is counted first, ends in one task
+
+
+class _Sets:
+    """Disjoint sets named by their smallest member."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _small(edges: DataFrame) -> bool:
+    return edges.limit(LOCAL + 1).count() <= LOCAL
+
+
+def _in_one_task(rows: DataFrame, work, schema) -> DataFrame:
+    """``work`` on all rows of a DataFrame of checked size, as a list of tuples."""
+
+    def run(parts):
+        found = [t for p in parts for t in p.itertuples(index=False, name=None)]
+        if found:
+            yield pd.DataFrame(work(found), columns=names)
+
+    names = [f.name for f in schema] if not isinstance(schema, str) else [c.split()[0] for c in schema.split(", ")]
+    return rows.coalesce(1).mapInPandas(run, schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node_id, component): the smallest id that edges reach, by passing minima on and jumping."""
+    edges = cut(undirected(edges))
+    if _small(edges):
+
+        def label(rows):
+            s = _Sets()
+            for a, b in rows:
+                s.join(a, b)
+            return [(x, s.find(x)) for x in list(s.up)]
+
+        found = _in_one_task(edges.select("src", "dst"), label, "id long, c long")
+        return nodes.select("node_id").join(found, F.col("node_id") == F.col("id"), "left").select("node_id", F.coalesce("c", "node_id").alias("component"))
+    return _spread_components(nodes, edges, rounds)
+
+
+def _spread_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     ways = cut(undirected(edges).select("src", "dst").unionByName(undirected(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     now = cut(nodes.select("node_id", F.col("node_id").alias("component")))
     for _ in range(rounds):
@@ -97,7 +151,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -
 
 
 def minimum_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Minimum spanning forest of edges (a, b, d) by Boruvka's rounds; the order (d, a, b) makes it unique."""
+    """Minimum spanning forest of edges (a, b, d); the order (d, a, b) makes it unique."""
+    edges = cut(edges.select("a", "b", "d"))
+    if _small(edges):
+
+        def pick(rows):
+            s = _Sets()
+            return [(a, b, d) for d, a, b in sorted((d, a, b) for a, b, d in rows) if s.join(a, b)]
+
+        return _in_one_task(edges, pick, "a long, b long, d double")
+    return _spread_forest(nodes, edges, rounds)
+
+
+def _spread_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """Boruvka's rounds: every component takes its first edge to another one."""
     part = cut(nodes.select("node_id", F.col("node_id").alias("c")))
     chosen = None
     for _ in range(rounds):
@@ -109,7 +176,7 @@ def minimum_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> Data
         picked = cut(best.select("m.a", "m.b", "m.d").distinct())
         chosen = picked if chosen is None else cut(chosen.unionByName(picked))
         links = picked.join(l, "a").join(r, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        merged = connected_components(part.select(F.col("c").alias("node_id")).distinct(), links)
+        merged = _spread_components(part.select(F.col("c").alias("node_id")).distinct(), links)
         part = cut(part.join(merged.select(F.col("node_id").alias("c"), "component"), "c").select("node_id", F.col("component").alias("c")))
     return edges.limit(0).select("a", "b", "d") if chosen is None else chosen
 
@@ -120,7 +187,42 @@ def prune_leaves(nodes: DataFrame, edges: DataFrame, shortest: float, rounds: in
     A pass stops while two nodes with edges are left; nodes that lose their last edge stay. With fewer than two nodes left,
     the graph comes back as it was. Ids stay as they are.
     """
-    left, long = cut(nodes), cut(edge_lengths(nodes, undirected(edges)))
+    lengths = cut(edge_lengths(nodes, undirected(edges)))
+    if _small(lengths):
+        kept = cut(_in_one_task(lengths.select("src", "dst", "length"), lambda rows: _pruned(rows, shortest), "src long, dst long, gone boolean"))
+        # a row (node, node) names a node that goes, any other one an edge that stays
+        left = nodes.join(kept.where("gone").select(F.col("src").alias("node_id")), "node_id", "left_anti")
+        return (nodes, edges) if left.limit(2).count() < 2 else (left, kept.where("NOT gone").select("src", "dst"))
+    return _spread_prune(nodes, edges, lengths, shortest, rounds)
+
+
+def _pruned(rows: list[tuple], shortest: float) -> list[tuple]:
+    near: dict[int, dict[int, float]] = {}
+    for a, b, d in rows:
+        near.setdefault(a, {})[b] = d
+        near.setdefault(b, {})[a] = d
+    gone, changed = [], True
+    joined = sum(bool(x) for x in near.values())
+    while changed:
+        changed = False
+        for n in sorted(n for n, x in near.items() if len(x) == 1):
+            if joined <= 2:
+                break
+            if len(near[n]) != 1:
+                continue
+            (hub, d), = near[n].items()
+            if d < shortest:
+                near[n].clear()
+                del near[hub][n]
+                joined -= 1 + (not near[hub])
+                gone.append((n, n, True))
+                changed = True
+    return gone + [(a, b, False) for a, b, _ in rows if b in near[a]]
+
+
+def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shortest: float, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Passes over the whole graph, each a few joins."""
+    left, long = cut(nodes), lengths
     for _ in range(rounds):
         degree = degrees(left, long.select("src", "dst")).where("degree > 0")
         tips = degree.where("degree = 1").select("node_id")

@@ -75,3 +75,19 @@ def test_farthest_points(spark):
     d = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 10.0, 0.0, 0.0), (3, 6.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
     assert [r.point_id for r in E.farthest_points(d, 3).orderBy("turn").collect()] == [0, 2, 3]
     assert E.farthest_points(d, 9).count() == 4
+
+
+def test_spread_and_local_forms_agree(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(size=(40, 3))
+    n = nodes(spark, x)
+    e = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 40, (70, 2)) if a != b}
+    d = spark.createDataFrame([(a, b, float(np.linalg.norm(x[a] - x[b]))) for a, b in sorted(e)], "a long, b long, d double")
+    local = {(r.a, r.b) for r in G.minimum_forest(n, d).collect()}
+    assert local == {(r.a, r.b) for r in G._spread_forest(n, d).collect()}
+    tree = edges(spark, sorted(local))
+    same = lambda f: {tuple(r) for r in f.collect()}
+    assert same(G.connected_components(n, tree)) == same(G._spread_components(n, G.undirected(tree)))
+    a, b = G.prune_leaves(n, tree, 0.4)
+    c, f = G._spread_prune(n, tree, G.edge_lengths(n, G.undirected(tree)), 0.4)
+    assert pairs(b) == pairs(f) and same(a.select("node_id")) == same(c.select("node_id"))
