@@ -203,7 +203,7 @@ def skeleton(s, d):
 def prune(s, d):
     nodes = _nodes(s, d)
     forest = G.minimum_forest(nodes, S.knn_edges(nodes, 4))
-    return G.prune_leaves(nodes, forest.select(F.col("a").alias("src"), F.col("b").alias("dst")), 0.15)[1]
+    return G.prune_leaves(nodes, forest.select(F.col("a").alias("src"), F.col("b").alias("dst")), 0.05)[1]
 
 
 @query("reextract")
@@ -249,7 +249,7 @@ def dbscan(s, d):
     return E.dbscan(D.cloud_emb(s, d), 0.2).select("point_id", F.col("label").cast("long").alias("label"))
 
 
-_COV = ", ".join(f"round(covar_pop(CAST(c.{i} AS DOUBLE), CAST(c.{j} AS DOUBLE)), 6) AS c{i}{j}" for i, j in ("xx", "xy", "xz", "yy", "yz", "zz"))
+_COV = ", ".join(f"round(covar_pop(CAST(c.{i} AS DOUBLE), CAST(c.{j} AS DOUBLE)), 6) + 0.0 AS c{i}{j}" for i, j in ("xx", "xy", "xz", "yy", "yz", "zz"))
 
 
 @query("local_cov", f"SELECT w.q, count(*) AS n, {_COV} FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, p) AS rank FROM {WITHIN}) w JOIN {D.CLOUD_EMB} c ON c.point_id = w.p WHERE rank <= 30 GROUP BY w.q")
@@ -308,7 +308,9 @@ def cpd_warp(s, d):
 
 @query("tensor_vote")
 def tensor_vote(s, d):
-    return rounded(E.vote(D.cloud_part(s, d).select("point_id", "x", "y", "z"), 6.0, 3, 1.0), 3)
+    k = F.col("p_partkey")
+    line = D.table(s, d, "part").select(k.alias("point_id"), (k / 50).alias("x"), F.lit(0.0).alias("y"), (k % 3 / 20.0).alias("z"))
+    return rounded(E.vote(line, 0.4, 3, 0.1), 3)
 
 
 @query("point_features")
