@@ -79,12 +79,21 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def jaccard_reaches(a: str, b: str, percent: int = PERCENT, k: int = SHINGLE) -> bool:
-    x, y = ({s[i : i + k] for i in range(max(1, len(s) - k + 1))} for s in (a, b))
+def shingle_set(line: str, k: int = SHINGLE) -> set[str]:
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
+def sets_reach(x: set[str], y: set[str], percent: int = PERCENT) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
     common = len(x & y)
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def jaccard_reaches(a: str, b: str, percent: int = PERCENT, k: int = SHINGLE) -> bool:
+    return sets_reach(shingle_set(a, k), shingle_set(b, k), percent)
+
+
 OCCURRENCE = "doc_id long, mark long, line_no int, line long, keys array<long>"
 
 
@@ -173,7 +182,11 @@ def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, le
     def run(batches):
         for batch in batches:
             u, v, a, b = (batch.column(c).to_pylist() for c in ("u", "v", "a", "b"))
-            keep = [i for i in range(len(u)) if jaccard_reaches(a[i], b[i], percent)]
+            sets: dict[str, set[str]] = {}  # a line is in many pairs of a batch
+            for line in (*a, *b):
+                if line not in sets:
+                    sets[line] = shingle_set(line)
+            keep = [i for i in range(len(u)) if sets_reach(sets[a[i]], sets[b[i]], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
 
     def verify(pairs: DataFrame) -> DataFrame:
