@@ -9,7 +9,6 @@ import pytest
 from lumispan.plans import clouds, graphs
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"skeleton", "prune", "reextract", "tps_warp", "cpd_warp", "tensor_vote", "point_features", "icp_known_transform", "principal_axes", "undo_replay", "smoothed_rate", "camera_flight", "camera_look"}
 
 
 @pytest.fixture(scope="module")
