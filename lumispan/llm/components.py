@@ -1,7 +1,8 @@
 """Connected components of a graph given as edges, by alternating star contractions over local union-find.
 
-Each round first contracts the edges of every partition with a union-find of its own, then moves neighbours to the smallest
-one (large star and small star). No round gathers a vertex's neighbours in one place: the smallest neighbour is an
+The edges of every partition are first contracted with a union-find of its own. Forests of at most ``MOST_LOCAL`` edges in all,
+counted first, are then joined by the same union-find in one task. Longer ones move neighbours to the smallest one (large star
+and small star) until nothing changes. No round gathers a vertex's neighbours in one place: the smallest neighbour is an
 aggregate that combines before the shuffle, joined back to the edges.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lumispan.llm.common import materialize
 
+MOST_LOCAL = 500_000  # edges that one task joins: at most 1 000 000 vertices, about 200 MB
+
 
 def local_forest(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of each partition as stars around the smallest vertex of each of its components."""
@@ -58,9 +61,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, most_local: int = MOST_LOCAL) -> DataFrame:
     """(id, component) of each vertex of ``edges`` (u, v longs): the smallest vertex that edges reach; self-loops add nothing."""
-    stars = materialize(local_forest(edges.where("u != v")).where("u > v").distinct(), "edges")
+    stars = materialize(local_forest(edges.where("u != v")), "edges")
+    if stars.count() <= most_local:
+        return _placed(materialize(local_forest(stars.coalesce(1)), "edges"))
+    stars = materialize(stars.distinct(), "edges")
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     last = mark(stars)
     for _ in range(rounds):
@@ -73,6 +79,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         last = now
     else:
         raise RuntimeError("components did not settle")
+    return _placed(stars)
+
+
+def _placed(stars: DataFrame) -> DataFrame:
+    """Each vertex of stars (u, v) and its component v."""
     vertices = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return vertices.unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

@@ -247,3 +247,20 @@ def test_prefix_hashes():
     a, b = fingerprint.code_points("xxhello world!"), fingerprint.code_points("hello worms")
     p, q = fingerprint.PrefixHash(a), fingerprint.PrefixHash(b)
     assert p.extension(2, q, 0) == len("hello wor") and p.equal(2, q, 0, 9) and not p.equal(2, q, 0, 10)
+
+
+@pytest.mark.parametrize("most_local", [0, 1000])
+def test_components_by_one_task_or_by_stars(spark, most_local):
+    from lumispan.llm.components import components
+
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5), (300, 7), (300, 7)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(edges, "u long, v long").repartition(4), most_local=most_local).collect()
+    assert len(found) == len(least) and {r.id: r.component for r in found} == least
+    none = components(spark.createDataFrame([], "u long, v long"), most_local=most_local)
+    assert none.count() == 0
