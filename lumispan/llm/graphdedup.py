@@ -2,8 +2,9 @@
 
 Vectors of one label are dealt to overlapping shards, each to its nearest few centroids. Every shard builds a graph: nearest
 candidates, robust pruning (a neighbour goes if a kept one is nearer to it by the factor ``alpha``), reversed edges, pruning
-again. The adjacency lists of all shards are joined; in each shard a greedy beam search runs from the medoid for every
-vector, and from what it finds in range it expands through all neighbours in range. Hits are verified in double precision.
+again. The adjacency lists of all shards are joined; in each shard a greedy beam search runs for every vector from the medoid,
+from a node of each piece that the medoid does not reach, and from the vector's own node or its joined neighbours. From what
+it finds in range it expands through all neighbours in range. Hits are verified in double precision.
 Recall is audited against brute force in blocks for the vectors whose id is divisible by 100; while it stays under the
 aim, the search runs again with a beam twice as wide.
 
@@ -105,22 +106,47 @@ def build(x: np.ndarray) -> np.ndarray:
     return prune(x, both, 2 * DEGREE)
 
 
-def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query place, node) in range: greedy search from the medoid, then expansion through neighbours in range.
-
-    ``graph`` is (n, degree), -1 for none. All queries go on together, each by its nearest open node.
+def entries(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
+    """The medoid and more nodes, so that every node is reached from one of them."""
+    medoid = int((x @ unit(x.mean(axis=0, keepdims=True) + 1e-12)[0]).argmax())
+    reached = np.zeros(len(x), bool)
+    out, start, after = [], medoid, 0
+    while True:
+        out.append(start)
+        reached[start] = True
+        front = np.array([start])
+        while len(front):
+            near = np.unique(graph[front])
+            near = near[near >= 0]
+            front = near[~reached[near]]
+            reached[front] = True
+        while after < len(x) and reached[after]:
+            after += 1
+        if after == len(x):
+            return np.array(out)
+        start = after
+
+
+def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, seeds: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query place, node) in range: greedy search from ``starts`` and the query's seeds, then expansion through neighbours in range.
+
+    ``graph`` is (n, degree) and ``seeds`` (queries, any), -1 for none. All queries go on together, each by its nearest open node.
     """
     n, q = len(x), len(queries)
-    medoid = int((x @ unit(x.mean(axis=0, keepdims=True) + 1e-12)[0]).argmax())
     seen = np.zeros((q, n), bool)
-    ids = np.full((q, beam), -1, np.int64)
-    sims = np.full((q, beam), -3.0)
-    closed = np.zeros((q, beam), bool)
-    ids[:, 0], sims[:, 0] = medoid, queries @ x[medoid]
-    seen[:, medoid] = True
     loose, slack = threshold - 1e-6, 1e-9
-    found_q, found_n = [np.flatnonzero(sims[:, 0] >= loose)], []
-    found_n.append(np.full(len(found_q[0]), medoid))
+    first = np.concatenate([queries @ x[starts].T, np.full((q, seeds.shape[1] + beam), -3.0)], axis=1)
+    nodes = np.concatenate([np.broadcast_to(starts, (q, len(starts))), seeds, np.full((q, beam), -1)], axis=1).astype(np.int64)
+    seen[:, starts] = True
+    r, c = np.nonzero((seeds >= 0) & ~seen[np.arange(q)[:, None], np.maximum(seeds, 0)])
+    seen[r, seeds[r, c]] = True
+    first[r, len(starts) + c] = np.einsum("nd,nd->n", queries[r], x[seeds[r, c]])
+    hit = np.nonzero(first >= loose)
+    found_q, found_n = [hit[0]], [nodes[hit]]
+    top = np.argpartition(-first, beam - 1, axis=1)[:, :beam]
+    sims = np.take_along_axis(first, top, 1)
+    ids = np.where(sims > -3 + slack, np.take_along_axis(nodes, top, 1), -1)
+    closed = np.zeros((q, beam), bool)
     while True:
         rank = np.where(closed | (ids < 0), -4.0, sims)
         at = rank.argmax(axis=1)
@@ -245,26 +271,33 @@ def near_links(nodes: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM,
     base = dealt.join(joined, dealt.node == joined.a, "left").select("shard", "part", "parts", "node", "v", "near", F.lit(True).alias("here"), F.lit(0).alias("turn"))
     # a part of a split shard takes the others' vectors as queries, as many at a time as it holds itself
     guests = dealt.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int") != F.col("part"))
-    guests = guests.select("shard", "part", "parts", "node", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("here"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("turn"))
+    guests = guests.join(joined, guests.node == joined.a, "left").select("shard", "part", "parts", "node", "v", "near", F.lit(False).alias("here"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("turn"))
     hosts = base.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def look(table: pa.Table) -> pa.Table:
         here = table.column("here").to_numpy(zero_copy_only=False)
         turn = table.column("turn")[0].as_py()
         x, ids = unit(_matrix(table.column("v"))), table.column("node").to_numpy()
-        own, own_ids, lists = x[here], ids[here], [near for near, h in zip(table.column("near").to_pylist(), here, strict=True) if h]
+        own, own_ids = x[here], ids[here]
         place = {int(i): k for k, i in enumerate(own_ids)}
-        local = [[place[b] for b in near or () if b in place] for near in lists]
-        width = max(1, max(map(len, local), default=1))
-        graph = np.full((len(own), width), -1, np.int32)
-        for k, near in enumerate(local):
-            graph[k, : len(near)] = near
-        queries, names = (x, ids) if turn == 0 else (x[~here], ids[~here])
+        local = [[place[b] for b in near or () if b in place] for near in table.column("near").to_pylist()]
+
+        def padded(lists):
+            out = np.full((len(lists), max(1, max(map(len, lists), default=1))), -1, np.int32)
+            for k, near in enumerate(lists):
+                out[k, : len(near)] = near
+            return out
+
+        graph = padded([near for near, h in zip(local, here, strict=True) if h])
+        seeds = padded([[place[i]] if h else near for i, near, h in zip(ids.tolist(), local, here, strict=True)])
+        starts = entries(own, graph) if len(own) else None
+        asked = np.full(len(x), True) if turn == 0 else ~here
+        queries, names, seeds = x[asked], ids[asked], seeds[asked]
         us, vs = [], []
         for lo in range(0, len(queries), 1000):
             if not len(own):
                 break
-            q, m = search(own, graph, queries[lo : lo + 1000], threshold, beam)
+            q, m = search(own, graph, starts, queries[lo : lo + 1000], seeds[lo : lo + 1000], threshold, beam)
             a, b = names[lo + q], own_ids[m]
             exact = np.einsum("nd,nd->n", queries[lo + q], own[m])
             keep = (a != b) & (exact >= threshold)

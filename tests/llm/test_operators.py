@@ -122,6 +122,22 @@ def test_vector_graph(spark):
     assert graphdedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def vector_groups(spark, groups, size):
+    """Nodes of one label in groups of near copies that lie far from each other, and their true links."""
+    rng = np.random.default_rng(5)
+    x = graphdedup.unit(np.repeat(rng.normal(size=(groups, 32)), size, axis=0) + 0.01 * rng.normal(size=(groups * size, 32)))
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    return spark.createDataFrame([("a", 32, k, v.tolist()) for k, v in enumerate(x)], "label string, width int, node long, v array<double>"), set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("size", [60, 500])
+def test_groups_of_near_vectors_are_all_reached(spark, size):
+    nodes, want = vector_groups(spark, 10, size)
+    assert len(want) == 10 * size * (size - 1) // 2
+    got = {(r.u, r.v) for r in graphdedup.near_links(nodes).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_jaccard(docs, empty):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
