@@ -138,6 +138,28 @@ def test_groups_of_near_vectors_are_all_reached(spark, size):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("most", [50, 4000])
+def test_labels_of_low_recall_are_compared_exactly(spark, monkeypatch, most):
+    nodes, want = vector_groups(spark, 3, 60)
+    easy = nodes.selectExpr("'b' AS label", "width", "node + 1000 AS node", "v")
+    nodes = nodes.unionByName(easy).selectExpr("*", "node % 100 IN (0, 7) AS asked")
+    full = graphdedup.near_links
+
+    def poor(left, *args):  # finds all of label b and nothing of label a
+        return full(left, *args).where("u >= 1000")
+
+    monkeypatch.setattr(graphdedup, "near_links", poor)
+    monkeypatch.setattr(graphdedup, "MOST_ASKED", 50)
+    monkeypatch.setattr(graphdedup, "MOST_SHARD", most)
+    got = [(r.u, r.v) for r in graphdedup.audited_links(nodes, tries=1).collect()]
+    assert len(got) == len(set(got)) and {x for x in got if x[0] < 1000} == want
+    assert len(got) == 2 * len(want)
+    if most < 180:
+        return
+    none = graphdedup.audited_links(nodes.withColumn("asked", nodes.node < 0), tries=1)  # no evidence at all
+    assert {(r.u, r.v) for r in none.where("u < 1000").collect()} == want
+
+
 def test_jaccard(docs, empty):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
