@@ -1,7 +1,7 @@
 """Fuzzy removal of repeated lines by MinHash.
 
-A line counts as its words in lower case with single spaces between; lines shorter than ``least`` characters, blank ones
-among them, are left alone. Equal lines are one. Signatures over character shingles fall into bands; lines that share a band
+A line counts as its words in lower case with single spaces between; blank lines are left alone, and with ``least`` over 1
+shorter ones as well. Equal lines are one; lines shorter than a shingle are only compared for equality. Signatures over character shingles fall into bands; lines that share a band
 are verified by the exact Jaccard similarity of their shingle sets, and a union-find over the links gives components. Of each
 component the line at the smallest (doc_id, line number) stays, all others go.
 
@@ -26,7 +26,7 @@ from lumispan.llm.components import bucket_components
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 PERCENT = 80
-LEAST = 20
+LEAST = 1  # characters of a line that counts: all but blank ones
 _SEED = np.random.default_rng(20240117)
 _A = _SEED.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -98,7 +98,7 @@ OCCURRENCE = "doc_id long, mark long, line_no int, line long, keys array<long>"
 
 
 def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row for each line that counts; keys are null where the task has given those of the line before."""
+    """A row for each line that counts; keys are null for lines under a shingle and where the task has given those of the line before."""
 
     def run(batches):
         seen: set[int] = set()
@@ -116,7 +116,7 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
                             marks.append(mark)
                             nos.append(no)
                             names.append(name)
-                            if name in seen:
+                            if len(line) < SHINGLE or name in seen:  # a line shorter than a shingle is like none but its equals
                                 fresh.append(-1)
                             else:
                                 seen.add(name)

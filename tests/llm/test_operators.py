@@ -267,6 +267,13 @@ def test_lines(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_are_removed(spark):
+    texts = ["Menu\n\nHome page two\n日本語の文です。\nfirst", "menu \n\nhome page  two\n日本語の文です。\nsecond", "Menu\nHome"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\nsecond", 3), 2: ("Home", 1)}
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted(((i * 3, t or "") for i, t in enumerate(TEXTS)), reverse=True)
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(docs, per_bucket=4).collect()}

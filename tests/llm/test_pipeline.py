@@ -16,3 +16,11 @@ def test_stages(spark):
         n = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_documents_with_short_lines_left_stay(spark):
+    long = "a line that is repeated in several documents"
+    texts = [long, f"{long}\nroses\nare red", f"{long}\n \u00a0\t", "a\n\nb"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert got == {0: long, 1: "roses\nare red", 3: "a\n\nb"}
