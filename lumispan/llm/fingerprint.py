@@ -7,6 +7,8 @@ A fingerprint is the length, the hash of the whole text, and the prefix hashes a
 that leaves at most ``MARKS``) together with those of the reversed text. The likeness of two fingerprints is the part of
 the longer text that their longest common prefix and longest common suffix cover, as far as the marks tell: the last
 common mark is found by binary search. Equal texts have equal fingerprints and likeness 1; two empty texts are equal.
+Where both texts are at hand, as in :func:`compare_with_edits`, :func:`shared` takes exact extensions instead: the common
+prefix and suffix, and between them the passages that meet at anchors (windows of ``ANCHOR`` code points chosen by content).
 
 Null text is empty text. In :func:`compare_with_edits`, repeated doc_ids are ordered by a hash of their text, rows
 without doc_id come last, and a table of one row is its own next document.
@@ -29,6 +31,7 @@ from lumispan.llm.common import small_slices
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 998244353)
 MARKS = 32
+ANCHOR, EVERY = 16, 16  # a window is an anchor by its content, one of EVERY on average
 
 
 class Powers:
@@ -100,9 +103,22 @@ def step_of(n: int) -> int:
 
 def fingerprint(points: np.ndarray) -> str:
     """Length, whole hash, prefix marks and suffix marks as text."""
-    n = len(points)
+    return Hashed(points).fingerprint()
+
+
+class Hashed:
+    """The prefix hashes of a text and of its reverse."""
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.n = points, len(points)
+        self.ahead, self.back = PrefixHash(points), PrefixHash(points[::-1])
+
+    def fingerprint(self) -> str:
+        return _marked(self.n, self.ahead, self.back)
+
+
+def _marked(n: int, ahead: PrefixHash, back: PrefixHash) -> str:
     at = np.arange(1, n // step_of(n) + 1) * step_of(n) if n else np.zeros(0, np.int64)
-    ahead, back = PrefixHash(points), PrefixHash(points[::-1])
     marks = lambda h: ".".join(f"{x & 0xFFFFFFFF:08x}" for x in h.prefix(at).tolist())
     return f"{n:x}:{int(ahead.prefix(n)):016x}:{marks(ahead)}:{marks(back)}"
 
@@ -128,6 +144,48 @@ def likeness(a: str, b: str) -> float:
     return min(total, min(n, m)) / max(n, m)
 
 
+def anchors(points: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors within [lo, hi)."""
+    if hi - lo < ANCHOR:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = (points[lo:hi] + np.uint64(0x51ED27)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    width = 1
+    while width < ANCHOR:  # windows of 1, 2, 4, ... code points
+        h = h[:-width] * np.uint64(pow(0xD6E8FEB86659FD93, width, 1 << 64)) + h[width:]
+        width *= 2
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    at = np.flatnonzero(h % np.uint64(EVERY) == 0)
+    return lo + at, h[at]
+
+
+def shared(x: Hashed, y: Hashed) -> float:
+    """The part of the longer text that its passages in the other one cover, 0 to 1: common prefix and suffix, and matches at anchors."""
+    if x.n < y.n:
+        x, y = y, x
+    if not y.n:
+        return float(not x.n)
+    p = x.ahead.extension(0, y.ahead, 0)
+    s = min(x.back.extension(0, y.back, 0), y.n - p)
+    covered, at, end = p + s, p, x.n - s
+    there, hashes = anchors(y.points, p, y.n - s)
+    if len(there):
+        values, first = np.unique(hashes, return_index=True)
+        here, own = anchors(x.points, p, end)
+        place = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        both = values[place] == own
+        for i, j in zip(here[both].tolist(), there[first[place[both]]].tolist(), strict=True):
+            if i < at:
+                continue
+            ahead = min(x.ahead.extension(i, y.ahead, j), end - i)
+            if ahead:
+                covered += ahead + min(x.back.extension(x.n - i, y.back, y.n - j), i - at)
+                at = i + ahead
+    return min(covered, y.n) / x.n
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars and fingerprint of each document."""
 
@@ -183,17 +241,18 @@ def compare_with_edits(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
     ordered = both.repartition(len(order), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), tie, "text").select("doc_id", "text", "range", "guest")
 
     def run(batches):
-        held = None  # (doc_id, text, points, fingerprint, range) of the row before
+        held = None  # (doc_id, text, fingerprint, range, hashes) of the row before
         for batch in batches:
             for some in small_slices(batch, "text", 8 << 20):
                 out = []
                 for doc_id, text, part, guest in zip(*(some.column(c).to_pylist() for c in ("doc_id", "text", "range", "guest")), strict=True):
-                    mark = fingerprint(code_points(text))
+                    this = Hashed(code_points(text))
+                    mark = this.fingerprint()
                     if held is not None and held[3] == part:
                         changed = edit(held[1], text)
-                        other = fingerprint(code_points(changed))
-                        out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[2], other, likeness(held[2], other), likeness(held[2], mark)))
-                    held = None if guest else (doc_id, text, mark, part)
+                        edited = Hashed(code_points(changed))
+                        out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[2], edited.fingerprint(), shared(held[4], edited), shared(held[4], this)))
+                    held = None if guest else (doc_id, text, mark, part, this)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 

@@ -288,6 +288,22 @@ def test_fingerprints(spark, docs, empty):
     assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_shared_passages():
+    rng = np.random.default_rng(3)
+    of = lambda n, lo=97: "".join(map(chr, rng.integers(lo, lo + 26, n)))
+    hashed = lambda t: fingerprint.Hashed(fingerprint.code_points(t))
+    near = lambda a, b: fingerprint.shared(hashed(a), hashed(b))
+    head, tail, body = of(30_000), of(777), of(5000)
+    assert near(head + of(970_000), head + of(970_000, 65)) == 0.03
+    for k in (0, 1, 7, 1000):  # against the common prefix and suffix, letter by letter
+        a, b = body[:k] + "A" + of(900) + tail, body[:k] + "B" + of(900, 65) + tail
+        want = next(i for i in range(len(a)) if a[i] != b[i]) + next(i for i in range(len(a)) if a[-1 - i] != b[-1 - i])
+        assert near(a, b) == want / len(a)
+    assert near("A" + body + "C", "B" + body + "D") == 5000 / 5002
+    assert near(body[:2500] + body[2500:], body[2500:] + body[:2500]) > 0.97
+    assert near(body, of(5000, 65)) == 0 and near("", "") == 1 and near("", "a") == 0 and near("a" * 50, "a" * 40) == 0.8
+
+
 def test_prefix_hashes():
     a, b = fingerprint.code_points("xxhello world!"), fingerprint.code_points("hello worms")
     p, q = fingerprint.PrefixHash(a), fingerprint.PrefixHash(b)
