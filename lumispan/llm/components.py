@@ -86,27 +86,3 @@ def _placed(stars: DataFrame) -> DataFrame:
     """Each vertex of stars (u, v) and its component v."""
     vertices = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return vertices.unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def bucket_components(active: DataFrame, verify, rounds: int = 4) -> DataFrame:
-    """(id, component) of ids that share buckets (key, id), by the pairs for which ``verify`` (DataFrame of u, v) finds links.
-
-    The first passes compare the ids of each bucket whose components differ with one of them, another one in each pass; the last
-    compares all ids of a bucket whose components still differ. What they skip is one component already.
-    """
-    links, parts = None, None
-    left = active.withColumn("component", F.col("id"))
-    for r in range(rounds):
-        centre = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "component")).alias("c"))
-        pairs = left.join(centre, "key").where(F.col("component") != F.col("c.component")).select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v"))
-        found = verify(pairs)
-        links = found if links is None else links.unionByName(found)
-        parts = components(links)
-        placed = materialize(active.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = materialize(placed.join(mixed, "key"), "mixed")
-        if left.isEmpty():
-            return parts
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")))
-    return components(links.unionByName(verify(across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))))

@@ -1,11 +1,13 @@
 """Fuzzy removal of repeated lines by MinHash.
 
 A line counts as its words in lower case with single spaces between; blank lines are left alone, and with ``least`` over 1
-shorter ones as well. Equal lines are one; lines shorter than a shingle are only compared for equality. Signatures over character shingles fall into bands; lines that share a band
-are verified by the exact Jaccard similarity of their shingle sets, and a union-find over the links gives components. Of each
-component the line at the smallest (doc_id, line number) stays, all others go.
+shorter ones as well. Equal lines are one; lines shorter than a shingle are only compared for equality. Signatures over
+character shingles fall into bands. Inside a band's bucket an exact upper bound from sizes and parity bits leaves the pairs that
+can be similar, of which a spanning forest is verified first by the exact Jaccard similarity of shingle sets, then what still
+joins different components. A distributed union-find over the links gives components. Of each component the line at the
+smallest (doc_id, line number) stays, all others go.
 
-With 10 bands of 4 rows, lines of similarity 0.8 meet with probability 0.995, of 0.85 with 0.9994, and unrelated lines
+With 7 bands of 3 rows, lines of similarity 0.8 meet with probability 0.993, of 0.85 with 0.9989, and unrelated lines
 (8-shingle similarity below 0.01 as a rule) hardly ever. Null text has no lines and stays null; documents without doc_id stay
 as they are; an empty table gives none. Rows that repeat a doc_id are told apart by a hash of their text; equal rows are one
 document in this respect, so all or none of a line goes from them. Lines are named by 64-bit hashes.
@@ -13,23 +15,26 @@ document in this respect, so all or none of a line goes from them. Lines are nam
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumispan.llm.common import materialize, small_slices
-from lumispan.llm.components import bucket_components
+from lumispan.llm.components import components
+from lumispan.llm.jaccard import parity
 
 SHINGLE = 8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 7, 3
 PERCENT = 80
 LEAST = 1  # characters of a line that counts: all but blank ones
+BLOCK = 2048  # rows of a bucket that are compared in one place; longer buckets are dealt in pairs of blocks
+SMALL = 12  # buckets up to this size are compared without arrays
 _SEED = np.random.default_rng(20240117)
 _A = _SEED.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def normal(line: str) -> str:
@@ -37,7 +42,7 @@ def normal(line: str) -> str:
 
 
 def line_id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
 def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,19 +68,44 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h, np.cumsum(counts) - counts
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys of the bands of each line's signature."""
-    h, starts = shingle_hashes(lines)
-    low = h.astype(np.uint32)
+def _small_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shingle_hashes`, of 32 bits, for lines of k characters or more."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4") * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    width, base = 1, 0x27D4EB2F
+    while width < k:
+        h[:-width] = h[:-width] * np.uint32(pow(base, width, 1 << 32)) + h[width:]
+        width *= 2
+    ends = np.cumsum(size)
+    keep = np.ones(len(h), bool)
+    for i in range(1, k):
+        keep[ends - i] = False
+    h = h[keep]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    counts = size - k + 1
+    return h, np.cumsum(counts) - counts
+
+
+def band_keys(lines: list[str], most: int = 1 << 16) -> np.ndarray:
+    """(lines, BANDS) keys of the bands of the signature of each line of a shingle or more, about ``most`` characters at a time."""
     keys = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(lines), np.uint64((b + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        for i in range(b * ROWS, (b + 1) * ROWS):
-            x = low * _A[i]
-            x += _B[i]
-            key = (key ^ np.minimum.reduceat(x, starts).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(32)
-        keys[:, b] = key
+    at = total = 0
+    for i, line in enumerate(lines):
+        total += len(line)
+        if total < most and i + 1 < len(lines):
+            continue
+        h, starts = _small_hashes(lines[at : i + 1])
+        for b in range(BANDS):
+            key = np.full(len(starts), np.uint64((b + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            for r in range(b * ROWS, (b + 1) * ROWS):
+                key = (key ^ np.minimum.reduceat(h * _A[r], starts).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+                key ^= key >> np.uint64(32)
+            keys[at : i + 1, b] = key
+        at, total = i + 1, 0
     return keys.view(np.int64)
 
 
@@ -128,7 +158,7 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 given = np.array(fresh) >= 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(given, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)), mask=pa.array(~given))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(nos, pa.int32()), pa.array(names, pa.int64()), lists], names=[c.split()[0] for c in OCCURRENCE.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(nos, pa.int32()), pa.array(np.array(names, np.uint64).view(np.int64)), lists], names=[c.split()[0] for c in OCCURRENCE.split(", ")])
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, OCCURRENCE)
 
@@ -162,12 +192,164 @@ def line_texts(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for some in small_slices(batch, "text"):
                 found = {line_id(x): x for t in some.column("text").to_pylist() for raw in t.split("\n") if len(x := normal(raw)) >= least}
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], names=["id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found.keys(), np.uint64, len(found)).view(np.int64)), pa.array(found.values(), pa.string())], names=["id", "line"])
 
     return docs.select("text").mapInArrow(run, "id long, line string")
 
 
-def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, least: int = LEAST, most_broadcast: int = 1_000_000) -> DataFrame:
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, size, bits): how many shingles each line has and the parity bits of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for some in small_slices(batch, "line", 1 << 20):
+                h, starts = shingle_hashes(some.column("line").to_pylist())
+                sets = [np.unique(x) for x in np.split(h, starts[1:])]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(parity, sets)), pa.binary())], names=["id", "size", "bits"])
+
+    return texts.select("id", "line").mapInArrow(run, "id long, size int, bits binary")
+
+
+class Bucket:
+    """The rows of one bucket, or of two of its blocks, and which pairs of them can be similar."""
+
+    def __init__(self, component: np.ndarray, block: np.ndarray, size: np.ndarray, bits: list[bytes], percent: int):
+        self.component, self.block, self.size, self.percent = component, block, size, percent
+        self.two = block.min() != block.max()
+        width = np.array([len(x) for x in bits])
+        self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # rows and bits by width; of the next width, folded, as well
+        for w in np.unique(width).tolist():
+            mine, more = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            table = np.frombuffer(b"".join(bits[i] for i in mine.tolist()), "<u8").reshape(len(mine), -1)
+            if len(more):
+                halves = np.frombuffer(b"".join(bits[i] for i in more.tolist()), "<u8").reshape(len(more), 2, -1)
+                table = np.concatenate([table, halves[:, 0] ^ halves[:, 1]])
+            self.words[w] = (np.concatenate([mine, more]), table)
+        self.width, self.place = width, {w: {r: i for i, r in enumerate(rows.tolist())} for w, (rows, _) in self.words.items()}
+
+    def likeness(self, r: int) -> np.ndarray:
+        """The most that the similarity of each row to row ``r`` can be; 0 where it is too little or of no use."""
+        out = np.zeros(len(self.size))
+        for w in (self.width[r], self.width[r] // 2):
+            if w not in self.words:
+                continue
+            rows, table = self.words[w]
+            apart = np.bitwise_count(table ^ table[self.place[w][r]]).sum(axis=1, dtype=np.int64)
+            both = self.size[rows] + self.size[r]
+            common = np.minimum((both - apart) // 2, np.minimum(self.size[rows], self.size[r]))
+            fits = (100 * common >= self.percent * (both - common)) & (self.component[rows] != self.component[r])
+            if self.two:
+                fits &= self.block[rows] != self.block[r]
+            out[rows[fits]] = (common / (both - common))[fits]
+        return out
+
+    def forest(self) -> list[tuple[int, int]]:
+        """A forest that joins the components whose rows can be similar, by the likeliest pairs (Prim)."""
+        order = np.argsort(self.component, kind="stable")
+        edges = np.flatnonzero(np.diff(self.component[order])) + 1
+        members = np.split(order, edges)
+        group = np.empty(len(order), np.int64)
+        for g, rows in enumerate(members):
+            group[rows] = g
+        best, source = np.zeros(len(order)), np.zeros(len(order), np.int64)
+        todo, found = np.ones(len(order), bool), []
+        while todo.any():
+            r = int(np.argmax(np.where(todo, best, -1)))
+            if best[r]:
+                found.append((int(source[r]), r))
+            todo[members[group[r]]] = False
+            for q in members[group[r]].tolist():
+                near = self.likeness(q)
+                closer = near > best
+                best[closer], source[closer] = near[closer], q
+        return found
+
+    def every(self) -> list[tuple[int, int]]:
+        return [(r, int(q)) for r in range(len(self.size)) for q in np.flatnonzero(self.likeness(r)) if r < q]
+
+
+def _few(component: list[int], block: list[int], size: list[int], bits: list[bytes], percent: int, all_pairs: bool) -> list[tuple[int, int]]:
+    """As :class:`Bucket`, for buckets of few rows."""
+    whole, found, n = [int.from_bytes(x, "little") for x in bits], [], len(size)
+    two = len(set(block)) > 1
+    for i in range(n):
+        for j in range(i + 1, n):
+            a, b = size[i], size[j]
+            if component[i] == component[j] or two and block[i] == block[j] or 100 * min(a, b) < percent * max(a, b):
+                continue
+            x, y, w = whole[i], whole[j], len(bits[i])
+            if w > len(bits[j]):
+                w = len(bits[j])
+                x = x >> 8 * w ^ x & (1 << 8 * w) - 1
+            elif w < len(bits[j]):
+                y = y >> 8 * w ^ y & (1 << 8 * w) - 1
+            common = min(a, b, (a + b - (x ^ y).bit_count()) // 2)
+            if 100 * common >= percent * (a + b - common):
+                found.append((common / (a + b - common), i, j))
+    if all_pairs or len(found) < 2:
+        return [(i, j) for _, i, j in found]
+    parent = {c: c for c in component}
+    out = []
+    for _, i, j in sorted(found, key=lambda x: -x[0]):
+        a, b = component[i], component[j]
+        while parent[a] != a:
+            a = parent[a]
+        while parent[b] != b:
+            b = parent[b]
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def candidates(rows: DataFrame, all_pairs: bool, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of the rows (key, id, component, size, bits) of a bucket that can be similar and differ in their components.
+
+    Of each bucket a forest that joins its components, or ``all_pairs``. Buckets of more than ``block`` rows are cut into
+    blocks by a hash of the id, and every two blocks meet in a place of their own.
+    """
+    long = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "long")
+    dealt = rows.withColumn("parts", F.lit(1)) if long.isEmpty() else rows.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    turn = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = dealt.select("key", "id", "component", "size", "bits", "block", turn).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "size", "bits", "block")
+
+    def pairs(rows):
+        if len(rows[0]) <= SMALL:
+            found = _few(*rows[1:], percent, all_pairs)
+        else:
+            b = Bucket(*(np.array(c) for c in rows[1:4]), rows[4], percent)
+            found = b.every() if all_pairs else b.forest()
+        u = [min(rows[0][i], rows[0][j]) for i, j in found]
+        return u, [max(rows[0][i], rows[0][j]) for i, j in found]
+
+    def run(batches):
+        held, last, us, vs = None, None, [], []
+        for batch in batches:
+            k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("id", "component", "block", "size", "bits")]
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
+                mine, name = [c[a:b] for c in columns], (int(k[a]), int(i[a]), int(j[a]))
+                if name == last:
+                    held = [x + y for x, y in zip(held, mine, strict=True)]
+                    continue
+                if held and len(held[0]) > 1:
+                    u, v = pairs(held)
+                    us += u
+                    vs += v
+                held, last = mine, name
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                us, vs = [], []
+        if held and len(held[0]) > 1:
+            u, v = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long").distinct()
+
+
+def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, least: int = LEAST, most_broadcast: int = 500_000) -> DataFrame:
     """(id, component) of the lines that are linked to others."""
     active = materialize(shared_buckets(seen.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("line").alias("id"))), "buckets")
     ids = materialize(active.select("id").distinct(), "ids")
@@ -178,6 +360,7 @@ def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, le
     owners = materialize(owners, "owners")
     some = docs.join(F.broadcast(owners) if few else owners, "doc_id", "left_semi")  # no longer than ``ids``
     texts = materialize(line_texts(some, least).join(ids_or, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+    rows = materialize(active.join(sketches(texts), "id"), "bucket-rows")
 
     def run(batches):
         for batch in batches:
@@ -191,9 +374,24 @@ def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, le
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = texts.select(F.col("id").alias("u"), F.col("line").alias("a")), texts.select(F.col("id").alias("v"), F.col("line").alias("b"))
-        return materialize(pairs.distinct().join(x, "u").join(y, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "line-links")
+        return materialize(pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "line-links")
+
+    links = verify(candidates(rows.withColumn("component", F.col("id")), False, percent))
+    parts = components(links)
+    # what the first pass left apart: buckets whose rows are in different components
+    placed = rows.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "size", "bits")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = materialize(placed.join(mixed, "key"), "mixed")
+    if left.isEmpty():
+        return parts
+    return components(links.unionByName(verify(candidates(left, True, percent))))
+
 
-    return bucket_components(active, verify)
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
+    """Each text without the lines whose numbers are in ``drop``; null where ``text`` is."""
+    gone = [None if d is None else set(d.tolist()) for d in drop]
+    return pd.Series([None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d) for t, d in zip(text, gone, strict=True)], dtype=object)
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
@@ -205,13 +403,17 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) ->
     # equal lines and their components share the first place; the aggregates combine before the shuffle
     place = F.struct("doc_id", "mark", "line_no")
     first = seen.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    joined = first.join(parts, first.line == parts.id, "left").select("line", "first", "last", "component")
-    best = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("best"))
-    kept = materialize(joined.join(best, "component", "left").select("line", F.coalesce("best", "first").alias("best"), "last").where("last != best"), "kept")
+    first = materialize(first, "firsts")
+    # lines without a component stay out of the joins by component
+    joined = first.join(parts, first.line == parts.id).select("line", "first", "last", "component")
+    best = joined.groupBy("component").agg(F.min("first").alias("best"))
+    linked = joined.join(best, "component").select("line", "best", "last").where("last != best")
+    alone = first.where("last != first").join(parts, first.line == parts.id, "left_anti").select("line", F.col("first").alias("best"), "last")
+    kept = materialize(linked.unionByName(alone), "kept")
     gone = seen.select("doc_id", "mark", "line_no", "line").join(kept.select("line", "best"), "line").where(place != F.col("best"))
     drop = gone.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("drop")).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "drop")
     full = clean.withColumn("__m", F.xxhash64(F.col("text").cast("string"))).join(drop, (F.col("__id") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
     lines = F.split("text", "\n", -1)
-    left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(_without(F.when(F.col("drop").isNotNull(), F.col("text").cast("string")), "drop"))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return full.select(*names, left.alias("text"), F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
