@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -66,6 +67,39 @@ def make_dir(uri: str) -> str:
     return uri
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, key, make):
+    """``make()`` of this worker process and key, made once.
+
+    Workers are used again by other stages. What other owners hold is let go first, with the memory that the allocators keep.
+    """
+    if owner not in _caches:
+        _caches.clear()
+        release()
+        _caches[owner] = {}
+    held = _caches[owner]
+    if key not in held:
+        while len(held) >= 2:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch, rows: int) -> Iterator:
     """Parts of an Arrow batch, of so many rows at most."""
     for at in range(0, batch.num_rows, rows):

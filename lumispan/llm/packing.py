@@ -17,6 +17,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def pack_tokens(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACIT
         rows: list[tuple] = []
         for batch in batches:
             for some in small_slices(batch, "text"):
-                raw = enc.encode_bytes([x or "" for x in some.column("text").to_pylist()])
+                raw = enc.encode_bytes(pc.fill_null(some.column("text"), ""))
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), raw, strict=True):
                     ids = np.frombuffer(ids + end, enc.dtype).astype("<u4")
                     at, data = 0, memoryview(ids.tobytes())

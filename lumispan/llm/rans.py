@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,7 +237,7 @@ def tokenize_sorted(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             for some in small_slices(batch, "text"):
-                raw = [x + end for x in enc.encode_bytes([x or "" for x in some.column("text").to_pylist()])]
+                raw = [x + end for x in enc.encode_bytes(pc.fill_null(some.column("text"), ""))]
                 n = np.array([len(x) // enc.dtype.itemsize for x in raw], np.int64)
                 counts += np.bincount(np.frombuffer(b"".join(raw), enc.dtype), minlength=len(counts))
                 starts = at + np.cumsum(n) - n

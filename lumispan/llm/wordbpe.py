@@ -1,23 +1,32 @@
 """Batch encoding with the ``tokenizers`` library that encodes each distinct word once per worker.
 
-Both pre-tokenizers handled here never join what stands on two sides of certain spaces, so the ids of a text are
-the ids of its pieces between those spaces, one after the other. Pieces come again and again; a bounded cache holds
-their ids. Any text, or tokenizer file, for which that is not certain goes through the library whole.
+Both pre-tokenizers handled here never join what stands on two sides of certain spaces and line ends, so the ids of a text are
+the ids of its pieces between those, one after the other. Arrow cuts a column of texts into pieces and numbers the distinct
+ones; a bounded cache holds their ids, and the ids of the texts are gathered from those. A word of Latin letters with
+punctuation after it is learnt as two parts, since the same letters come with other punctuation too. Any text, or tokenizer
+file, for which that is not certain goes through the library whole.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import json
+import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_ENTRIES = 400_000
+from lumispan.llm.common import worker_cache
+
+CACHE_ENTRIES = 300_000
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 _CONTROL = re.compile("[\x01\x1c-\x1f]")
-_NOT_LATIN = re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ ]")
+_WHITE = r"\t\x0b-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # but space and line feed
+LITERAL = "\x02"  # leads a piece that no space stands before
+_PLAIN = r"\A(?P<lead>[\n\x02]?)(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)\z"  # ASCII punctuation but the apostrophe
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -28,10 +37,44 @@ def byte_alphabet() -> dict[int, str]:
     return out | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def segments(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``pool`` that begin at ``start`` and are ``size`` long, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat((start - ends + size).astype(np.int32), size) + np.arange(total, dtype=np.int32)]
+
+
+class Store:
+    """The ids of words: a place for each in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.index: dict[str, int] = {}
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.used = np.zeros(4096, dtype), 0
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 where it is not held."""
+        return np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hold new words, whose ids are parts of ``ids``."""
+        n, k = len(self.index), len(words)
+        while len(self.start) < n + k:
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[n : n + k], self.size[n : n + k] = start + self.used, size
+        self.used += len(ids)
+        self.index.update(zip(words, range(n, n + k), strict=True))
+        return np.arange(n, n + k)
+
+
 class WordEncoder:
     """``encode(texts)`` gives one array of unsigned ids a text, equal to the library's with add_special_tokens=False."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -41,8 +84,8 @@ class WordEncoder:
         self.vocab_size = self.full.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.entries = entries
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the cache before; what is used again moves on
+        self.cache = Store(self.dtype)
+        self.older = Store(self.dtype)  # the one before; what is used again moves on
         self.first: dict[str, bytes] = {}
         self.added = [a["content"] for a in spec["added_tokens"]]
         self.kind = self._kind(spec)
@@ -56,10 +99,13 @@ class WordEncoder:
         if self.kind != "other":
             # the same merges without normalizer and pattern, for words that need neither
             self.alphabet = byte_alphabet() | {32: " "}
+            self.space = names.index("Ġ") if self.kind == "byte" else -1
             bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
             self.bare = Tokenizer.from_str(json.dumps(bare))
-            self.tail = {c: self._whole(c) for c in ".,"}
-            self.mark = self._whole("\x01")
+            self.tail: dict[str, np.ndarray] = {}
+            self.mark, self.line_end = self._ids("\x01"), self._ids("\n")
+            added = "".join(f"|{re.escape(a)}" for a in self.added)
+            self.odd = (rf"[ \n](?:[ \n{_WHITE}]|\z)|\x02" if self.kind == "byte" else rf"[\x01{_WHITE}]") + added
 
     def _kind(self, spec: dict) -> str:
         pre, norm, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
@@ -72,47 +118,76 @@ class WordEncoder:
         return "other"
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._ids(text).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, self.dtype) for x in self.encode_bytes(texts)]
 
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian integers of ``self.dtype``."""
-        out: list[bytes | None] = [None] * len(texts)
+    def encode_bytes(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids as little-endian integers of ``self.dtype``; an Arrow column has no nulls."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if self.kind == "other":
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
-        if len(self.cache) > self.entries:
-            self.older, self.cache = self.cache, {}
-        if len(self.first) > self.entries // 4:
-            self.first.clear()
-        get, later, missing = self.cache.get, [], set()
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch(column.to_pylist(), add_special_tokens=False)]
+        if len(self.cache.index) > self.entries:
+            self.older, self.cache = self.cache, Store(self.dtype)
+        for held in (self.first, self.tail):
+            if len(held) > self.entries // 4:
+                held.clear()
+        odd = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(column)
+        for plain, encode in ((~odd, self._encode_plain), (odd, self._encode_odd)):
+            if plain.any():
+                for i, ids in zip(np.flatnonzero(plain).tolist(), encode(column.filter(pa.array(plain))), strict=True):
+                    out[i] = ids
+        return out
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The numbers in the cache of distinct words, learnt where they are new."""
+        at = self.cache.find(words)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            lost = [words[i] for i in miss.tolist()]
+            held = self.older.find(lost)
+            again, new = np.flatnonzero(held >= 0), np.flatnonzero(held < 0)
+            if len(again):
+                start, size = self.older.start[held[again]], self.older.size[held[again]]
+                at[miss[again]] = self.cache.add([lost[i] for i in again.tolist()], segments(self.older.pool, start, size), np.cumsum(size) - size, size)
+            if len(new):
+                at[miss[new]] = self._learn([lost[i] for i in new.tolist()])
+        return at
+
+    def _encode_plain(self, column: pa.Array) -> list[bytes]:
+        """Texts in which every space and line end is a place to cut."""
+        if self.kind == "byte":
+            column = pc.binary_join_element_wise(LITERAL, pc.replace_substring(column, "\n", " \n"), "")
+        else:
+            column = pc.replace_substring(column, "\n", " ")
+        lists = pc.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, lasts = coded.indices.to_numpy(), np.cumsum(lists.value_lengths().to_numpy()) - 1
+        at = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[codes]
+        size = self.cache.size[at]
+        raw = segments(self.cache.pool, self.cache.start[at], size).tobytes()
+        ends = (np.cumsum(size)[lasts] * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _encode_odd(self, column: pa.Array) -> list[bytes]:
+        texts = column.to_pylist()
+        out: list[bytes] = [b""] * len(texts)
         for i, text in enumerate(texts):
             words = self._pieces(text)
             if words is None:
                 out[i] = self._whole(text)
                 continue
-            found = list(map(get, words))
-            if None in found:
-                missing.update(w for w, ids in zip(words, found, strict=True) if ids is None)
-                later.append((i, words))
-            else:
-                out[i] = b"".join(found)
-        if missing:
-            again = missing & self.older.keys()
-            self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            self._learn(list(missing - again))
-            get = self.cache.get
-            for i, words in later:
-                out[i] = b"".join(map(get, words))
-        if self.kind == "byte":
-            for i, text in enumerate(texts):
-                if self._safe(text):
-                    out[i] = self._head(text) + out[i]
+            head = self._head(text) if self.kind == "byte" else b""
+            distinct = list(set(words))
+            known = dict(zip(distinct, self._known(distinct).tolist(), strict=True))
+            at = np.fromiter(map(known.get, words), np.int64, len(words))
+            out[i] = head + segments(self.cache.pool, self.cache.start[at], self.cache.size[at]).tobytes()
         return out
 
     def _safe(self, text: str) -> bool:
-        return not any(a in text for a in self.added)
+        return LITERAL not in text and not any(a in text for a in self.added)
 
     def _head(self, text: str) -> bytes:
         head = text[: m.start()] if (m := _CUT.search(text)) else text
@@ -126,75 +201,110 @@ class WordEncoder:
             return None
         if self.kind == "word":
             return None if _CONTROL.search(text) else text.split()
-        return (_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" "))[1:]
+        return (_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" "))[1:]  # what is before goes to ``_head``
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Their numbers in the cache."""
+        found = np.empty(len(words), np.int64)
         for at in range(0, len(words), 16384):
-            odd = self._learn_plain(words[at : at + 16384])
-            if odd:
-                (self._learn_byte if self.kind == "byte" else self._learn_word)(odd)
+            some = words[at : at + 16384]
+            parts = pc.extract_regex(pa.array(some, pa.string()), _PLAIN)
+            plain = parts.is_valid().to_numpy(zero_copy_only=False)
+            number = np.empty(len(some), np.int64)
+            if plain.any():
+                number[plain] = self._learn_plain([some[i] for i in np.flatnonzero(plain).tolist()], parts.filter(parts.is_valid()))
+            if not plain.all():
+                odd = [some[i] for i in np.flatnonzero(~plain).tolist()]
+                ids = (self._learn_byte if self.kind == "byte" else self._learn_word)(odd)
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                number[~plain] = self.cache.add(odd, np.concatenate(ids), np.cumsum(size) - size, size)
+            found[at : at + 16384] = number
+        return found
 
-    def _cut(self, ids: np.ndarray) -> list[bytes]:
-        """The bytes of each word's ids: it begins, or ends, where the vocabulary says so."""
-        raw, k = ids.tobytes(), self.dtype.itemsize
-        if self.kind == "byte":
-            at = (np.flatnonzero(self.opens[ids]) * k).tolist()
-            return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
-        at = ((np.flatnonzero(self.closes[ids]) + 1) * k).tolist()
-        return [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
-
-    def _learn_plain(self, words: list[str]) -> list[str]:
-        """Learn the words of Latin letters, with a full stop or comma after them or not; returns the others."""
-        plain, odd, lower = [], [], self.kind == "word"
-        for w in words:
-            stem = w[:-1] if w[-1:] in self.tail else w
-            if stem.isalpha():
-                plain.append((w, stem))
-            else:
-                odd.append(w)
-        if _NOT_LATIN.search(" ".join([stem for _, stem in plain])):
-            odd += [w for w, stem in plain if _NOT_LATIN.search(stem)]
-            plain = [(w, stem) for w, stem in plain if not _NOT_LATIN.search(stem)]
-        if plain:
-            order = list({stem for _, stem in plain})
-            text = " ".join(order)
-            text = (text.lower() if lower else text).encode().decode("latin-1").translate(self.alphabet)
-            if not lower:
-                text = "Ġ" + text.replace(" ", " Ġ")
-            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, self.dtype)
-            known, tail = dict(zip(order, self._cut(ids), strict=True)), self.tail
-            self.cache.update((w, known[stem] + tail[w[-1]] if w[-1] in tail else known[stem]) for w, stem in plain)
-        return odd
-
-    def _learn_byte(self, words: list[str]) -> None:
+    def _learn_plain(self, words: list[str], parts: pa.StructArray) -> np.ndarray:
+        """Learn words of Latin letters, with ASCII punctuation after them or not."""
+        lead, stem, tail = (parts.field(c) for c in ("lead", "stem", "tail"))
+        led = pc.not_equal(lead, "")
+        stems = pc.if_else(led, pc.binary_join_element_wise(LITERAL, stem, ""), stem).dictionary_encode()
+        names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self.cache.find(names)
+        for lone in (False, True):
+            new = [i for i in np.flatnonzero(at < 0).tolist() if (names[i][0] == LITERAL) == lone]
+            if new:
+                ids, size = self._bare([names[i] for i in new], lone)
+                at[new] = self.cache.add([names[i] for i in new], ids, np.cumsum(size) - size, size)
+        tails = tail.dictionary_encode()
+        ends = [self._tail(t) for t in tails.dictionary.to_pylist()]
+        line_end = pc.equal(lead, "\n").to_numpy(zero_copy_only=False)
+        at = at[stems.indices.to_numpy()]
+        number = at.copy()
+        more = np.flatnonzero(line_end | led.to_numpy(zero_copy_only=False) | pc.not_equal(tail, "").to_numpy(zero_copy_only=False))
+        if len(more):
+            # their ids are three parts of one array: a line end or nothing, the stem's, the tail's
+            extra = np.concatenate([self.line_end, *ends])
+            sizes = np.array([len(e) for e in ends])
+            base = np.array([self.cache.used, *(self.cache.used + len(self.line_end) + np.cumsum(sizes) - sizes)])
+            which = tails.indices.to_numpy()[more]
+            start = np.stack([np.full(len(more), base[0]), self.cache.start[at[more]], base[1:][which]], axis=1).ravel()
+            size = np.stack([np.where(line_end[more], len(self.line_end), 0), self.cache.size[at[more]], sizes[which]], axis=1)
+            ids = segments(np.concatenate([self.cache.pool[: self.cache.used], extra]), start, size.ravel())
+            total = size.sum(axis=1)
+            todo = [words[i] for i in more.tolist()]
+            fresh = np.array([w not in self.cache.index for w in todo])  # a literal alone is its own stem
+            number[more[fresh]] = self.cache.add([w for w, f in zip(todo, fresh.tolist(), strict=True) if f], ids, (np.cumsum(total) - total)[fresh], total[fresh])
+        return number
+
+    def _tail(self, text: str) -> np.ndarray:
+        if text not in self.tail:
+            self.tail[text] = self._ids(text)
+        return self.tail[text]
+
+    def _bare(self, stems: list[str], lone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of Latin letters, one after the other, and how many each has; ``lone``: no space leads them."""
+        text = " ".join(stems)
+        text = (text.lower() if self.kind == "word" else text).encode().decode("latin-1").translate(self.alphabet)
+        if lone:
+            text = text.replace(self.alphabet[2], "").replace(" ", " Ġ ")
+        elif self.kind == "byte":
+            text = "Ġ" + text.replace(" ", " Ġ")
+        ids = np.array(self._fast(self.bare, [text])[0], self.dtype)
+        if lone:
+            gap = ids == self.space
+            return ids[~gap], np.diff(np.flatnonzero(gap), prepend=-1, append=len(ids)) - 1
+        if self.kind == "byte":  # a word begins, or ends, where the vocabulary says so
+            return ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+        return ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+
+    @staticmethod
+    def _fast(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._fast(self.full, [text])[0], self.dtype)
+
+    def _learn_byte(self, words: list[str]) -> list[np.ndarray]:
         """A piece begins with its space, and only there does one of its tokens begin with a space, unless it holds more."""
-        odd = [w for w in words if " " in w]
-        plain = [w for w in words if " " not in w]
-        for w in odd:
-            self.cache[w] = self._whole(" " + w)
+        found: dict[str, np.ndarray] = {}
+        plain = [w for w in words if " " not in w and w[:1] not in (LITERAL, "\n")]
         if plain:
-            ids = np.array(self.full.encode(" " + " ".join(plain), add_special_tokens=False).ids, self.dtype)
+            ids = self._ids(" " + " ".join(plain))
             at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(plain):
-                self.cache.update((w, self._whole(" " + w)) for w in plain)
-                return
-            raw, k = ids.tobytes(), self.dtype.itemsize
-            ends = [*(at[1:] * k).tolist(), len(raw)]
-            self.cache.update(zip(plain, (raw[a:b] for a, b in zip((at * k).tolist(), ends, strict=True)), strict=True))
-
-    def _learn_word(self, odd: list[str]) -> None:
-        k = self.dtype.itemsize
-        if odd:
-            ids = np.array(self.full.encode(" \x01 ".join(odd), add_special_tokens=False).ids, self.dtype)
-            raw, step = ids.tobytes(), len(self.mark)
-            at = (np.flatnonzero(ids == np.frombuffer(self.mark, self.dtype)[0]) * k).tolist()
-            if step != k or len(at) != len(odd) - 1:
-                self.cache.update((w, self._whole(w)) for w in odd)
-            else:
-                self.cache.update(zip(odd, (raw[a:b] for a, b in zip([0, *(x + step for x in at)], [*at, len(raw)], strict=True)), strict=True))
-
-
-@functools.lru_cache(maxsize=4)
+            if len(at) == len(plain):
+                found = dict(zip(plain, np.split(ids, at[1:]), strict=True))
+        rest = [w for w in words if w not in found]
+        texts = [w.removeprefix(LITERAL) if w[:1] in (LITERAL, "\n") else " " + w for w in rest]
+        found.update(zip(rest, (np.array(x, self.dtype) for x in self._fast(self.full, texts)), strict=True))
+        return [found[w] for w in words]
+
+    def _learn_word(self, words: list[str]) -> list[np.ndarray]:
+        ids = self._ids(" \x01 ".join(words))
+        at = np.flatnonzero(ids == self.mark[0])
+        if len(self.mark) == 1 and len(at) == len(words) - 1:
+            parts = np.split(ids, at)
+            return [parts[0], *(x[1:] for x in parts[1:])]
+        return [self._ids(w) for w in words]
+
+
 def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process and file."""
-    return WordEncoder(path)
+    """One encoder a worker process and file, held while tasks of this kind run there."""
+    return worker_cache("wordbpe", path, lambda: WordEncoder(path))
