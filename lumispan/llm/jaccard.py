@@ -16,10 +16,11 @@ Documents without words, or with null text, have an empty set and no link. Repea
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,38 +30,34 @@ from lumispan.llm.components import components
 N = 5
 PERCENT = 80
 FREQUENT = 1 << 16  # shingles ranked by their counts; all others keep the order of their hashes
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _words(text: str) -> list[str]:
-    text = text.translate(_LOWER) if not text.isascii() else text.lower()
-    return _WORD.findall(text)
 
 
 class Hasher:
-    """64-bit hashes of words, kept while they come again, and of their shingles."""
+    """Sorted distinct 64-bit hashes of the word shingles of texts."""
 
-    def __init__(self, n: int = N, entries: int = 300_000):
-        self.n, self.entries, self.seen = n, entries, {}
+    def __init__(self, n: int = N):
+        self.n = n
         self.powers = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(n)], np.uint64)
 
-    def word(self, w: str) -> int:
-        h = self.seen[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the shingles of a text."""
-        words = _words(text or "")
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.seen) > self.entries:
-            self.seen.clear()
-        found = list(map(self.seen.get, words))
-        if None in found:
-            found = [self.word(w) if h is None else h for w, h in zip(words, found, strict=True)]
-        h = np.array(found, np.uint64)
-        k = min(self.n, len(h))
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """The set of each text of a column. Arrow cuts the words and numbers the distinct ones, which are hashed once a call."""
+        column = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        lists = pc.ascii_split_whitespace(column)
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[coded.indices.to_numpy()]
+        starts = np.cumsum(counts) - counts
+        counts = np.where(pc.equal(column, "").to_numpy(zero_copy_only=False), 0, counts)
+        whole = self._windows(h, self.n) if len(h) >= self.n else np.zeros(0, np.uint64)
+        out = []
+        for a, c in zip(starts.tolist(), counts.tolist(), strict=True):
+            x = whole[a : a + c - self.n + 1] if c >= self.n else self._windows(h[a : a + c], c) if c else whole[:0]
+            x = np.sort(x)
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+        return out
+
+    def _windows(self, h: np.ndarray, k: int) -> np.ndarray:
         total = np.full(len(h) - k + 1, np.uint64(k))
         for i in range(k):
             x = h[i : len(h) - k + 1 + i] * self.powers[i]
@@ -68,7 +65,7 @@ class Hasher:
         total ^= total >> np.uint64(32)
         total *= np.uint64(0xBF58476D1CE4E5B9)
         total ^= total >> np.uint64(29)
-        return np.unique(total)
+        return total
 
 
 def prefix_length(size: int, percent: int = PERCENT) -> int:
@@ -76,32 +73,32 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
-def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least: int = 4) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least: int = 3) -> np.ndarray:
     """Hashes of the most counted shingles, the rarest of them first.
 
-    Every document is counted; a task passes on what it met ``least`` times. The result only orders shingles, and any order is exact.
+    Every document is counted; a task passes on what it meets ``least`` times among two million. The result only orders shingles, and any order is exact.
     """
 
     def run(batches):
         hasher = Hasher(n)
-        held, size, kept = [], 0, []
+        held, size = [], 0
 
         def fold():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            return h[c >= least], c[c >= least]
+            h, c = h[c >= least].view(np.int64), c[c >= least]
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(c[at : at + 100_000], pa.int64())], names=["shingle", "n"])
 
         for batch in batches:
             for some in small_slices(batch, "text"):
-                held += [hasher.shingles(t) for t in some.column("text").to_pylist()]
-                size = sum(map(len, held))
-                if size > 4_000_000:
-                    kept.append(fold())
-                    held = []
+                new = hasher.sets(some.column("text"))
+                held += new
+                size += sum(map(len, new))
+                if size > 2_000_000:
+                    yield from fold()
+                    held, size = [], 0
         if held:
-            kept.append(fold())
-        for h, c in kept:
-            for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000], pa.int64())], names=["shingle", "n"])
+            yield from fold()
 
     counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "shingle").limit(keep).toPandas()  # at most ``keep`` rows
@@ -139,8 +136,7 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
         for batch in batches:
             for some in small_slices(batch, "text"):
                 sizes, wholes, signs, bits, prefixes = [], [], [], [], []
-                for text in some.column("text").to_pylist():
-                    s = hasher.shingles(text)
+                for s in hasher.sets(some.column("text")):
                     sizes.append(len(s))
                     bits.append(parity(s))
                     wholes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -192,19 +188,21 @@ def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int = N, p
 
     def run(batches):
         hasher = Hasher(n)
-        last, sa = (None, None), None
         for batch in batches:
-            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            keep = []
-            for i in range(batch.num_rows):
-                # consecutive pairs of a document share its set
-                if last != (u[i],):
-                    last, sa = (u[i],), hasher.shingles(batch.column("a")[i].as_py())
-                sb = hasher.shingles(batch.column("b")[i].as_py())
-                common = len(np.intersect1d(sa, sb, assume_unique=True))
-                if common and 100 * common >= percent * (len(sa) + len(sb) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
+            for some in small_slices(batch, "b"):
+                u, v = some.column("u").to_numpy(), some.column("v").to_numpy()
+                keep = np.zeros(len(u), bool)
+                run_of = np.cumsum(np.concatenate([[True], u[1:] != u[:-1]])) - 1  # consecutive pairs of a document share its set
+                firsts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+                for at in range(0, len(firsts), 64):
+                    mine = firsts[at : at + 64]
+                    left = hasher.sets(some.column("a").take(pa.array(mine)))
+                    lo, hi = int(mine[0]), int(firsts[at + 64]) if at + 64 < len(firsts) else len(u)
+                    for i, sb in enumerate(hasher.sets(some.column("b").slice(lo, hi - lo)), lo):
+                        sa = left[run_of[i] - at]
+                        common = len(np.intersect1d(sa, sb, assume_unique=True))
+                        keep[i] = common and 100 * common >= percent * (len(sa) + len(sb) - common)
+                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
     return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
 
