@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.llm.common import small_slices
+from lumispan.llm.common import small_slices, worker_cache
 from lumispan.llm.wordbpe import WordEncoder, byte_alphabet
 
 WIDTH = 32  # bytes under the rolling hash
@@ -166,14 +166,9 @@ class ChunkEncoder:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_held: dict[tuple[str, int], ChunkEncoder] = {}
-
-
 def chunk_encoder(path: str, average: int = 512) -> ChunkEncoder:
     """One a worker process."""
-    if (path, average) not in _held:
-        _held[path, average] = ChunkEncoder(path, average)
-    return _held[path, average]
+    return worker_cache("chunkbpe", (path, average), lambda: ChunkEncoder(path, average))
 
 
 def encode_decode(docs: DataFrame, path: str, average: int = 512, use=None, schema: str = "doc_id long, ids array<int>, decoded string") -> DataFrame:

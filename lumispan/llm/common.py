@@ -77,6 +77,7 @@ def worker_cache(owner: str, key, make):
     """
     if owner not in _caches:
         _caches.clear()
+        _frugal()
         release()
         _caches[owner] = {}
     held = _caches[owner]
@@ -87,6 +88,19 @@ def worker_cache(owner: str, key, make):
     return held[key]
 
 
+def _frugal() -> None:
+    """Let this process give large blocks back when they are free: executors share their memory with the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which also holds it there
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def release() -> None:
     """Give free memory of this process back to the system."""
     import ctypes
@@ -106,7 +120,7 @@ def slices(batch, rows: int) -> Iterator:
         yield batch.slice(at, rows)
 
 
-def small_slices(batch, column: int, most_bytes: int = 4 << 20, rows: int = 2048) -> Iterator:
+def small_slices(batch, column: int, most_bytes: int = 1 << 20, rows: int = 2048) -> Iterator:
     """Parts of an Arrow batch whose strings in ``column`` have about ``most_bytes`` at most (one row at least)."""
     import pyarrow.compute as pc
 

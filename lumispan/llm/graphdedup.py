@@ -11,7 +11,8 @@ nodes of which the audit has no true link, are compared exactly in blocks. The m
 without any true link in the audit has no measured recall, which is logged as well.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows without label. Equal
-vectors of a label are one node; each copy counts as a link. Rows with equal vec_id are one vector. An empty table gives none.
+vectors of a label are one node; each copy counts as a link. Of rows with equal vec_id the one with the
+smallest label, then the smallest vector, is the vector. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -210,7 +211,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, width, v) of the valid vectors, scaled."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v")).where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL").dropDuplicates(["vec_id"])
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v")).where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     # a power of two that brings the largest component near 1 keeps squares finite and changes no cosine
     scaled = rows.where(F.coalesce(good, F.lit(False))).withColumn("top", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2("top")))))

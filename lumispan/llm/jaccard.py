@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.llm.common import materialize, small_slices
+from lumispan.llm.common import materialize, small_slices, worker_cache
 from lumispan.llm.components import components
 
 N = 5
@@ -73,14 +73,14 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
-def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least: int = 3) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least: int = 2) -> np.ndarray:
     """Hashes of the most counted shingles, the rarest of them first.
 
-    Every document is counted; a task passes on what it meets ``least`` times among two million. The result only orders shingles, and any order is exact.
+    Every document is counted; a task passes on what it meets ``least`` times among a million. The result only orders shingles, and any order is exact.
     """
 
     def run(batches):
-        hasher = Hasher(n)
+        hasher = worker_cache("jaccard", n, lambda: Hasher(n))
         held, size = [], 0
 
         def fold():
@@ -94,7 +94,7 @@ def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least:
                 new = hasher.sets(some.column("text"))
                 held += new
                 size += sum(map(len, new))
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from fold()
                     held, size = [], 0
         if held:
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     frequent = frequent_shingles(docs, n)
 
     def run(batches):
-        hasher = Hasher(n)
+        hasher = worker_cache("jaccard", n, lambda: Hasher(n))
         rank = np.sort(frequent)
         place = np.argsort(frequent, kind="stable")
         for batch in batches:
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int = N, p
     b = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
 
     def run(batches):
-        hasher = Hasher(n)
+        hasher = worker_cache("jaccard", n, lambda: Hasher(n))
         for batch in batches:
             for some in small_slices(batch, "b"):
                 u, v = some.column("u").to_numpy(), some.column("v").to_numpy()

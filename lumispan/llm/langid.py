@@ -4,7 +4,8 @@ Words are runs of letters. The ranges of Unicode scripts narrow the languages th
 score it for each of those; and a Viterbi pass over the words, with a penalty for each switch, labels spans. The language of
 a text is that of most letters, its score their share.
 
-A model learns from at most ``most_docs`` texts with a language (bounded, by a hash of their ids, so the same at every size).
+A model learns from at most ``most_docs`` texts with a language (bounded, by a hash of their ids
+and texts, so the same at every size; rows that repeat both count once).
 A text that is null or has no letter gets ``und`` and score 0. An empty training set gives a model that says ``und``. Ties go
 to the language that comes first by name.
 """
@@ -19,17 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.llm.common import small_slices, with_columns
+from lumispan.llm.common import small_slices, with_columns, worker_cache
 
 BUCKETS = 1 << 16
 SWITCH = 9.0  # nats
 WORD_BOUND = 6.0  # most that a word can speak for one language against another
 MOST_DOCS = 4000
 RARE = 0.002  # a language has a script if so much of its letters is in it
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # of texts without _NUMBERS
+_NUMBERS = r"[\p{Nl}\p{No}]"  # such as fractions and Roman numerals: \w has them, but they are no letters
 
 # First code points of ranges and the scripts of the letters in them.
 SCRIPTS = [
@@ -68,7 +71,7 @@ class Model:
 
 def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     """Learn from (doc_id, text, lang); rows without text or lang are left out."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     limit = rows.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
     if limit is None:
         return Model([], np.zeros((BUCKETS, 0)), {})
@@ -77,7 +80,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
         count: dict[str, np.ndarray] = {}
         letters: Counter = Counter()
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for text, lang in zip(pc.replace_substring_regex(batch.column("text"), _NUMBERS, " ").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 words = Counter(_LETTERS.findall(text.lower()))
                 mine = count.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for w, n in words.items():
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(keys, pa.int32()), pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["lang", "key", "script", "n"])
 
     # at most BUCKETS rows a language and one a script
-    table = rows.where(F.col("h") <= limit).select("text", "lang").repartition(16).mapInArrow(run, "lang string, key int, script string, n long").groupBy("lang", "key", "script").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.where(F.col("h") <= limit).dropDuplicates(["h"]).select("text", "lang").repartition(16).mapInArrow(run, "lang string, key int, script string, n long").groupBy("lang", "key", "script").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     weight = np.full((BUCKETS, len(langs)), 0.1)
     share: dict[str, np.ndarray] = {}
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
 class Labeller:
     """Scores of words, kept while they come again, and the Viterbi pass over many texts at once."""
 
-    def __init__(self, model: Model, switch: float = SWITCH, entries: int = 400_000):
+    def __init__(self, model: Model, switch: float = SWITCH, entries: int = 150_000):
         self.model, self.switch, self.entries = model, switch, entries
         self.reset()
 
@@ -152,8 +155,8 @@ class Labeller:
         for w in words:
             missing.update(w)
         missing = [w for w in missing if w not in self.ids]
-        if missing:
-            self.learn(missing)
+        for at in range(0, len(missing), 2048):  # a word has some thirty grams
+            self.learn(missing[at : at + 2048])
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
         order = order[size[order] > 0]
@@ -206,9 +209,6 @@ def spans(text: str, labels: np.ndarray, langs: list[str]) -> list[tuple[str, in
     return out
 
 
-_held: dict[int, tuple[Model, Labeller]] = {}
-
-
 def predict(docs: DataFrame, model: Model, with_spans: bool = False, switch: float = SWITCH) -> DataFrame:
     """``docs`` with lang_pred and score of each text, and its spans if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS by languages
@@ -216,13 +216,10 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False, switch: flo
 
     def columns(batches):
         m = shared.value
-        if id(m) not in _held:
-            _held.clear()
-            _held[id(m)] = (m, Labeller(m, switch))
-        labeller = _held[id(m)][1]
+        labeller = worker_cache("langid", (id(m), switch), lambda: Labeller(m, switch))  # holds ``m``, so its id stays its own
         for batch in batches:
-            for some in small_slices(batch, "text"):
-                texts = some.column("text").to_pylist()
+            for some in small_slices(batch, "text", 1 << 20):
+                texts = pc.replace_substring_regex(some.column("text"), _NUMBERS, " ").to_pylist()
                 if m.langs:
                     words, labels = labeller.label(texts)
                 else:

@@ -16,14 +16,13 @@ document in this respect, so all or none of a line goes from them. Lines are nam
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lumispan.llm.common import materialize, small_slices
+from lumispan.llm.common import materialize, small_slices, worker_cache
 from lumispan.llm.components import components
 from lumispan.llm.jaccard import parity
 
@@ -131,11 +130,12 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """A row for each line that counts; keys are null for lines under a shingle and where the task has given those of the line before."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[int] = worker_cache("linededup", "seen", set)
+        seen.clear()  # a task that is run again has to give the same rows
         for batch in batches:
-            for some in small_slices(batch, "text", 2 << 20):
+            for some in small_slices(batch, "text"):
                 ids, marks, nos, names, fresh, texts = [], [], [], [], [], []
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 for doc_id, mark, text in zip(*(some.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
                     for no, raw in enumerate(text.split("\n")):
@@ -387,11 +387,14 @@ def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, le
     return components(links.unionByName(verify(candidates(left, True, percent))))
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, drop: pa.Array) -> pa.Array:
     """Each text without the lines whose numbers are in ``drop``; null where ``text`` is."""
-    gone = [None if d is None else set(d.tolist()) for d in drop]
-    return pd.Series([None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d) for t, d in zip(text, gone, strict=True)], dtype=object)
+    left = []
+    for t, d in zip(text.to_pylist(), drop.to_pylist(), strict=True):
+        gone = set(d or ())
+        left.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+    return pa.array(left, pa.string())
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:

@@ -2,7 +2,7 @@
 
 P(grade <= k) = sigmoid(theta[k] - w.x): one weight vector for all thresholds, which stay in order. x has a 1 for each word of a
 text and each prefix of 4 to 6 letters of a longer word, as far as they are among the features that speak for or against
-toxicity. The result is the expected grade, the likeliest one, and whether a grade above 0 is likelier than not.
+toxicity. The result is the expected grade, the median one, and whether a grade above 0 is likelier than not.
 
 A model learns from at most ``most_labels`` labelled documents (bounded, by a hash of their ids). Where a document has
 several labels, the gravest holds. Null or empty text has no features; without labels every severity is 0. Grades that no
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.llm.common import small_slices, with_columns
+from lumispan.llm.common import small_slices, with_columns, worker_cache
 
 BUCKETS = 1 << 20
 MOST_LABELS = 20_000
 FEATURES = 4096
 SUPPORT = 0.005  # a feature is in this share of the toxic documents, or of the others, at least
-RIDGE = 1e-4
+RIDGE = 1e-6
 CERTAIN = 4.0  # standard deviations between its counts and those of an indifferent one
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -111,12 +111,8 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width
     return z[:width], z[width] + np.concatenate([[0], np.cumsum(np.exp(np.clip(z[width + 1 :], -20, 20)))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MOST_LABELS, most_features: int = FEATURES, extent: int = 0) -> Model:
-    """Learn from ``docs`` (doc_id, text) and the ``grade`` (0 and up) of each row of ``labels`` (doc_id, ...).
-
-    ``extent``: where labels only say toxic or not, toxic documents are graded 1 to ``extent`` by how many of the features
-    that speak for toxicity they have, in parts of about equal size.
-    """
+def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MOST_LABELS, most_features: int = FEATURES) -> Model:
+    """Learn from ``docs`` (doc_id, text) and the ``grade`` (0 and up) of each row of ``labels`` (doc_id, ...)."""
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL AND grade >= 0")
     one = graded.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -138,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MO
     counted = sample.mapInArrow(count, "f int, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where((F.col("t") >= max(3, SUPPORT * toxic)) | (F.col("c") >= max(3, SUPPORT * clean)))
     spread = F.sqrt((F.col("c") + F.col("t") + 1.0) * (clean + 1.0) * (toxic + 1.0)) / (clean + toxic + 2.0)
     gap = F.abs(F.col("t") - (F.col("c") + F.col("t")) * F.lit(toxic / (clean + toxic)))
-    chosen = counted.where(gap >= CERTAIN * spread).orderBy(F.desc(gap / spread), "f").limit(most_features).select("f", (F.col("t") * max(clean, 1) > F.col("c") * toxic).alias("bad")).toPandas().sort_values("f")
-    place, bad = chosen["f"].to_numpy(np.int64), chosen["bad"].to_numpy(bool)
+    chosen = counted.where(gap >= CERTAIN * spread).orderBy(F.desc(gap / spread), "f").limit(most_features).select("f").toPandas().sort_values("f")
+    place = chosen["f"].to_numpy(np.int64)
 
     def keep(batches):
         look = {int(f): i for i, f in enumerate(place)}
@@ -152,25 +148,21 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most_labels: int = MO
     sizes = np.array([len(x) for x in rows["at"]], np.int64)
     columns = np.concatenate([np.asarray(x, np.int64) for x in rows["at"]]) if sizes.sum() else np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(grades)), sizes)
-    if extent:
-        hits = np.bincount(at, bad[columns], len(grades))
-        edges = np.quantile(hits[grades > 0], np.arange(1, extent) / extent) if (grades > 0).any() else np.zeros(0)
-        level = np.searchsorted(np.unique(edges), hits, "left") + 1
-        grades = np.where(grades > 0, level, 0)
     weight, theta = fit_ordinal(at, columns, grades, len(place))
     return Model(place, weight, theta)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the expected severity, the likeliest grade and whether a grade above 0 is likelier than not."""
+    """``docs`` with the expected severity, the median grade and whether a grade above 0 is likelier than not."""
 
     def columns(batches):
         look = {int(f): float(w) for f, w in zip(model.place, model.weight, strict=True)}
-        known: dict[str, tuple] = {}
+        known: dict[str, tuple] = worker_cache("toxicity", id(model), dict)
+        known.clear()  # of another task's model
         for batch in batches:
-            for some in small_slices(batch, "text"):
+            for some in small_slices(batch, "text", 1 << 20):
                 scores = []
-                if len(known) > 500_000:
+                if len(known) > 150_000:
                     known.clear()
                 for t in some.column("text").to_pylist():
                     hit: set[int] = set()
@@ -182,17 +174,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                             hit.update(fs)
                     scores.append(sum(look[f] for f in sorted(hit)))
                 odds = model.grade_odds(np.array(scores, np.float64))
-                yield some, [pa.array(odds @ np.arange(odds.shape[1])), pa.array(odds.argmax(axis=1), pa.int32()), pa.array(odds[:, 0] < 0.5)]
+                yield some, [pa.array(odds @ np.arange(odds.shape[1])), pa.array((np.cumsum(odds, axis=1) >= 0.5 - 1e-12).argmax(axis=1), pa.int32()), pa.array(odds[:, 0] < 0.5 - 1e-12)]
 
     return with_columns(docs, "severity double, grade int, toxic boolean", columns)
 
 
-EXTENT = 3
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of ``labels`` (doc_id, toxic 0 or 1), toxic documents graded by extent."""
-    return fit(docs, labels, F.when(F.col("toxic") > 0, 1).when(F.col("toxic").isNotNull(), 0), extent=EXTENT)
+    """A model of ``labels`` (doc_id, toxic 0 or 1): these say no more than toxic or not, so there are two grades and one threshold."""
+    toxic = F.col("toxic").cast("int")
+    return fit(docs, labels, F.when(toxic > 0, 1).when(toxic.isNotNull(), 0))
 
 
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:

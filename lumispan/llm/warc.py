@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lumispan.llm.common import filesystem, make_dir, materialize, scratch
 
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
+TASK_BYTES = 8 << 20  # compressed bytes that a task reads
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,7 +38,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, mark: str, refe
     """An uncompressed WARC/1.1 record; a revisit keeps the HTTP head and leaves the payload out."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:{f'uuid:{uuid.uuid4()}' if page_id is None else f'page:{page_id}'}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     lines += [f"WARC-Payload-Digest: sha1:{mark}", f"WARC-Block-Digest: sha1:{digest(block)}"]
@@ -150,4 +151,7 @@ def read_warc(index: DataFrame, payload: bool = True) -> DataFrame:
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    return plan_reads(index).mapInArrow(run, RECORD)
+    # the plan is small and what it reads is not: as many tasks as the bytes ask for
+    total = index.agg(F.sum("length")).first()[0] or 0
+    plan = plan_reads(index).repartition(max(1, -(-total // TASK_BYTES)), "file", "start").sortWithinPartitions("file", "start")
+    return plan.mapInArrow(run, RECORD)

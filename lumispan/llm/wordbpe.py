@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from lumispan.llm.common import worker_cache
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 _CONTROL = re.compile("[\x01\x1c-\x1f]")
@@ -105,6 +105,7 @@ class WordEncoder:
             self.tail: dict[str, np.ndarray] = {}
             self.mark, self.line_end = self._ids("\x01"), self._ids("\n")
             added = "".join(f"|{re.escape(a)}" for a in self.added)
+            self.plain = _PLAIN if self.kind == "byte" else _PLAIN.replace(r"[\n\x02]?", "")  # only byte-level pieces have leads
             self.odd = (rf"[ \n](?:[ \n{_WHITE}]|\z)|\x02" if self.kind == "byte" else rf"[\x01{_WHITE}]") + added
 
     def _kind(self, spec: dict) -> str:
@@ -206,9 +207,9 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> np.ndarray:
         """Their numbers in the cache."""
         found = np.empty(len(words), np.int64)
-        for at in range(0, len(words), 16384):
-            some = words[at : at + 16384]
-            parts = pc.extract_regex(pa.array(some, pa.string()), _PLAIN)
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            parts = pc.extract_regex(pa.array(some, pa.string()), self.plain)
             plain = parts.is_valid().to_numpy(zero_copy_only=False)
             number = np.empty(len(some), np.int64)
             if plain.any():
@@ -218,7 +219,7 @@ class WordEncoder:
                 ids = (self._learn_byte if self.kind == "byte" else self._learn_word)(odd)
                 size = np.fromiter(map(len, ids), np.int64, len(ids))
                 number[~plain] = self.cache.add(odd, np.concatenate(ids), np.cumsum(size) - size, size)
-            found[at : at + 16384] = number
+            found[at : at + 8192] = number
         return found
 
     def _learn_plain(self, words: list[str], parts: pa.StructArray) -> np.ndarray:

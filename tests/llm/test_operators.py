@@ -39,7 +39,7 @@ def crc(ids):
 
 def test_encoder_equals_the_library():
     rng = np.random.default_rng(4)
-    parts = ["ab", "É", "word.", " ", "  ", "\n", " \n", "1", "'s", "<|endoftext|>", "\x1c", "\xa0", "中", "İ", ".,", "don't"]
+    parts = ["ab", "É", "word.", " ", " ", "  ", "\n", "\n", " \n", "\n'll", "Of,", "!!", "1", "_x", "\x02", "\u3000", "'s", "<|endoftext|>", "\x1c", "\xa0", "中", "İ", ".,", "don't"]
     texts = [t for t in TEXTS if t] + ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(600)]
     for path in (WORD, BYTE):
         e = wordbpe.WordEncoder(path, entries=50)
@@ -185,9 +185,9 @@ def test_language(spark, empty):
     en, de = "the house and the garden are very old and quiet", "das haus und der garten sind sehr alt und ruhig"
     train = spark.createDataFrame([(i, (en, de)[i % 2], ("en", "de")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
     model = langid.fit(train)
-    asked = spark.createDataFrame([(1, en, "zz"), (2, de, None), (3, None, "en"), (4, "123 !?", "en"), (5, f"{en} {en} {de}", "en")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, en, "zz"), (2, de, None), (3, None, "en"), (4, "123 !?", "en"), (5, f"{en} {en} {de}", "en"), (6, "½ ² Ⅳ ①", "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.predict(asked, model, with_spans=True).collect()}
-    assert [got[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "en"]
+    assert [got[i].lang_pred for i in range(1, 7)] == ["en", "de", "und", "und", "en", "und"]
     assert [s.lang for s in got[5].spans] == ["en", "de"] and 0.5 < got[5].score < 0.8 and got[3].score == 0
     assert langid.identify(empty).count() == 0
     unlearnt = langid.predict(asked, langid.fit(train.limit(0))).collect()
