@@ -11,7 +11,6 @@ Null text is empty text, which has no ids. Rows are independent; repeated rows a
 from __future__ import annotations
 
 import hashlib
-import json
 from collections import OrderedDict
 
 import numpy as np
@@ -60,7 +59,7 @@ class ChunkEncoder:
             raise ValueError("a byte-level vocabulary is asked for")
         self.average, self.dtype = average, self.words.dtype
         back = {c: b for b, c in byte_alphabet().items()}
-        added = {a["id"]: a["content"] for a in json.loads(self.words.full.to_str())["added_tokens"]}
+        added = {i: a.content for i, a in self.words.full.get_added_tokens_decoder().items()}
         self.pieces = [added[i].encode() if i in added else bytes(back[c] for c in n) for i, n in enumerate(self.words.names)]
         self.size = np.array([len(p) for p in self.pieces], np.int64)
         self.cache: OrderedDict[bytes, np.ndarray] = OrderedDict()

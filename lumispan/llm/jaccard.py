@@ -76,7 +76,7 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least: int = 2) -> np.ndarray:
     """Hashes of the most counted shingles, the rarest of them first.
 
-    Every document is counted; a task passes on what it meets ``least`` times among a million. The result only orders shingles, and any order is exact.
+    Every document is counted; a task passes on what it meets ``least`` times among half a million. The result only orders shingles, and any order is exact.
     """
 
     def run(batches):
@@ -94,7 +94,7 @@ def frequent_shingles(docs: DataFrame, n: int = N, keep: int = FREQUENT, least:
                 new = hasher.sets(some.column("text"))
                 held += new
                 size += sum(map(len, new))
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from fold()
                     held, size = [], 0
         if held:

@@ -120,7 +120,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
 class Labeller:
     """Scores of words, kept while they come again, and the Viterbi pass over many texts at once."""
 
-    def __init__(self, model: Model, switch: float = SWITCH, entries: int = 150_000):
+    def __init__(self, model: Model, switch: float = SWITCH, entries: int = 300_000):
         self.model, self.switch, self.entries = model, switch, entries
         self.reset()
 
@@ -155,8 +155,8 @@ class Labeller:
         for w in words:
             missing.update(w)
         missing = [w for w in missing if w not in self.ids]
-        for at in range(0, len(missing), 2048):  # a word has some thirty grams
-            self.learn(missing[at : at + 2048])
+        for at in range(0, len(missing), 4096):  # a word has some thirty grams
+            self.learn(missing[at : at + 4096])
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
         order = order[size[order] > 0]

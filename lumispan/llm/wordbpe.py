@@ -75,23 +75,22 @@ class WordEncoder:
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
-        spec = json.loads(self.full.to_str())
         self.vocab_size = self.full.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.entries = entries
         self.cache = Store(self.dtype)
         self.older = Store(self.dtype)  # the one before; what is used again moves on
         self.first: dict[str, bytes] = {}
-        self.added = [a["content"] for a in spec["added_tokens"]]
-        self.kind = self._kind(spec)
-        size = max(self.full.get_vocab(with_added_tokens=True).values()) + 1
-        names = [""] * size
-        for k, v in self.full.get_vocab(with_added_tokens=True).items():
+        self.added = [a.content for a in self.full.get_added_tokens_decoder().values()]
+        self.kind = self._kind()
+        vocab = self.full.get_vocab(with_added_tokens=True)
+        names = [""] * (max(vocab.values()) + 1)
+        for k, v in vocab.items():
             names[v] = k
         self.names = names
         self.opens = np.array([n.startswith("Ġ") for n in names])
@@ -100,21 +99,24 @@ class WordEncoder:
             # the same merges without normalizer and pattern, for words that need neither
             self.alphabet = byte_alphabet() | {32: " "}
             self.space = names.index("Ġ") if self.kind == "byte" else -1
-            bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
-            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.bare = Tokenizer(self.full.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.tail: dict[str, np.ndarray] = {}
             self.mark, self.line_end = self._ids("\x01"), self._ids("\n")
             added = "".join(f"|{re.escape(a)}" for a in self.added)
             self.plain = _PLAIN if self.kind == "byte" else _PLAIN.replace(r"[\n\x02]?", "")  # only byte-level pieces have leads
             self.odd = (rf"[ \n](?:[ \n{_WHITE}]|\z)|\x02" if self.kind == "byte" else rf"[\x01{_WHITE}]") + added
 
-    def _kind(self, spec: dict) -> str:
-        pre, norm, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
-        if model.get("type") != "BPE" or model.get("dropout") or spec["post_processor"] not in (None,) and spec["post_processor"]["type"] != "ByteLevel":
+    def _kind(self) -> str:
+        from tokenizers import models
+
+        part = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        pre, norm, post, model = part(self.full.pre_tokenizer), part(self.full.normalizer), part(self.full.post_processor), self.full.model
+        if not isinstance(model, models.BPE) or model.dropout or post.get("type", "ByteLevel") != "ByteLevel":
             return "other"
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None and not model.get("end_of_word_suffix"):
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm and not model.end_of_word_suffix:
             return "byte"
-        if norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and model.get("end_of_word_suffix") == "</w>" and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
+        if [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and model.end_of_word_suffix == "</w>" and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
             return "word"
         return "other"
 
