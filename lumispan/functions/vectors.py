@@ -58,11 +58,12 @@ def euler(tx: float, ty: float, tz: float, yaw: float, pitch: float, roll: float
 
 
 def view_projection(eye: Sequence[float], yaw: float, pitch: float, aspect: float, fov: float = 60.0, near: float = 0.1, far: float = 10_000.0) -> np.ndarray:
-    """Perspective of a camera that looks along its yaw and pitch (degrees), z up."""
+    """Perspective of a camera that looks along its yaw (degrees from -z towards x) and pitch, y up."""
     cy, sy, cp, sp = math.cos(math.radians(yaw)), math.sin(math.radians(yaw)), math.cos(math.radians(pitch)), math.sin(math.radians(pitch))
-    ahead = np.array([cp * cy, cp * sy, sp])
-    right = np.cross(ahead, [0.0, 0.0, 1.0])
-    right /= np.linalg.norm(right)
+    ahead = np.array([cp * sy, sp, -cp * cy])
+    right = np.cross(ahead, [0.0, 1.0, 0.0])
+    size = np.linalg.norm(right)
+    right = right / size if size > 1e-6 else np.array([1.0, 0.0, 0.0])
     up = np.cross(right, ahead)
     view = np.eye(4)
     view[:3, :3] = [right, up, -ahead]

@@ -181,7 +181,7 @@ def _spread_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> Data
     return edges.limit(0).select("a", "b", "d") if chosen is None else chosen
 
 
-def prune_leaves(nodes: DataFrame, edges: DataFrame, shortest: float, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def prune_leaves(nodes: DataFrame, edges: DataFrame, shortest: float) -> tuple[DataFrame, DataFrame]:
     """Take leaves off edges shorter than ``shortest`` until none is left; of two that face each other the lower id goes.
 
     A pass stops while two nodes with edges are left; nodes that lose their last edge stay. With fewer than two nodes left,
@@ -193,7 +193,7 @@ def prune_leaves(nodes: DataFrame, edges: DataFrame, shortest: float, rounds: in
         # a row (node, node) names a node that goes, any other one an edge that stays
         left = nodes.join(kept.where("gone").select(F.col("src").alias("node_id")), "node_id", "left_anti")
         return (nodes, edges) if left.limit(2).count() < 2 else (left, kept.where("NOT gone").select("src", "dst"))
-    return _spread_prune(nodes, edges, lengths, shortest, rounds)
+    return _spread_prune(nodes, edges, lengths, shortest)
 
 
 def _pruned(rows: list[tuple], shortest: float) -> list[tuple]:
@@ -220,10 +220,10 @@ def _pruned(rows: list[tuple], shortest: float) -> list[tuple]:
     return gone + [(a, b, False) for a, b, _ in rows if b in near[a]]
 
 
-def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shortest: float, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Passes over the whole graph, each a few joins."""
+def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shortest: float) -> tuple[DataFrame, DataFrame]:
+    """Passes over the whole graph, each a few joins, until no leaf goes."""
     left, long = cut(nodes), lengths
-    for _ in range(rounds):
+    while True:
         degree = degrees(left, long.select("src", "dst")).where("degree > 0")
         tips = degree.where("degree = 1").select("node_id")
         ends = long.select(F.col("src").alias("node_id"), F.col("dst").alias("hub"), "length").unionByName(long.select(F.col("dst").alias("node_id"), F.col("src").alias("hub"), "length"))
@@ -233,18 +233,21 @@ def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shorte
         n, joined = cand.count(), degree.count()
         if not n:
             break
-        if joined - 2 * n <= 2:  # the guard may fire: go through this pass in order (few nodes are left with edges)
-            go, deg = [], {r.node_id: r.degree for r in degree.collect()}
-            for r in cand.orderBy("node_id").collect():
-                if sum(d > 0 for d in deg.values()) <= 2:
-                    break
-                if deg[r.node_id] == 1:
-                    go.append((r.node_id,))
-                    deg[r.node_id] = 0
-                    deg[r.hub] -= 1
-            if not go:
+        if joined - 2 * n <= 2:
+            # a pass goes by id and stops while two nodes with edges are left, so at most its last two candidates stay: a leaf
+            # takes one node off, or two where it is the last of its hub
+            hub = degree.select(F.col("node_id").alias("hub"), "degree")
+            per_hub = cand.groupBy("hub").agg(F.count("*").alias("n"), F.max("node_id").alias("last"))
+            cost = F.when((F.col("n") == F.col("degree")) & (F.col("node_id") == F.col("last")), 2).otherwise(1)
+            costs = cut(cand.join(per_hub.join(hub, "hub"), "hub").select("node_id", cost.alias("cost")))
+            before, stay = costs.agg(F.sum("cost")).first()[0], []
+            for r in costs.orderBy(F.desc("node_id")).limit(2).collect():
+                before -= r.cost
+                if before >= joined - 2:
+                    stay.append(r.node_id)
+            if len(stay) == n:
                 break
-            cand = nodes.sparkSession.createDataFrame(go, cand.select("node_id").schema)
+            cand = cand.where(~F.col("node_id").isin(stay)) if stay else cand
         gone = cand.select("node_id")
         left = cut(left.join(gone, "node_id", "left_anti"))
         long = cut(long.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti").select("src", "dst", "length"))
@@ -282,8 +285,12 @@ def reconnect(nodes: DataFrame, edges: DataFrame, selected: DataFrame, k: int =
     return outside.unionByName(forest.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+def surviving(nodes: DataFrame, points: DataFrame, gone: DataFrame) -> DataFrame:
+    """(node_id) of the nodes whose nearest living point is not among ``gone`` (point_id)."""
+    near = nearest_join(nodes.withColumnRenamed("node_id", "q"), points.where("alive").select(F.col("point_id").alias("p"), "x", "y", "z"))
+    return near.join(gone.select(F.col("point_id").alias("p")).distinct(), "p", "left_anti").select(F.col("q").alias("node_id"))
+
+
 def delete_cascade(nodes: DataFrame, edges: DataFrame, points: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without the nodes whose nearest living point is among ``gone`` (point_id)."""
-    near = nearest_join(nodes.withColumnRenamed("node_id", "q"), points.where("alive").select(F.col("point_id").alias("p"), "x", "y", "z"))
-    keep = near.join(gone.select(F.col("point_id").alias("p")).distinct(), "p", "left_anti").select(F.col("q").alias("node_id"))
-    return induced(nodes, edges, keep)
+    return induced(nodes, edges, surviving(nodes, points, gone))

@@ -93,13 +93,13 @@ def align(source: DataFrame, target: DataFrame, voxel: float | None = None, prob
     return icp(*small, start=best["matrix"], steps=steps)
 
 
-def sweep_align(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, voxel: float = 5.0, turns: int = 36, steps: int = 50, wide: float = 30.0, narrow: float = 25.0) -> dict:
+def sweep_align(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, voxel: float = 5.0, turns: int = 36, probe: int = 30, steps: int = 5000, wide: float = 30.0, narrow: float = 25.0) -> dict:
     """Turns about z between centred clouds, the best by fitness, refined."""
     small = [cut((voxel_downsample(d, voxel, colors=False) if voxel > 0 else d).select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z")) for d in (source, target)]
     first = np.eye(4) if start is None else np.asarray(start, float)
     c = (first @ np.append(centroid(small[0]), 1))[:3]
     t = centroid(small[1])
-    tried = [icp(*small, start=about(rotation("z", 360.0 * i / turns), c, t - c) @ first, steps=3, reach=wide) for i in range(turns)]
+    tried = [icp(*small, start=about(rotation("z", 360.0 * i / turns), c, t - c) @ first, steps=probe, reach=wide) for i in range(turns)]
     best = max(tried, key=lambda x: (x["fitness"], -(x["rmse"] or 0.0)))
     return icp(*small, start=best["matrix"], steps=steps, reach=narrow)
 
@@ -137,28 +137,40 @@ def kernel_warp(points: DataFrame, control: np.ndarray, weights: np.ndarray, bet
     return typed.mapInPandas(move, typed.schema)
 
 
-def coherent_drift(source: DataFrame, target: DataFrame, schedule: Sequence[float] = (60, 15, 5, 2), alpha: float = 1e-6, sample: int = 1500, steps: int = 50) -> tuple[list, DataFrame]:
+def coherent_drift(source: DataFrame, target: DataFrame, schedule: Sequence[float] = (60, 15, 5, 2), alpha: float = 1e-6, sample: int = 15_000, steps: int = 150) -> tuple[list, DataFrame]:
     """Non-rigid registration by expectation maximisation (Myronenko and Song, 2010) on bounded samples, applied to all points.
 
     Returns the stages (control points, weights, beta) and the warped source.
     """
     take = lambda d: d.orderBy(F.xxhash64("point_id"), "point_id").limit(sample).select("x", "y", "z").toPandas().to_numpy(float)
     y, x = take(source), take(target)
+    if len(y) < 2 or len(x) < 2:
+        raise ValueError("a drift needs two points on both sides")
     least, stages, warped = safe_beta(source), [], source
-    if len(y) < 1 or len(x) < 1:
-        return stages, warped
+
+    def expected(t: np.ndarray, var: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Sums of the matching odds of each control point, of the odds times the points, and of the squared points, by blocks."""
+        p1, px, sq = np.zeros(len(t)), np.zeros_like(t), 0.0
+        for lo in range(0, len(x), 1000):
+            block = x[lo : lo + 1000]
+            d = ((block[:, None] - t[None]) ** 2).sum(2)
+            p = np.exp(-(d - d.min(axis=1, keepdims=True)) / (2 * max(var, 1e-12)))
+            p /= p.sum(axis=1, keepdims=True)
+            p1 += p.sum(axis=0)
+            px += p.T @ block
+            sq += float((p.sum(axis=1) * (block * block).sum(axis=1)).sum())
+        return p1, px, sq
+
     for beta in beta_schedule(schedule, least):
         g = np.exp(-((y[:, None] - y[None]) ** 2).sum(2) / (2 * beta * beta))
         w, t = np.zeros_like(y), y.copy()
-        var = ((x[:, None] - t[None]) ** 2).sum() / (3 * len(x) * len(t))
+        spread = lambda z: float((z * z).sum() / len(z))
+        var = max((spread(x) + spread(t) - 2 * float(x.mean(axis=0) @ t.mean(axis=0))) / 3, 1e-12)
         for _ in range(steps):
-            d = ((x[:, None] - t[None]) ** 2).sum(2)
-            p = np.exp(-(d - d.min(axis=1, keepdims=True)) / (2 * max(var, 1e-12)))
-            p /= p.sum(axis=1, keepdims=True)
-            p1 = p.sum(axis=0)
-            w = np.linalg.solve(p1[:, None] * g + (alpha * var + 1e-9) * np.eye(len(y)), p.T @ x - p1[:, None] * y)
+            p1, px, sq = expected(t, var)
+            w = np.linalg.solve(p1[:, None] * g + (alpha * var + 1e-9) * np.eye(len(y)), px - p1[:, None] * y)
             t = y + g @ w
-            new = (p * ((x[:, None] - t[None]) ** 2).sum(2)).sum() / (3 * p.sum())
+            new = (sq - 2 * float((px * t).sum()) + float((p1 * (t * t).sum(axis=1)).sum())) / (3 * p1.sum())
             if abs(new - var) < 1e-9 * max(var, 1e-12):
                 break
             var = max(new, 1e-12)
@@ -185,7 +197,7 @@ def stationary_pins(points: DataFrame, anchors: np.ndarray, n: int = 50, sample:
     spread = farthest_points(some, 2 * n).orderBy("turn").select("x", "y", "z").toPandas().to_numpy(float)
     if len(anchors) and len(spread):
         far = np.sqrt(((spread[:, None] - anchors[None]) ** 2).sum(2)).min(axis=1)
-        spread = spread[far > 0.15 * extent(some)]
+        spread = spread[far > 0.15 * extent(points)]
     return spread[:n]
 
 
@@ -197,7 +209,7 @@ def plate_warp(points: DataFrame, source: np.ndarray, target: np.ndarray, smooth
     a, b = np.vstack([source, still]).astype(float), np.vstack([target, still]).astype(float)
     typed = points.withColumns({c: F.col(c).cast("double") for c in "xyz"})
     if len(a) < 4:
-        shift = (b - a).mean(axis=0)
+        shift = (np.asarray(target, float) - np.asarray(source, float)).mean(axis=0)
         return typed.withColumns({c: F.col(c) + float(s) for c, s in zip("xyz", shift, strict=True)})
     weights, linear = thin_plate(a, b, smoothing)
 

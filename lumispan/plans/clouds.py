@@ -29,7 +29,8 @@ def rounded(df: DataFrame, digits: int = 4, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c, t in df.dtypes if t in ("float", "double") and (not names or c in names)})
 
 
-CAMERA = view_projection((150.0, -300.0, 40.0), 90.0, 0.0, 4 / 3)
+EYE, YAW, PITCH = (150.0, 40.0, 400.0), 10.0, -5.0
+CAMERA = view_projection(EYE, YAW, PITCH, 4 / 3)
 POLYGON = [(250.0, 120.0), (560.0, 160.0), (500.0, 420.0), (380.0, 260.0), (240.0, 400.0)]
 MOVE = euler(10.0, -5.0, 2.5, 30.0, 20.0, 10.0, (1.0, 2.0, 3.0))
 
@@ -39,7 +40,17 @@ def _row(matrix: np.ndarray, i: int, p: str = "") -> str:
     return f"({v[0]} * CAST({p}x AS DOUBLE) + {v[1]} * CAST({p}y AS DOUBLE) + {v[2]} * CAST({p}z AS DOUBLE) + {v[3]})"
 
 
-SCREEN = f"(SELECT *, (px / w + 1) / 2 * 800.0::DOUBLE AS sx, (1 - py / w) / 2 * 600.0::DOUBLE AS sy, pz / w AS depth FROM (SELECT *, {_row(CAMERA, 0)} AS px, {_row(CAMERA, 1)} AS py, {_row(CAMERA, 2)} AS pz, {_row(CAMERA, 3)} AS w FROM {D.CLOUD_ORD} WHERE alive) WHERE w > 0)"
+def _camera() -> list[str]:
+    """px, py, pz and w of a point in SQL, from the camera's eye, yaw and pitch: y is up, yaw 0 looks along -z."""
+    x, y, z = (f"(CAST({c} AS DOUBLE) - ({e}::DOUBLE))" for c, e in zip("xyz", EYE, strict=True))
+    sy, cy, sp, cp = (f"{f}(radians({a}::DOUBLE))" for a in (YAW, PITCH) for f in ("sin", "cos"))
+    w = f"({cp} * {sy} * {x} + {sp} * {y} - {cp} * {cy} * {z})"
+    lens = "(1 / tan(radians(30.0::DOUBLE)))"  # 60 degrees up and down; near and far are 0.1 and 10000
+    return [f"({lens} * 3 / 4 * ({cy} * {x} + {sy} * {z}))", f"({lens} * ({cp} * {y} - {sy} * {sp} * {x} + {cy} * {sp} * {z}))", f"((10000.1::DOUBLE * {w} - 2000.0::DOUBLE) / 9999.9::DOUBLE)", w]
+
+
+PX, PY, PZ, PW = _camera()
+SCREEN = f"(SELECT *, (px / w + 1) / 2 * 800.0::DOUBLE AS sx, (1 - py / w) / 2 * 600.0::DOUBLE AS sy, pz / w AS depth FROM (SELECT *, {PX} AS px, {PY} AS py, {PZ} AS pz, {PW} AS w FROM {D.CLOUD_ORD} WHERE alive) WHERE w > 0)"
 
 
 def _screen(s, d):
@@ -154,7 +165,7 @@ def node_pick(s, d):
     return rounded(C.pick_near(_screen(s, d), 400.0, 300.0).select("point_id", "d2"))
 
 
-@query("anchor_project", f"SELECT point_id, round(CASE WHEN w > 0 THEN (px / w + 1) / 2 * 800.0::DOUBLE ELSE -1000 END, 4) AS sx, round(CASE WHEN w > 0 THEN (1 - py / w) / 2 * 600.0::DOUBLE ELSE -1000 END, 4) AS sy FROM (SELECT *, {_row(CAMERA, 0)} AS px, {_row(CAMERA, 1)} AS py, {_row(CAMERA, 3)} AS w FROM {D.CLOUD_PART})")
+@query("anchor_project", f"SELECT point_id, round(CASE WHEN w > 0 THEN (px / w + 1) / 2 * 800.0::DOUBLE ELSE -1000 END, 4) AS sx, round(CASE WHEN w > 0 THEN (1 - py / w) / 2 * 600.0::DOUBLE ELSE -1000 END, 4) AS sy FROM (SELECT *, {PX} AS px, {PY} AS py, {PW} AS w FROM {D.CLOUD_PART})")
 def anchor_project(s, d):
     return rounded(C.project_anchors(D.cloud_part(s, d), CAMERA, 800, 600).select("point_id", "sx", "sy"))
 

@@ -166,9 +166,7 @@ def bridge_edges(s, d):
 def delete_cascade(s, d):
     emb = D.cloud_emb(s, d)
     nodes = emb.where("selected").select(F.col("point_id").alias("node_id"), "x", "y", "z")
-    near = S.nearest_join(nodes.withColumnRenamed("node_id", "q"), emb.where("alive").withColumnRenamed("point_id", "p"))
-    gone = emb.where("point_id % 2 = 0").select(F.col("point_id").alias("p"))
-    return near.join(gone, "p", "left_anti").select(F.col("q").alias("node_id"))
+    return G.surviving(nodes, emb, emb.where("point_id % 2 = 0"))
 
 
 @query("feature_best_pair", "SELECT p, s, round(d, 6) AS d FROM (SELECT a.vec_id AS p, b.vec_id AS s, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1 ORDER BY d, p, s LIMIT 1)")
@@ -177,9 +175,9 @@ def feature_best_pair(s, d):
     return rounded(R.best_feature_pair(e.where("label = 0"), e.where("label = 1")), 6)
 
 
-@query("connected_components", f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {CLEAN} WHERE (src + dst) % 17 = 0), w AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT node_id, node_id AS c FROM {D.USER_NODES} UNION SELECT w.b, r.c FROM r JOIN w ON w.a = r.node_id) SELECT node_id, min(c) AS component FROM r GROUP BY node_id")
+@query("connected_components")
 def connected_components(s, d):
-    return G.connected_components(D.user_nodes(s, d), G.undirected(D.user_edges(s, d)).where("(src + dst) % 17 = 0"))
+    return G.connected_components(D.user_nodes(s, d), D.user_edges(s, d))
 
 
 @query("msf_small", "WITH RECURSIVE n AS (SELECT n_nationkey AS id, CAST(n_nationkey % 5 AS DOUBLE) * 1.5 AS x, CAST(n_nationkey * 7 % 11 AS DOUBLE) AS y, CAST(n_regionkey AS DOUBLE) AS z FROM nation), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM n a JOIN n b ON a.id < b.id), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d, a, b) AS k FROM e), w AS MATERIALIZED (SELECT a, b, k FROM o UNION ALL SELECT b, a, k FROM o), r AS (SELECT k, a AS at FROM o UNION SELECT r.k, w.b FROM r JOIN w ON w.a = r.at AND w.k < r.k) SELECT o.a, o.b, round(o.d, 6) AS d FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = o.k AND r.at = o.b)")
@@ -303,7 +301,7 @@ def tps_warp(s, d):
 @query("cpd_warp")
 def cpd_warp(s, d):
     cloud = D.cloud_emb(s, d).select("point_id", "x", "y", "z")
-    return rounded(R.coherent_drift(cloud, C.transform(cloud, euler(0.05, 0.02, 0, 3, 0, 0)), (0.5, 0.3), alpha=0.1, sample=400, steps=20)[1], 3)
+    return rounded(R.coherent_drift(cloud, C.transform(cloud, euler(0.05, 0.02, 0, 3, 0, 0)), (0.5, 0.3), alpha=0.1, steps=20)[1], 3)
 
 
 @query("tensor_vote")
@@ -335,7 +333,7 @@ def _names(s, d):
     return D.table(s, d, "events").select(F.when(i % 3 == 0, F.concat(F.lit("misc"), i, F.lit(".pcd"))).otherwise(F.concat(F.lit("tangle"), i % 7, F.lit(" rest p"), u, F.lit(" T0."), i % 9, F.lit(".pcd"))).alias("name"))
 
 
-@query("catalog_regex", f"SELECT regexp_extract(name, '(?i)^(\\S*?tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 1) AS series, regexp_extract(name, '(?i)^(\\S*?tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 2) AS session, CAST(regexp_extract(name, '(?i)^(\\S*?tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 3) AS DOUBLE) AS threshold, count(*) AS n FROM {_NAMES} WHERE name LIKE 'tangle%' GROUP BY 1, 2, 3")
+@query("catalog_regex", f"SELECT regexp_extract(name, '(?i)^(tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 1) AS series, regexp_extract(name, '(?i)^(tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 2) AS session, CAST(regexp_extract(name, '(?i)^(tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 3) AS DOUBLE) AS threshold, count(*) AS n FROM {_NAMES} WHERE name LIKE 'tangle%' GROUP BY 1, 2, 3")
 def catalog_regex(s, d):
     return SG.structured_catalog(_names(s, d), F.col("name")).groupBy("series", "session", F.col("threshold").cast("double").alias("threshold")).agg(F.count("*").alias("n"))
 
@@ -388,13 +386,13 @@ def undo_replay(s, d):
 
 @query("smoothed_rate")
 def smoothed_rate(s, d):
-    ticks = D.table(s, d, "events").select((F.col("user_id") % 10).alias("log_id"), F.col("event_id").alias("seq"), ((F.col("event_id") % 13 + 1) / 200.0).alias("dt"))
+    ticks = D.table(s, d, "events").select((F.col("user_id") % 10).alias("log_id"), F.col("event_id").alias("seq"), ((F.col("event_id") % 13) / 200.0).alias("dt"))
     return rounded(L.smoothed_rate(ticks), 6)
 
 
 @query("camera_flight")
 def camera_flight(s, d):
-    keys = D.table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("seq"), F.lit(0.016).alias("dt"), (F.col("event_id") % 3 - 1).alias("dir"))
+    keys = D.table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("seq"), F.lit(0.016).alias("dt"), *[(F.floor(F.col("event_id") / k) % 3 - 1).alias(c) for c, k in (("ahead", 1), ("side", 2), ("rise", 5))], (F.col("event_id") % 360).cast("double").alias("yaw"), (F.col("event_id") % 120 - 60).cast("double").alias("pitch"))
     return rounded(L.fly(keys), 6)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # File names of the form "<series tangle...> <session rest ...> T<threshold>.pcd".
-STRUCTURED = r"(?i)^(\S*?tangle\w+)\s+(.+?)\s+T([0-9.]+)\.pcd$"
+STRUCTURED = r"(?i)^(tangle\w+)\s+(.+?)\s+T([0-9.]+)\.pcd$"
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

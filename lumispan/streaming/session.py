@@ -87,40 +87,55 @@ def replay(log: DataFrame, depth: int = DEPTH) -> DataFrame:
 def smoothed_rate(ticks: DataFrame, keep: float = 0.9, every: int = 30) -> DataFrame:
     """(log_id, n, rate): the exponentially smoothed rate 1 / dt of each log (log_id, seq, dt), at every 30th tick.
 
-    dt is held at 0.1 from above. The recurrence is a sum of powers, taken over a window of each log.
+    dt is held at 0.1 from above; a tick without time counts and leaves the rate as it is. The recurrence is a sum of powers,
+    taken over blocks of ticks.
     """
-    w = W.partitionBy("log_id").orderBy("seq")
-    n = F.row_number().over(w)
-    dt = F.least(F.col("dt"), F.lit(0.1))
-    scaled = ticks.where("dt > 0").withColumn("n", n).withColumn("block", F.floor((F.col("n") - 1) / every)).withColumn("v", (1 / dt) * (1 - keep))
-    # within a block of ticks the weights stay in range; blocks are joined by a fold over one row each
-    part = scaled.groupBy("log_id", "block").agg(F.sum(F.col("v") * F.pow(F.lit(keep), F.lit(every - 1) - (F.col("n") - 1) % every)).alias("s"), F.count("*").alias("k"))
-    whole = part.where(F.col("k") == every)
-    order = W.partitionBy("log_id").orderBy("block")
+    w = W.partitionBy("log_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    counted = ticks.withColumn("n", F.row_number().over(W.partitionBy("log_id").orderBy("seq"))).withColumn("m", F.sum(F.when(F.col("dt") > 0, 1).otherwise(0)).over(w))
+    # within a block of moving ticks the weights stay in range; blocks are joined by a fold over one row each
+    moving = counted.where("dt > 0").select("log_id", "m", F.floor((F.col("m") - 1) / every).alias("block"), ((F.col("m") - 1) % every).alias("at"), ((1 - keep) / F.least(F.col("dt"), F.lit(0.1))).alias("v"))
+    ahead = W.partitionBy("log_id", "block").orderBy("m").rowsBetween(W.unboundedPreceding, 0)
+    part = moving.withColumn("s", F.pow(F.lit(keep), F.col("at")) * F.sum(F.col("v") * F.pow(F.lit(keep), -F.col("at"))).over(ahead))
     power = keep**every
-    held = whole.withColumn("all", F.collect_list("s").over(order.rowsBetween(-40, 0)))  # power ** 40 is below 1e-54
-    return held.select("log_id", ((F.col("block") + 1) * every).alias("n"), F.aggregate("all", F.lit(0.0), lambda a, s: a * power + s).alias("rate"))
+    before = W.partitionBy("log_id").orderBy("block").rowsBetween(-40, 0)  # power ** 40 is below 1e-54
+    ends = part.where(F.col("at") == every - 1).withColumn("all", F.collect_list("s").over(before))
+    held = ends.select("log_id", (F.col("block") + 1).alias("block"), F.aggregate("all", F.lit(0.0), lambda a, s: a * power + s).alias("held"))
+    rates = part.join(held, ["log_id", "block"], "left").select("log_id", "m", (F.col("s") + F.coalesce("held", F.lit(0.0)) * F.pow(F.lit(keep), F.col("at") + 1)).alias("rate"))
+    return counted.where(F.col("n") % every == 0).join(rates, ["log_id", "m"], "left").select("log_id", "n", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
 def fly(keys: DataFrame, speed: float = 5.0, acceleration: float = 20.0, damping: float = 8.0) -> DataFrame:
-    """(log_id, seq, px, vx): a camera's place and speed along one axis from key states (log_id, seq, dt, dir in -1, 0, 1).
+    """(log_id, seq, px, py, pz, vx, vy, vz): a camera's place and velocity after each tick (log_id, seq, dt, ahead, side, rise, yaw, pitch).
 
-    The speed cap makes each tick depend on the one before, so each log is folded in order, batch after batch.
+    ahead, side and rise are -1, 0 or 1, as keys are held; yaw is in degrees from -z towards x, y is up. Keys make a unit
+    direction; velocity is accelerated, damped and capped, so each tick depends on the one before: a log, the session of one
+    user, is folded in order in one task.
     """
+    import numpy as np
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        p = v = 0.0
-        out = []
-        for dt, d in rows[["dt", "dir"]].itertuples(index=False):
-            v = (v + acceleration * d * dt) * max(0.0, 1 - damping * dt)
-            v = max(-speed, min(speed, v))
-            p += v * dt
-            out.append((p, v))
-        return rows[["log_id", "seq"]].assign(px=[x for x, _ in out], vx=[x for _, x in out])
-
-    return keys.groupBy("log_id").applyInPandas(fold, "log_id long, seq long, px double, vx double")
+        yaw, pitch = np.radians(rows["yaw"].to_numpy(float)), np.radians(rows["pitch"].to_numpy(float))
+        ahead = np.stack([np.cos(pitch) * np.sin(yaw), np.sin(pitch), -np.cos(pitch) * np.cos(yaw)], axis=1)
+        right = np.stack([-ahead[:, 2], np.zeros(len(rows)), ahead[:, 0]], axis=1)
+        size = np.sqrt((right * right).sum(axis=1, keepdims=True))
+        right = np.where(size > 1e-6, right / np.maximum(size, 1e-12), [1.0, 0.0, 0.0])
+        want = ahead * rows[["ahead"]].to_numpy(float) + right * rows[["side"]].to_numpy(float)
+        want[:, 1] += rows["rise"].to_numpy(float)
+        size = np.sqrt((want * want).sum(axis=1, keepdims=True))
+        want = np.where(size > 1e-6, want / np.maximum(size, 1e-12), want)
+        p, v, out = np.zeros(3), np.zeros(3), np.empty((len(rows), 6))
+        for i, dt in enumerate(rows["dt"].to_numpy(float)):
+            v = (v + acceleration * dt * want[i]) * max(0.0, 1 - damping * dt)
+            fast = float(np.sqrt(v @ v))
+            if fast > speed:
+                v = v * (speed / fast)
+            p = p + v * dt
+            out[i, :3], out[i, 3:] = p, v
+        return rows[["log_id", "seq"]].assign(**{c: out[:, i] for i, c in enumerate(("px", "py", "pz", "vx", "vy", "vz"))})
+
+    return keys.groupBy("log_id").applyInPandas(fold, "log_id long, seq long, px double, py double, pz double, vx double, vy double, vz double")
 
 
 def look(deltas: DataFrame, sensitivity: float = 0.1) -> DataFrame:

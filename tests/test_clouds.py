@@ -72,9 +72,13 @@ def test_transforms():
 
 def test_projection_drops_what_is_behind(spark):
     camera = V.view_projection((0, 0, 0), 0, 0, 1.0)
-    d = C.cloud(points(spark, [(0, 10.0, 0.0, 0.0), (1, -10.0, 0.0, 0.0)]))
+    d = C.cloud(points(spark, [(0, 0.0, 0.0, -10.0), (1, 0.0, 0.0, 10.0), (2, 1.0, 2.0, -10.0)]))
     got = C.project(d, camera, 100, 100).collect()
-    assert [r.point_id for r in got] == [0] and abs(got[0].sx - 50) < 1e-6 and abs(got[0].sy - 50) < 1e-6
+    got = {r.point_id: r for r in got}
+    assert set(got) == {0, 2} and abs(got[0].sx - 50) < 1e-6 and abs(got[0].sy - 50) < 1e-6
+    assert got[2].sx > 50 > got[2].sy  # x goes right and y up
+    assert np.allclose(V.view_projection((1, 2, 3), 90, 0, 1.0) @ [9, 2, 3, 1], [0, 0, (10000.1 * 8 - 2000) / 9999.9, 8])  # looks along x
+    assert np.isfinite(V.view_projection((0, 0, 0), 0, 90, 1.0)).all()
     assert C.project_anchors(d, camera, 100, 100).orderBy("point_id").collect()[1].sx == -1000
 
 

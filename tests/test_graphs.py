@@ -91,3 +91,69 @@ def test_spread_and_local_forms_agree(spark):
     a, b = G.prune_leaves(n, tree, 0.4)
     c, f = G._spread_prune(n, tree, G.edge_lengths(n, G.undirected(tree)), 0.4)
     assert pairs(b) == pairs(f) and same(a.select("node_id")) == same(c.select("node_id"))
+
+
+def test_components_of_the_whole_graph(spark):
+    from lumispan.functions import derived as D
+    from lumispan.plans import graphs as P
+
+    sf = "/root/testdata/sf0.001"
+    up = {r.node_id: r.node_id for r in D.user_nodes(spark, sf).collect()}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in D.user_edges(spark, sf).collect():
+        a, b = find(r.src), find(r.dst)
+        up[max(a, b)] = min(a, b)
+    assert {r.node_id: r.component for r in P.connected_components(spark, sf).collect()} == {x: find(x) for x in up}
+
+
+def test_spread_pruning_goes_on_to_the_end_and_stops_at_two(spark):
+    rows = [(float(i), 0.0, 0.0) for i in range(9)] + [(100.0, 0.0, 0.0), (101.0, 0.0, 0.0), (200.0, 5.0, 0.0), (201.0, 5.0, 0.0), (200.0, 6.0, 0.0), (199.0, 5.0, 0.0)]
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node_id long, x float, y float, z float")
+    chain = [(i, i + 1) for i in range(8)]
+    for pairs in (chain, [*chain, (9, 10)], [(9, 10)], [(11, 12), (11, 13), (11, 14)], [(11, 12), (11, 13), (11, 14), (9, 10)]):
+        edges = spark.createDataFrame(pairs, "src long, dst long")
+        lengths = G.edge_lengths(nodes, edges)
+        want = [d.collect() for d in G.prune_leaves(nodes, edges, 1.5)]
+        got = [d.collect() for d in G._spread_prune(nodes, edges, lengths, 1.5)]
+        assert [sorted(map(tuple, x)) for x in got] == [sorted(map(tuple, x)) for x in want], pairs
+
+
+def test_few_anchors_shift_by_their_own_mean(spark):
+    from lumispan.operators import register as R
+
+    cloud = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(3)], "point_id long, x double, y double, z double")
+    moved = R.plate_warp(cloud, np.array([[0.0, 0.0, 0.0]]), np.array([[3.0, 0.0, 0.0]])).orderBy("point_id").collect()
+    assert [r.x for r in moved] == [3.0, 4.0, 5.0]
+
+
+def test_rates_and_flights_step_by_step(spark):
+    from lumispan.streaming import session as L
+
+    rng = np.random.default_rng(8)
+    dts = np.where(rng.random(130) < 0.2, 0.0, rng.random(130) * 0.2)
+    ticks = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(dts)], "log_id long, seq long, dt double")
+    fps, want = 0.0, {}
+    for n, x in enumerate(dts, 1):
+        fps = 0.9 * fps + 0.1 / min(x, 0.1) if x > 0 else fps
+        if n % 30 == 0:
+            want[n] = fps
+    got = {r.n: r.rate for r in L.smoothed_rate(ticks).collect()}
+    assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+    keys = spark.createDataFrame([(1, 0, 0.1, 1, 0, 0, 0.0, 0.0), (1, 1, 0.1, 1, 1, 0, 90.0, 0.0)], "log_id long, seq long, dt double, ahead int, side int, rise int, yaw double, pitch double")
+    one, two = L.fly(keys).orderBy("seq").collect()
+    assert np.allclose([one.vx, one.vy, one.vz, one.pz], [0, 0, -2 * 0.2, -0.04])
+    assert np.allclose([two.vx, two.vz], [2 * np.sqrt(0.5) * 0.2, (-0.4 + 2 * np.sqrt(0.5)) * 0.2])  # along x, and right of it is z
+
+
+def test_catalog_names_begin_with_the_series(spark):
+    from pyspark.sql import functions as F
+
+    from lumispan.sources import graphs as SG
+
+    names = spark.createDataFrame([("tangle1 a T0.5.pcd",), ("xtangle1 a T0.5.pcd",), ("Tangle2 b c T1.pcd",)], "name string")
+    assert {r.series for r in SG.structured_catalog(names, F.col("name")).collect()} == {"tangle1", "Tangle2"}
