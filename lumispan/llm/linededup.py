@@ -238,6 +238,8 @@ class Bucket:
             both = self.size[rows] + self.size[r]
             common = np.minimum((both - apart) // 2, np.minimum(self.size[rows], self.size[r]))
             fits = (100 * common >= self.percent * (both - common)) & (self.component[rows] != self.component[r])
+            if w < self.width[r]:  # rows as wide as this one have been compared unfolded
+                fits &= self.width[rows] == w
             if self.two:
                 fits &= self.block[rows] != self.block[r]
             out[rows[fits]] = (common / (both - common))[fits]

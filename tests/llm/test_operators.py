@@ -325,3 +325,59 @@ def test_components_by_one_task_or_by_stars(spark, most_local):
     assert len(found) == len(least) and {r.id: r.component for r in found} == least
     none = components(spark.createDataFrame([], "u long, v long"), most_local=most_local)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_components_of_lines_against_brute_force(spark, monkeypatch, block):
+    """A chain whose ends are not alike, a group of near copies larger than the buckets that are compared without arrays, and strangers."""
+    rng = np.random.default_rng(11)
+    of = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    monkeypatch.setattr(linededup, "candidates", lambda rows, every, percent, f=linededup.candidates: f(rows, every, percent, block))
+    chain = [of(240)]
+    for _ in range(5):
+        chain.append(chain[-1][12:] + of(12))
+    base, group = of(300), []
+    for _ in range(60):
+        at = int(rng.integers(0, 280))
+        group.append(base[:at] + of(int(rng.integers(1, 20))) + base[at + int(rng.integers(0, 20)) :])
+    lines = chain + group + [of(100) for _ in range(20)] + ["short", "short"]
+    sets = [linededup.shingle_set(x) for x in lines]
+    links = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if linededup.sets_reach(sets[i], sets[j])]
+    part = classes(len(lines), links)
+    assert part[5] == part[0] and not linededup.sets_reach(sets[0], sets[5])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(docs).collect()}
+    assert got == {i: int(part[i] != i) for i in range(len(lines))}
+
+
+def test_bounds_of_lines_never_hide_a_link():
+    rng = np.random.default_rng(12)
+    lines = ["".join(map(chr, rng.integers(97, 123, 150)))]
+    for _ in range(59):
+        x = lines[int(rng.integers(0, len(lines)))]
+        at, n = int(rng.integers(0, len(x))), int(rng.integers(1, 40))
+        lines.append(x[:at] + "".join(map(chr, rng.integers(97, 123, n))) + x[at:] if rng.random() < 0.5 else x[:at] + x[at + n :] + "padding")
+    h, starts = linededup.shingle_hashes(lines)
+    sets = [np.unique(x) for x in np.split(h, starts[1:])]
+    size, bits, own = [len(x) for x in sets], [jaccard.parity(x) for x in sets], list(range(len(lines)))
+    exact = {(i, j) for i, j in itertools.combinations(own, 2) if linededup.jaccard_reaches(lines[i], lines[j])}
+    one = [0] * len(lines)
+    bucket = linededup.Bucket(np.array(own), np.array(one), np.array(size), bits, 80)
+    every = set(bucket.every())
+    assert exact <= every and every == set(linededup._few(own, one, size, bits, 80, True))
+    few = linededup._few(own, one, size, bits, 80, False)
+    assert classes(len(lines), bucket.forest()) == classes(len(lines), few) == classes(len(lines), every)
+
+
+def test_recall_of_bands():
+    """Of the lines of similarity 0.8 or more, at least 0.97 meet in a band."""
+    rng = np.random.default_rng(13)
+    met = total = 0
+    for _ in range(600):
+        a = "".join(map(chr, rng.integers(97, 123, int(rng.integers(60, 400)))))
+        at, n = int(rng.integers(0, len(a))), int(rng.integers(1, 1 + len(a) // 14))
+        b = a[:at] + a[at + n :]
+        if linededup.jaccard_reaches(a, b):
+            k = linededup.band_keys([a, b])
+            total, met = total + 1, met + bool((k[0] == k[1]).any())
+    assert total > 300 and met >= 0.97 * total
