@@ -29,11 +29,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches of this session at ``rows``: texts can be long, and a batch is in memory several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def short_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Hold Arrow batches of this session at ``rows`` and ``size``, and those of the Parquet reader at ``rows``.
+
+    Texts can be long, and a batch is in memory several times over: in the reader, as Arrow beside the heap, and in the worker.
+    """
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
