@@ -1,4 +1,4 @@
-"""Operators for preparing training data: ten numbered operators and their queries.
+"""Operators for preparing training data: thirteen numbered operators and their queries.
 
 Nothing else in the library imports this subpackage.
 """

@@ -76,9 +76,54 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op4_vector_graph": op4_vector_graph, "op5_jaccard_join": op5_jaccard_join, "op6_language_id": op6_language_id, "op7_toxicity": op7_toxicity, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints}
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.dualtree import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.dimscan import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumispan.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds, one pair of subqueries each; integer division rounds towards zero, so remainders are taken off first."""
+    steps = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k, v FROM e WHERE vec_id IS NOT NULL QUALIFY k < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT e.id, min({{'d': list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'k': c.k}}) AS b FROM e, c{i} c GROUP BY e.id)")
+        if i < rounds:
+            steps.append(
+                f"s{i} AS (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.b.k AS k, unnest(e.v) AS x, unnest(range(len(e.v))) AS i FROM a{i} a JOIN e ON e.id = a.id) GROUP BY k, i), "
+                f"m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY k), "
+                f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)"
+            )
+    head = "e AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0)"
+    return f"""
+WITH {head}, {', '.join(steps)},
+r AS (SELECT e.vec_id, CAST(a.b.k AS INT) AS cluster, CAST(a.b.d AS BIGINT) AS distance FROM a{rounds} a JOIN e ON e.id = a.id)
+SELECT r.vec_id, r.cluster, r.distance, CAST(sum(r.distance) OVER (PARTITION BY r.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(r.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM r JOIN c{rounds} c ON c.k = r.cluster"""
+
+
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op2_warc": op2_warc, "op3_chunk_bpe": op3_chunk_bpe, "op4_vector_graph": op4_vector_graph, "op5_jaccard_join": op5_jaccard_join, "op6_language_id": op6_language_id, "op7_toxicity": op7_toxicity, "op8_harmonic_packing": op8_harmonic_packing, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_prefix_fingerprints": op10_prefix_fingerprints, "op11_dual_tree": op11_dual_tree, "op12_dimension_scan": op12_dimension_scan, "op13_whitening": op13_whitening}
 
 ORACLE_SQL = {
+    "op11_dual_tree": _lloyd_sql(),
+    # the search is exact as long as there is one list, as on small tables
+    "op12_dimension_scan": """
+WITH e AS (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS own, a.vec_id AS query_id, b.vec_id, b.id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id, id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 5""",
     "op4_vector_graph": """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
