@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumispan.functions.lineage import cut
 from lumispan.functions.vectors import dist2, xyz
-from lumispan.operators.graphs import connected_components
+from lumispan.operators import octree
 from lumispan.operators.spatial import knn_join, range_join, voxel_downsample
 
 
@@ -71,12 +71,7 @@ def density_eps(points: DataFrame, factor: float = 8.0) -> float:
 
 def dbscan(points: DataFrame, eps: float, least: int = 5) -> DataFrame:
     """(point_id, label, core): clusters are named by their smallest core point, -1 is noise; a border point takes the smallest label."""
-    near = cut(range_join(points.withColumnRenamed("point_id", "q"), points.withColumnRenamed("point_id", "p"), eps).select("q", "p"))
-    core = cut(near.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("q").alias("point_id")))
-    links = near.where("q < p").join(core.withColumnRenamed("point_id", "q"), "q", "left_semi").join(core.withColumnRenamed("point_id", "p"), "p", "left_semi")
-    parts = connected_components(core.withColumnRenamed("point_id", "node_id"), links.select(F.col("q").alias("src"), F.col("p").alias("dst")))
-    reach = near.join(parts.select(F.col("node_id").alias("p"), "component"), "p").groupBy("q").agg(F.min("component").alias("border"), F.max(F.when(F.col("q") == F.col("p"), F.col("component"))).alias("own"))
-    return points.select("point_id").join(reach, F.col("point_id") == F.col("q"), "left").select("point_id", F.coalesce("own", "border", F.lit(-1)).alias("label"), F.col("own").isNotNull().alias("core"))
+    return octree.density_clusters(points, eps, least)
 
 
 def contract(points: DataFrame, near: DataFrame, strength: float = 0.4, steps: int = 30) -> DataFrame:

@@ -39,17 +39,17 @@ def rigid(row) -> np.ndarray:
     return out
 
 
-def matched(source: DataFrame, target: DataFrame, matrix: np.ndarray, cell: float | None = None) -> DataFrame:
+def matched(source: DataFrame, target: DataFrame, matrix: np.ndarray) -> DataFrame:
     """Each source point (point_id) moved by ``matrix``, with its nearest target point and their distance d."""
     x, y, z = affine(np.asarray(matrix)[:3], xyz())
     moved = cut(source.select(F.col("point_id").alias("q"), x.alias("x"), y.alias("y"), z.alias("z")))
-    near = nearest_join(moved, target.withColumnRenamed("point_id", "p"), cell)
+    near = nearest_join(moved, target.withColumnRenamed("point_id", "p"))
     s = moved.select("q", *[F.col(c).alias("s" + c) for c in "xyz"])
     t = target.select(F.col("point_id").alias("p"), *[F.col(c).cast("double").alias("t" + c) for c in "xyz"])
     return near.join(s, "q").join(t, "p").select("q", "p", "sx", "sy", "sz", "tx", "ty", "tz", F.sqrt("d2").alias("d"))
 
 
-def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, steps: int = 50, tolerance: float = 1e-6, reach: float | None = None, sample: int | None = None, cell: float | None = None) -> dict:
+def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, steps: int = 50, tolerance: float = 1e-6, reach: float | None = None, sample: int | None = None) -> dict:
     """Iterated closest points: ``matrix``, ``mean_distance`` and ``rmse`` of the inliers, their number ``n`` and ``fitness``.
 
     Inliers are nearer than ``reach``, or than mean plus deviation of all distances. ``sample`` bounds the source points of a step,
@@ -60,7 +60,7 @@ def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, s
     some = source if sample is None else source.orderBy(F.xxhash64("point_id"), "point_id").limit(sample)
     some, total = cut(some), some.count()
     for _ in range(steps):
-        pairs = cut(matched(some, target, matrix, cell))
+        pairs = cut(matched(some, target, matrix))
         bound = reach
         if bound is None:
             m, s = pairs.agg(F.avg("d"), F.stddev_pop("d")).first()
@@ -104,10 +104,10 @@ def sweep_align(source: DataFrame, target: DataFrame, start: np.ndarray | None =
     return icp(*small, start=best["matrix"], steps=steps, reach=narrow)
 
 
-def safe_beta(points: DataFrame, cell: float | None = None) -> float:
+def safe_beta(points: DataFrame) -> float:
     """Twice the mean distance of a point to its nearest other one."""
     q, p = points.withColumnRenamed("point_id", "q"), points.withColumnRenamed("point_id", "p")
-    mean = knn_join(q, p, 1, cell, self_join=True).agg(F.avg(F.sqrt("d2"))).first()[0]
+    mean = knn_join(q, p, 1, self_join=True).agg(F.avg(F.sqrt("d2"))).first()[0]
     return 2 * (mean or 0.0)
 
 

@@ -1,17 +1,11 @@
-"""Extent, voxels, and nearest, k-nearest and range joins over a grid.
-
-Joins never compare all pairs: points are dealt to cells, the query side is copied to the cells around its own, and the join is
-on the cell. A k-nearest answer is final when the k-th distance is within the cell size; the others go on with larger cells.
-"""
+"""Extent, voxels, and nearest, k-nearest and range joins over the adaptive octree of :mod:`lumispan.operators.octree`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumispan.functions.lineage import cut
-from lumispan.functions.vectors import dist2
+from lumispan.operators import octree
 
 
 def bbox(points: DataFrame) -> DataFrame:
@@ -41,68 +35,31 @@ def voxel_downsample(points: DataFrame, size: float, colors: bool = True) -> Dat
     return made.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in "rgba"}) if colors else made
 
 
-def _cells(size: float, prefix: str = "") -> list[Column]:
-    return [F.floor(F.col(prefix + c).cast("double") / size).alias(f"c{c}") for c in "xyz"]
+def range_join(queries: DataFrame, points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
+    """(q, p, d2) for queries (q, x, y, z) and points (p, x, y, z) at most ``radius`` apart; the ``most`` nearest of each if given."""
+    if radius < 0:
+        return octree.none(queries.sparkSession).drop("rank")
+    return octree.within(queries, points, radius) if most is None else octree.nearest(queries, points, most, radius).drop("rank")
 
 
-def _around(points: DataFrame, size: float) -> DataFrame:
-    out = points.select("*", *_cells(size))
-    for c in "xyz":
-        out = out.withColumn(f"c{c}", F.explode(F.sequence(F.col(f"c{c}") - 1, F.col(f"c{c}") + 1)))
-    return out
+def knn_join(queries: DataFrame, points: DataFrame, k: int, self_join: bool = False) -> DataFrame:
+    """(q, p, d2, rank): the k nearest points of each query, ties to the smaller p; ``self_join`` has the same points on both sides and leaves q = p out."""
+    if not self_join:
+        return octree.nearest(queries, points, k)
+    if k < 1:
+        return octree.none(queries.sparkSession)
+    found = octree.nearest(queries, queries, k + 1)
+    own = found.where("q = p").select("q", F.col("rank").alias("own"))  # there are none where k others are at the same place
+    kept = found.join(own, "q", "left").where("q != p").withColumn("rank", F.when(F.col("rank") > F.col("own"), F.col("rank") - 1).otherwise(F.col("rank")))
+    return kept.where(F.col("rank") <= k).drop("own")
 
 
-def range_join(queries: DataFrame, points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
-    """(q, p, d2) for queries (q, x, y, z) and points (p, x, y, z) at most ``radius`` apart; the ``most`` nearest of each if given."""
-    a = _around(queries, radius).select("q", "cx", "cy", "cz", *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    b = points.select("p", "x", "y", "z", *_cells(radius))
-    d2 = dist2([F.col(f"q{c}") for c in "xyz"], [F.col(c) for c in "xyz"])
-    found = a.join(b, ["cx", "cy", "cz"]).select("q", "p", d2.alias("d2")).where(F.col("d2") <= radius * radius)
-    if most is None:
-        return found
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "p"))).where(F.col("rank") <= most).drop("rank")
-
-
-def knn_join(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None, self_join: bool = False) -> DataFrame:
-    """(q, p, d2, rank): the k nearest points of each query, ties to the smaller p; ``self_join`` leaves q = p out."""
-    total = points.count()
-    k = min(k, total - 1 if self_join else total)
-    schema = "q long, p long, d2 double, rank int"
-    if k < 1 or not total:
-        return queries.sparkSession.createDataFrame([], schema)
-    both = queries.select("x", "y", "z").unionByName(points.select("x", "y", "z"))
-    wide = extent(both)
-    size = cell or wide * (k / max(total, 1)) ** (1 / 3)
-    open_, parts = queries.select("q", "x", "y", "z"), []
-    while True:
-        # cells as large as the extent make everything a neighbour, so the loop ends
-        last = size >= wide * 1.001
-        a = _around(open_, size).select("q", "cx", "cy", "cz", *[F.col(c).alias(f"q{c}") for c in "xyz"])
-        b = points.select("p", "x", "y", "z", *_cells(size))
-        d2 = dist2([F.col(f"q{c}") for c in "xyz"], [F.col(c) for c in "xyz"])
-        near = a.join(b, ["cx", "cy", "cz"]).select("q", "p", d2.alias("d2"))
-        near = near.where("q != p") if self_join else near
-        top = cut(near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "p"))).where(F.col("rank") <= k))
-        done = top.groupBy("q").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where(F.lit(True) if last else (F.col("n") == k) & (F.col("far") <= size * size)).select("q")
-        parts.append(top.join(done, "q", "left_semi"))
-        if last:
-            break
-        open_ = cut(open_.join(done, "q", "left_anti"))
-        if open_.isEmpty():
-            break
-        size = min(2 * size, wide * 1.01)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def nearest_join(queries: DataFrame, points: DataFrame, cell: float | None = None) -> DataFrame:
-    return knn_join(queries, points, 1, cell).drop("rank")
-
-
-def knn_edges(nodes: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+def nearest_join(queries: DataFrame, points: DataFrame) -> DataFrame:
+    return knn_join(queries, points, 1).drop("rank")
+
+
+def knn_edges(nodes: DataFrame, k: int) -> DataFrame:
     """Undirected edges (a, b, d) with a < b of nodes (node_id, x, y, z): the union of all k-nearest lists."""
     q, p = nodes.withColumnRenamed("node_id", "q"), nodes.withColumnRenamed("node_id", "p")
-    found = knn_join(q, p, k, cell, self_join=True)
+    found = knn_join(q, p, k, self_join=True)
     return found.groupBy(F.least("q", "p").alias("a"), F.greatest("q", "p").alias("b")).agg(F.sqrt(F.min("d2")).alias("d"))
