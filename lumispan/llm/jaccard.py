@@ -10,7 +10,9 @@ Links are wanted as components, so what is one component already is not compared
 shingle to the smallest one of nearly its size, verifies, and takes components; a second one verifies all pairs whose
 components still differ. Both only skip pairs that cannot change a component.
 
-Documents without words, or with null text, have an empty set and no link. Repeated rows are one document.
+Documents without words, or with null text, have an empty set and no link. Sets, not ids, are what is linked: rows with the
+same doc_id and other texts are documents of their own, rows with null doc_id link like all others and only give no name. A
+component without any doc_id has none. Repeated rows are one document. An empty table gives none, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,11 +124,11 @@ def most_common(a: int, b: int, x: bytes, y: bytes) -> int:
     return (a + b - int(np.bitwise_count(u ^ v).sum())) // 2
 
 
-SIGNED = "doc_id long, n_shingles long, whole binary, signature binary, bits binary, prefix array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, whole binary, signature binary, bits binary, prefix array<long>"
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Size, digest of the set, digest of prefix and size, and prefix of each document (doc_id, text)."""
+    """Size, digest of the set, digest of prefix and size, and prefix of each document (doc_id, text_hash, text)."""
     frequent = frequent_shingles(docs, n)
 
     def run(batches):
@@ -151,7 +153,7 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
                     signs.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(signs, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=names)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(signs, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=names)
 
     names = [c.split()[0] for c in SIGNED.split(", ")]
     return docs.mapInArrow(run, SIGNED)
@@ -159,9 +161,8 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
 def possible(pairs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (u, v) whose sizes and parity bits leave a link possible."""
-    known = signed.select("doc_id", "n_shingles", "bits").dropDuplicates(["doc_id"])
-    a = known.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("nu"), F.col("bits").alias("bu"))
-    b = known.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("nv"), F.col("bits").alias("bv"))
+    a = signed.select(F.col("row").alias("u"), F.col("n_shingles").alias("nu"), F.col("bits").alias("bu"))
+    b = signed.select(F.col("row").alias("v"), F.col("n_shingles").alias("nv"), F.col("bits").alias("bv"))
 
     def run(batches):
         for batch in batches:
@@ -177,14 +178,17 @@ def possible(pairs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int = N, percent: int = PERCENT, most_broadcast: int = 500_000) -> DataFrame:
-    """Those pairs (u, v) of documents whose sets reach the threshold, from their whole texts."""
+    """Those pairs (u, v) of rows of ``signed`` whose sets reach the threshold, from their whole texts."""
     pairs = materialize(possible(pairs, signed, percent), "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     # a list of ids of checked size filters the scan; a longer one joins
     few = ids.count() <= most_broadcast
-    texts = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    a = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
-    b = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
+    held = lambda d: F.broadcast(d) if few else d
+    keys = signed.select("row", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).join(held(ids), "row", "left_semi")
+    texts = docs.join(held(keys), docs.doc_id.eqNullSafe(F.col("id")) & docs.text_hash.eqNullSafe(F.col("hash"))).select("row", "text")
+    texts = materialize(texts.dropDuplicates(["row"]), "texts")
+    a = texts.select(F.col("row").alias("u"), F.col("text").alias("a"))
+    b = texts.select(F.col("row").alias("v"), F.col("text").alias("b"))
 
     def run(batches):
         hasher = worker_cache("jaccard", n, lambda: Hasher(n))
@@ -208,19 +212,24 @@ def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int = N, p
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document (doc_id, text); component_id is the smallest doc_id that links reach."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of each document (doc_id, text).
+
+    component_id is the smallest doc_id that links reach; one text of each component, that with the smallest doc_id, is kept,
+    and so is every document without words. ``text_hash`` is Spark's xxhash64 of the text, which tells rows of one doc_id apart.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(signatures(docs, n, percent), "signed")
-    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "whole", "signature").distinct()
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    signed = materialize(signatures(docs, n, percent).withColumn("row", F.monotonically_increasing_id()), "signed")
     # equal sets are one representative, equal prefixes and sizes one group; the aggregates combine before the shuffle
-    reps = materialize(some.groupBy("whole", "signature").agg(F.min("doc_id").alias("doc_id")), "reps")
-    groups = reps.groupBy("signature").agg(F.min("doc_id").alias("gid"), F.count("*").alias("members"))
-    heads = signed.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    postings = materialize(heads.select(F.col("doc_id").alias("gid"), F.col("n_shingles").cast("int").alias("size"), "prefix"), "heads").select("gid", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    some = signed.where("n_shingles > 0").select("row", "whole", "signature", "doc_id")
+    reps = materialize(some.groupBy("whole", "signature").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("leader")), "reps")
+    groups = reps.groupBy("signature").agg(F.min("row").alias("gid"), F.count("*").alias("members"))
+    heads = signed.join(groups.select(F.col("gid").alias("row")), "row", "left_semi")
+    postings = materialize(heads.select(F.col("row").alias("gid"), F.col("n_shingles").cast("int").alias("size"), "prefix"), "heads").select("gid", "size", F.posexplode("prefix").alias("pos", "shingle"))
     shared = postings.groupBy("shingle").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("shingle")
     active = materialize(postings.join(shared, "shingle"), "postings")
 
-    inside = reps.join(groups.where("members > 1"), "signature").where("doc_id != gid").select(F.col("gid").alias("u"), F.col("doc_id").alias("v"))
+    inside = reps.join(groups.where("members > 1"), "signature").where("row != gid").select(F.col("gid").alias("u"), F.col("row").alias("v"))
     band = active.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) * 2))
     centres = band.groupBy("shingle", "band").agg(F.min(F.struct("gid", "size", "pos")).alias("c"))
     star = band.join(centres, ["shingle", "band"]).where("gid != c.gid").where(_may_link("size", "pos", "c.size", "c.pos", percent)).select(F.col("c.gid").alias("u"), F.col("gid").alias("v"))
@@ -228,24 +237,28 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     parts = components(links)
 
     # second pass: every pair with different components, members of groups included
-    member = materialize(reps.join(groups, "signature").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "gid", F.coalesce("component", "doc_id").alias("component")), "members")
+    member = materialize(reps.join(groups, "signature").join(parts.withColumnRenamed("id", "row"), "row", "left").select("row", "gid", F.coalesce("component", "row").alias("component")), "members")
     spans = member.groupBy("gid").agg(F.min("component").alias("clo"), F.max("component").alias("chi"))
     loose = member.join(spans.where("clo < chi").select("gid"), "gid")
     a, b = loose.alias("a"), loose.alias("b")
-    within = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"))
+    within = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.row").alias("u"), F.col("b.row").alias("v"))
     kinds = active.join(spans, "gid")
     mixed = kinds.groupBy("shingle").agg(F.min("clo").alias("lo"), F.max("chi").alias("hi")).where("lo < hi").select("shingle")
     left = materialize(kinds.join(mixed, "shingle"), "mixed")
     p, q = left.alias("p"), left.alias("q")
     different = (F.col("p.clo") != F.col("q.clo")) | (F.col("p.chi") != F.col("q.chi")) | (F.col("p.clo") != F.col("p.chi"))
     group_pairs = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.gid") < F.col("q.gid")) & different & _may_link("p.size", "p.pos", "q.size", "q.pos", percent)).select(F.col("p.gid").alias("g"), F.col("q.gid").alias("h")).distinct()
-    m1, m2 = member.select(F.col("gid").alias("g"), F.col("doc_id").alias("x"), F.col("component").alias("cx")), member.select(F.col("gid").alias("h"), F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    m1, m2 = member.select(F.col("gid").alias("g"), F.col("row").alias("x"), F.col("component").alias("cx")), member.select(F.col("gid").alias("h"), F.col("row").alias("y"), F.col("component").alias("cy"))
     across = group_pairs.join(m1, "g").join(m2, "h").where("cx != cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
     more = verified(within.unionByName(across), docs, signed, n, percent)
     parts = components(links.unionByName(more))
 
-    by_set = reps.join(parts, reps.doc_id == parts.id, "left").select("whole", F.coalesce("component", "doc_id").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "whole").join(by_set, "whole", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = reps.join(parts.withColumnRenamed("id", "row"), "row", "left").select("whole", "least", "leader", F.coalesce("component", "row").alias("component"))
+    first = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.min_by("leader", F.struct(F.col("least").isNull(), "least", "leader")).alias("stays"))
+    by_set = placed.join(first, "component").select("whole", "component_id", "stays")
+    out = signed.select("row", "doc_id", "text_hash", "n_shingles", "whole").join(by_set, "whole", "left")
+    worded = F.col("n_shingles") > 0
+    return out.select("doc_id", "n_shingles", F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(worded, F.col("row").eqNullSafe(F.col("stays"))).otherwise(True).alias("kept"), "text_hash")
 
 
 def _may_link(size: str, pos: str, other: str, at: str, percent: int):

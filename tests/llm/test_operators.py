@@ -173,6 +173,17 @@ def test_jaccard(docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+
+def test_jaccard_of_repeated_and_null_ids(spark):
+    """Rows are named by their sets: an id with several texts keeps the links of each, null ids link as well."""
+    other = " ".join(f"word{i}" for i in range(40))
+    a, b, c = " ".join(f"a{i}" for i in range(40)), other, " ".join(f"c{i}" for i in range(40))
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " z"), (None, c), (None, c + " z"), (9, c + " y"), (None, "alone " * 3), (4, None), (None, ""), (3, b + " z")]
+    got = [tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "component_id", "kept").collect()]
+    want = [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False), (None, 9, False), (None, 9, False), (9, 9, True), (None, None, True), (4, 4, True), (None, None, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_parity_never_undercounts():
     rng = np.random.default_rng(9)
     for _ in range(200):
