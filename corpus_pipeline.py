@@ -36,8 +36,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
-    kept = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    kept = jaccard.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text.cast("string")) == F.col("__hash"))
+    return docs.join(kept, same, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ then taken leaf by leaf. For k nearest, the first bound is the farthest corner o
 holds k positions, the second one comes from the leaf with the best such corner, by actual distances. Groups of at most
 ``CHUNK`` leaves meet a leaf of queries in one task; more of them are merged by rank.
 
-So neither far outliers nor dense balls nor copies of one place make more than a leaf's share of pairs. Clouds of at most
-``ONE`` positions, which are counted, are one leaf. Points with null, NaN or infinite coordinates take no part. Ids are keys:
+So neither far outliers nor dense balls nor copies of one place make more than a leaf's share of pairs. Where there are at
+most ``ONE`` points, which is counted, they go to the tasks of the queries as they are. Points with null, NaN or infinite coordinates take no part. Ids are keys:
 an id at two places is two positions of one name, whose answers are mixed.
 """
 
@@ -31,7 +31,7 @@ from lumispan.functions.lineage import cut
 from lumispan.functions.vectors import finite, xyz
 
 LEAF = 256  # positions of a leaf
-ONE = 4096  # positions of a cloud that is one leaf
+ONE = 4096  # points that every task can hold
 CHUNK = 32  # leaves that meet a leaf of queries at once
 WORD, DEPTH = 15, 60  # levels that one long holds as decimal digits, levels in all
 BLOCK = 1 << 20  # distances that are held at once
@@ -82,7 +82,7 @@ def _prefixes(code: Column, lowest: int = 0, strict: bool = False) -> Column:
 
 def with_leaf(placed: DataFrame, total: int, bound: int | None = None) -> DataFrame:
     """``placed`` (code, ...) with the path of the leaf that holds each position; ``total`` is their number."""
-    bound = bound or (ONE if total <= ONE else LEAF)
+    bound = bound or LEAF
     if total <= bound:
         return placed.withColumn("leaf", F.lit(""))
     parts, left, above = [], placed, 0
@@ -112,7 +112,7 @@ def packed(leafed: DataFrame, extra: list[str] | None = None) -> DataFrame:
     extra = extra or []
     rows = leafed.groupBy("leaf").agg(
         F.count("*").alias("n"), *[F.min(c).alias("lo" + c) for c in "xyz"], *[F.max(c).alias("hi" + c) for c in "xyz"],
-        F.collect_list(F.struct("pos", "x", "y", "z", *extra)).alias("rows"),  # at most LEAF (ONE) positions
+        F.collect_list(F.struct("pos", "x", "y", "z", *extra)).alias("rows"),  # at most LEAF positions
     )
     return rows.select("leaf", "n", *_BOX, F.col("rows.pos").alias("pos"), *[F.col(f"rows.{c}").alias(c + "s") for c in "xyz"], *[F.col(f"rows.{c}").alias(c) for c in extra])
 
@@ -177,6 +177,43 @@ def _blocks(q: np.ndarray, p: np.ndarray):
         yield at, _distances(q[at : at + step], p)
 
 
+def _few(points: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and places of points of checked number; None if there are more than ONE."""
+    held = _typed(points, name).limit(ONE + 1).toArrow()
+    if held.num_rows > ONE:
+        return None
+    return held.column(0).to_numpy(), np.stack([held.column(c).to_numpy() for c in "xyz"], axis=1)
+
+
+def _typed(points: DataFrame, name: str) -> DataFrame:
+    return points.where(finite(*xyz())).select(F.col(name).cast("long").alias(name), *[(F.col(c).cast("double") + 0.0).alias(c) for c in "xyz"])
+
+
+def _best(d: np.ndarray, ids: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id, distance and rank of the k smallest of each row of ``d`` up to ``most``, ties to the smaller id."""
+    m = min(k, d.shape[1])
+    edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+    i, j = np.nonzero((d <= edge) & (d <= most))
+    order = np.lexsort((ids[j], d[i, j], i))
+    i, j = i[order], j[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j, rank = i[rank < k], j[rank < k], rank[rank < k]
+    return i, ids[j], d[i, j], (rank + 1).astype(np.int32)
+
+
+def _over_batches(queries: DataFrame, place: np.ndarray, of, schema: str) -> DataFrame:
+    """``of(ids, first, distances)`` for blocks of queries (q, x, y, z) and the few points at ``place``."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "z")], axis=1)
+            ids = batch.column("q").to_numpy()
+            for at, d in _blocks(x, place):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in of(ids, at, d)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return _typed(queries, "q").mapInArrow(run, schema)
+
+
 def _sides(queries: DataFrame, points: DataFrame, q: str, p: str) -> tuple[Cube, DataFrame, DataFrame, DataFrame, DataFrame]:
     cube = Cube.around(queries.where(finite(*xyz())), points.where(finite(*xyz())))
     places = cut(positions(points, p, cube))
@@ -200,6 +237,16 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None
         queries = points = points.withColumn("p", F.col("q"))
     if k < 1:
         return none(queries.sparkSession)
+    most = math.inf if radius is None else radius * radius
+    few = _few(points, "p")
+    if few is not None:
+        held, place = few
+
+        def of(ids, at, d):
+            i, p, d2, rank = _best(d, held, k, most)
+            return ids[at + i], p, d2, rank
+
+        return _over_batches(queries, place, of, "q long, p long, d2 double, rank int") if len(place) else none(queries.sparkSession)
     cube, places, mine, leafed, asking = _sides(queries, points, "q", "p")
     total = places.count()
     if not total or mine.isEmpty():
@@ -216,13 +263,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None
     leaves = cut(packed(leafed, ["ids"]))
     askers = leaves.drop("ids") if same else cut(packed(asking))
     need = min(k, total)
-    if leaves.limit(2).count() == 1:
-        only = leaves.select(F.col("leaf").alias("pleaf")).first()[0]
-        pairs = askers.select(F.col("leaf").alias("qleaf"), F.lit(only).alias("pleaf"))
-    else:
-        pairs = _bounded(askers, leaves, cube, need, radius)
-    pairs = cut(pairs.withColumn("n", F.count("*").over(W.partitionBy("qleaf"))).select("qleaf", "pleaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("pleaf"), F.col("chunks")).cast("int")))
-    most = math.inf if radius is None else radius * radius
+    pairs = cut(_bounded(askers, leaves, cube, need, radius).withColumn("n", F.count("*").over(W.partitionBy("qleaf"))).select("qleaf", "pleaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("pleaf"), F.col("chunks")).cast("int")))
 
     def meet(q: pa.Table, p: pa.Table) -> pa.Table:
         names, rows, got = [], [], []
@@ -235,16 +276,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None
             for mine in _rows(q):
                 own = mine["q_pos"].values.to_numpy()
                 for at, d in _blocks(_arrays(mine, "q_"), place):
-                    m = min(k, d.shape[1])
-                    edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-                    i, j = np.nonzero((d <= edge) & (d <= most))
-                    order = np.lexsort((flat[j], d[i, j], i))
-                    i, j = i[order], j[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j, rank = i[rank < k], j[rank < k], rank[rank < k]
+                    i, ids, d2, rank = _best(d, flat, k, most)
                     names.append(own[at + i])
-                    rows.append(flat[j])
-                    got.append(np.stack([d[i, j], rank + 1.0]))
+                    rows.append(ids)
+                    got.append(np.stack([d2, rank.astype(float)]))
         both = np.concatenate(got, axis=1) if got else np.zeros((2, 0))
         whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         chunks = int(p.column("chunks")[0].as_py()) if p.num_rows else 1
@@ -312,10 +347,19 @@ def within(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     same = queries is points
     if same:
         queries = points = points.withColumn("p", F.col("q"))
+    most = radius * radius
+    few = _few(points, "p")
+    if few is not None:
+        held, place = few
+
+        def of(ids, at, d):
+            i, j = np.nonzero(d <= most)
+            return ids[at + i], held[j], d[i, j]
+
+        return _over_batches(queries, place, of, "q long, p long, d2 double")
     cube, places, mine, leafed, asking = _sides(queries, points, "q", "p")
     leaves = cut(packed(leafed))
     askers = leaves if same else cut(packed(asking))
-    most = radius * radius
 
     def meet(batches):
         for batch in batches:
@@ -350,6 +394,12 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     """
     from lumispan.operators.graphs import connected_components
 
+    few = _few(points, "point_id")
+    if few is not None:
+        held, place = few
+        spark = points.sparkSession
+        found = spark.range(1, numPartitions=1).mapInArrow(lambda batches: _clustered(held, place, radius * radius, least), "pos long, component long, core boolean")
+        return points.select("point_id").join(found, F.col("point_id") == F.col("pos"), "left").select("point_id", F.coalesce("component", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
     named = points.select(F.col("point_id").cast("long").alias("q"), "x", "y", "z").withColumn("p", F.col("q"))
     cube, places, _, leafed, _ = _sides(named, named, "q", "p")
     leafed = cut(leafed)
@@ -412,5 +462,21 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     return at.join(labels, ["x", "y", "z"], "left").select("point_id", F.coalesce("component", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def _clustered(ids: np.ndarray, x: np.ndarray, most: float, least: int):
+    """Clusters of few points in one task: up from the smallest ids, so that rows reach the smallest core."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    core = np.concatenate([(d <= most).sum(axis=1) >= least for _, d in _blocks(x, x)]) if len(x) else np.zeros(0, bool)
+    hard = np.flatnonzero(core)
+    if not len(hard):
+        return
+    label = ids[hard][_labels(_linked(x[hard], x[hard], most))]
+    top = np.iinfo(np.int64).max
+    low = np.concatenate([np.where(d <= most, label[None, :], top).min(axis=1) for _, d in _blocks(x, x[hard])])
+    low[hard] = label
+    some = low < top
+    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(low[some]), pa.array(core[some])], names=["pos", "component", "core"])
+
+
 def _linked(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([d <= most for _, d in _blocks(a, b)])

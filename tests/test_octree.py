@@ -109,6 +109,18 @@ def test_pairs_follow_the_points(spark, small):
     assert sizes[4000] < 6 * sizes[1000] and sizes[4000] * 24 < 4000 * 200
 
 
+def test_few_points(spark):
+    """Without smaller limits these go to every task whole."""
+    x = uneven(100, 7)
+    d = distances(x, x)
+    points = frame(spark, x, "point_id")
+    q, p = points.withColumnRenamed("point_id", "q"), points.withColumnRenamed("point_id", "p")
+    assert {tuple(r) for r in spatial.knn_join(q, p, 6, self_join=True).select("q", "p", "d2", "rank").collect()} == top(d, 6, own=True)
+    assert {tuple(r) for r in spatial.range_join(q, p, 2.0, 3).select("q", "p", "d2").collect()} == {t[:3] for t in top(d, 3) if t[2] <= 4.0}
+    assert spatial.range_join(q, p, 2.0).count() == (d <= 4.0).sum()
+    assert {tuple(r) for r in features.dbscan(points, 4.0, 9).where(F.col("point_id") < 10**9).collect()} == clusters(x, 4.0, 9)
+
+
 def test_empty_and_tiny(spark):
     none, one = frame(spark, [], "q"), frame(spark, [[1.0, 2.0, 3.0]], "q")
     p = lambda d: d.withColumnRenamed("q", "p")
