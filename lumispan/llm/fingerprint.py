@@ -4,11 +4,12 @@ With P[i] the hash of the first i code points, sum(c[j] * B**j) modulo a prime,
 and the longest common extension of two places is found by binary search. Two primes below 2**31 make a hash of 62 bits.
 
 A fingerprint is the length, the hash of the whole text, and the prefix hashes at the multiples of a step (a power of two
-that leaves at most ``MARKS``) together with those of the reversed text. The likeness of two fingerprints is the part of
-the longer text that their longest common prefix and longest common suffix cover, as far as the marks tell: the last
-common mark is found by binary search. Equal texts have equal fingerprints and likeness 1; two empty texts are equal.
-Where both texts are at hand, as in :func:`compare_with_edits`, :func:`shared` takes exact extensions instead: the common
-prefix and suffix, and between them the passages that meet at anchors (windows of ``ANCHOR`` code points chosen by content).
+that leaves at most ``MARKS``) together with those of the reversed text, and the span hashes between anchors (windows of
+``ANCHOR`` code points chosen by content, about ``MARKS`` of them). The likeness of two fingerprints is the part of the longer
+text that is known to be in the other one: the longest common prefix and suffix as far as the marks tell, where the last common
+mark is found by binary search, and between them the spans of equal hash. Spans of a text of another size are put together
+first, as hashes of neighbouring spans add up. Equal texts have equal fingerprints and likeness 1; two empty texts are equal.
+Where both texts are at hand, :func:`shared` takes exact extensions instead, at every anchor.
 
 Null text is empty text. In :func:`compare_with_edits`, repeated doc_ids are ordered by a hash of their text, rows
 without doc_id come last, and a table of one row is its own next document.
@@ -102,7 +103,7 @@ def step_of(n: int) -> int:
 
 
 def fingerprint(points: np.ndarray) -> str:
-    """Length, whole hash, prefix marks and suffix marks as text."""
+    """Length, whole hash, prefix marks, suffix marks and spans as text."""
     return Hashed(points).fingerprint()
 
 
@@ -114,39 +115,97 @@ class Hashed:
         self.ahead, self.back = PrefixHash(points), PrefixHash(points[::-1])
 
     def fingerprint(self) -> str:
-        return _marked(self.n, self.ahead, self.back)
-
-
-def _marked(n: int, ahead: PrefixHash, back: PrefixHash) -> str:
+        return _marked(self.n, self.points, self.ahead, self.back)
+
+
+def _spans(points: np.ndarray, ahead: PrefixHash) -> str:
+    """Place of the first anchor, then level of each anchor and length and hash of the span that follows it."""
+    n = len(points)
+    every = max(EVERY, step_of(n))
+    at, hashes = anchors(points, 0, n, every)
+    if not len(at):
+        return ""
+    first = np.sort(np.unique(hashes, return_index=True)[1])  # a window that comes again adds nothing, in periodic texts for one
+    at, hashes = at[first], hashes[first]
+    levels = [(int(h) & -int(h)).bit_length() - 1 if h else 63 for h in hashes.tolist()]
+    parts = []
+    for i, lo in enumerate(at.tolist()):
+        if i + 1 < len(at):
+            m = int(at[i + 1]) - lo
+            parts.append(f"{levels[i]:x}.{m:x}.{_at_zero(ahead, lo, m):x}")
+        else:
+            parts.append(f"{levels[i]:x}")
+    return f"{int(at[0]):x}," + ",".join(parts)
+
+
+def _at_zero(h: PrefixHash, lo: int, n: int) -> int:
+    """Hash of a span as if it began its text."""
+    out = 0
+    for k, prime in enumerate(PRIMES):
+        d = int(h.arrays[k][lo + n]) - int(h.arrays[k][lo])
+        out = out << 31 | d * pow(BASES[k], -lo, prime) % prime
+    return out
+
+
+def _read_spans(text: str, level: int) -> list[tuple[int, int, int]]:
+    """(place, length, hash) of the spans between anchors of at least this level."""
+    if not text:
+        return []
+    first, *parts = text.split(",")
+    at, out, own = int(first, 16), [], None
+    for part in parts:
+        mark, *rest = part.split(".")
+        if int(mark, 16) >= level:
+            if own is not None:
+                out.append((own[0], own[1], own[2] << 31 | own[3]))
+            own = [at, 0, 0, 0]
+        if rest:
+            n, h = int(rest[0], 16), int(rest[1], 16)
+            if own is not None:
+                halves = (h >> 31, h & (1 << 31) - 1)
+                own = [own[0], own[1] + n, *((own[2 + k] + halves[k] * pow(BASES[k], own[1], p)) % p for k, p in enumerate(PRIMES))]
+            at += n
+    return out
+
+
+def _marked(n: int, points: np.ndarray, ahead: PrefixHash, back: PrefixHash) -> str:
     at = np.arange(1, n // step_of(n) + 1) * step_of(n) if n else np.zeros(0, np.int64)
     marks = lambda h: ".".join(f"{x & 0xFFFFFFFF:08x}" for x in h.prefix(at).tolist())
-    return f"{n:x}:{int(ahead.prefix(n)):016x}:{marks(ahead)}:{marks(back)}"
+    return f"{n:x}:{int(ahead.prefix(n)):016x}:{marks(ahead)}:{marks(back)}:{_spans(points, ahead)}"
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    (na, _, fa, ba), (nb, _, fb, bb) = a.split(":"), b.split(":")
+    (na, _, fa, ba, pa_), (nb, _, fb, bb, pb) = a.split(":"), b.split(":")
     n, m = int(na, 16), int(nb, 16)
     if not n or not m:
         return 0.0
+    if n < m:
+        return likeness(b, a)
     sa, sb = step_of(n), step_of(m)
     step = max(sa, sb)
-    total = 0
+    same = []
     for x, y in ((fa, fb), (ba, bb)):
         x, y = x.split(".")[step // sa - 1 :: step // sa], y.split(".")[step // sb - 1 :: step // sb]
         lo, hi = 0, min(len(x), len(y))
         while lo < hi:  # marks agree up to a place and not beyond it
             mid = (lo + hi + 1) // 2
             lo, hi = (mid, hi) if x[mid - 1] == y[mid - 1] else (lo, mid - 1)
-        total += lo * step
-    return min(total, min(n, m)) / max(n, m)
+        same.append(lo * step)
+    covered, (p, s) = sum(same), same
+    level = max(EVERY, step).bit_length() - 1
+    there = {t[1:] for t in _read_spans(pb, level)}
+    for at, size, h in _read_spans(pa_, level):
+        if (size, h) in there:
+            covered += max(0, min(at + size, n - s) - max(at, p))
+    return min(covered, m) / n
 
 
-def anchors(points: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(points: np.ndarray, lo: int, hi: int, every: int = EVERY) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors within [lo, hi)."""
-    if hi - lo < ANCHOR:
+    if hi - lo < ANCHOR:  # every is a power of two
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = (points[lo:hi] + np.uint64(0x51ED27)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
@@ -157,7 +216,7 @@ def anchors(points: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarra
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    at = np.flatnonzero(h % np.uint64(EVERY) == 0)
+    at = np.flatnonzero(h & np.uint64(every - 1) == 0)
     return lo + at, h[at]
 
 
@@ -241,7 +300,7 @@ def compare_with_edits(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
     ordered = both.repartition(len(order), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), tie, "text").select("doc_id", "text", "range", "guest")
 
     def run(batches):
-        held = None  # (doc_id, text, fingerprint, range, hashes) of the row before
+        held = None  # (doc_id, text, fingerprint, range) of the row before
         for batch in batches:
             for some in small_slices(batch, "text", 8 << 20):
                 out = []
@@ -251,8 +310,9 @@ def compare_with_edits(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
                     if held is not None and held[3] == part:
                         changed = edit(held[1], text)
                         edited = Hashed(code_points(changed))
-                        out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[2], edited.fingerprint(), shared(held[4], edited), shared(held[4], this)))
-                    held = None if guest else (doc_id, text, mark, part, this)
+                        changed_mark = edited.fingerprint()
+                        out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[2], changed_mark, likeness(held[2], changed_mark), likeness(held[2], mark)))
+                    held = None if guest else (doc_id, text, mark, part)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 

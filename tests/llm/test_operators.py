@@ -285,6 +285,26 @@ def test_short_lines_are_removed(spark):
     assert got == {0: (texts[0], 0), 1: ("\nsecond", 3), 2: ("Home", 1)}
 
 
+def test_likeness_of_fingerprints_follows_the_texts():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    mark = lambda t: fingerprint.fingerprint(fingerprint.code_points(t))
+    hashed = lambda t: fingerprint.Hashed(fingerprint.code_points(t))
+    gaps = []
+    for n in (30, 200, 2000, 9000):
+        a, b = text(n), text(n)
+        half = len(a) // 2
+        for c in (a[:half] + b[half:], b[:half] + a[half:], "new " + a[: half // 2] + " other " + a[half // 2 :] + " end", a[half:] + a[:half], a + " " + b, b[:99] + a + b[:99], b):
+            near, exact = fingerprint.likeness(mark(a), mark(c)), fingerprint.shared(hashed(a), hashed(c))
+            assert near == fingerprint.likeness(mark(c), mark(a)) and 0 <= near <= exact + 0.02
+            gaps.append(exact - near)
+    assert np.mean(gaps) < 0.12
+    for t in ("", "x", "x" * 100_000, "abab" * 20_000, " \n"):
+        assert fingerprint.likeness(mark(t), mark(t)) == 1.0 and len(mark(t)) < 2000
+    assert fingerprint.likeness(mark(""), mark("a")) == 0.0
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted(((i * 3, t or "") for i, t in enumerate(TEXTS)), reverse=True)
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(docs, per_bucket=4).collect()}
@@ -293,6 +313,8 @@ def test_fingerprints(spark, docs, empty):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
         assert got[i].edited_fingerprint == fingerprint.fingerprint(fingerprint.code_points(changed))
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        assert got[i].near_edited == fingerprint.likeness(got[i].fingerprint, got[i].edited_fingerprint)
+        assert got[i].near_next == fingerprint.likeness(got[i].fingerprint, fingerprint.fingerprint(fingerprint.code_points(rows[(k + 1) % len(rows)][1])))
     assert got[0].fingerprint == got[3].fingerprint and got[3].near_next == 1.0 and got[0].near_edited > 0.4
     assert fingerprint.compare_with_edits(empty).count() == 0
     alone = fingerprint.compare_with_edits(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
