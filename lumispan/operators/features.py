@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumispan.functions.lineage import cut
+from lumispan.functions.quantiles import exact_quantiles
 from lumispan.functions.vectors import dist2, xyz
 from lumispan.operators import octree
 from lumispan.operators.spatial import knn_join, range_join, voxel_downsample
@@ -66,7 +67,7 @@ def principal_axes(cov: DataFrame) -> DataFrame:
 def density_eps(points: DataFrame, factor: float = 8.0) -> float:
     """Eight times the median distance to the nearest other point."""
     q, p = points.withColumnRenamed("point_id", "q"), points.withColumnRenamed("point_id", "p")
-    return factor * (knn_join(q, p, 1, self_join=True).agg(F.percentile(F.sqrt("d2"), 0.5)).first()[0] or 0.0)
+    return factor * (exact_quantiles(knn_join(q, p, 1, self_join=True), F.sqrt("d2"), [0.5])[0] or 0.0)
 
 
 def dbscan(points: DataFrame, eps: float, least: int = 5) -> DataFrame:

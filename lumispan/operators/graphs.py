@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumispan.functions.lineage import cut
+from lumispan.functions.quantiles import exact_quantiles
 from lumispan.functions.vectors import dist2, finite, xyz
 from lumispan.operators.spatial import extent, knn_edges, nearest_join, voxel_downsample
 
@@ -66,7 +67,7 @@ def union(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame) -> tuple[D
 
 
 def median_length(nodes: DataFrame, edges: DataFrame) -> float | None:
-    return edge_lengths(nodes, edges).agg(F.percentile("length", 0.5)).first()[0]
+    return exact_quantiles(edge_lengths(nodes, edges), "length", [0.5])[0]
 
 
 def union_with_bridges(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame, factor: float = 2.0) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +272,7 @@ def skeleton(points: DataFrame, voxel: float | None = None, k: int = 4, prune: f
     edges = forest.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if prune <= 0:
         return nodes, edges
-    middle = forest.agg(F.percentile("d", 0.5)).first()[0]
+    middle = exact_quantiles(forest, "d", [0.5])[0]
     kept, rest = prune_leaves(nodes, edges, prune * middle)
     return induced(kept, rest, kept)
 

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumispan.functions import derived as D
+from lumispan.functions.lineage import cut
+from lumispan.functions.quantiles import exact_quantiles
 from lumispan.functions.vectors import euler
 from lumispan.operators import clouds as C
 from lumispan.operators import features as E
@@ -105,13 +107,21 @@ def edge_lengths(s, d):
 
 @query("median_edge", f"SELECT round(quantile_cont(length, 0.5), 4) AS median, count(*) AS n FROM {LENGTHS}")
 def median_edge(s, d):
-    return rounded(G.edge_lengths(D.trade_nodes(s, d), D.trade_edges(s, d).distinct()).agg(F.percentile("length", 0.5).alias("median"), F.count("*").alias("n")))
+    lengths = cut(G.edge_lengths(D.trade_nodes(s, d), D.trade_edges(s, d).distinct()).select("length"))
+    return rounded(lengths.agg(F.lit(exact_quantiles(lengths, "length", [0.5])[0]).cast("double").alias("median"), F.count("*").alias("n")))
 
 
 @query("edge_p75", f"WITH l AS {LENGTHS}, p AS (SELECT quantile_cont(length, 0.75) AS p FROM l) SELECT src, dst FROM l, p WHERE length <= p + 1e-9")
 def edge_p75(s, d):
-    lengths = G.edge_lengths(D.trade_nodes(s, d), D.trade_edges(s, d).distinct())
-    return lengths.join(F.broadcast(lengths.agg(F.percentile("length", 0.75).alias("p")))).where(F.col("length") <= F.col("p") + 1e-9).select("src", "dst")  # one row
+    lengths = cut(G.edge_lengths(D.trade_nodes(s, d), D.trade_edges(s, d).distinct()))
+    return lengths.where(F.col("length") <= F.lit(exact_quantiles(lengths, "length", [0.75])[0]).cast("double") + 1e-9).select("src", "dst")
+
+
+@query("length_quantiles", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {q} AS share, round(quantile_cont(length, {q}), 4) AS length FROM {LENGTHS}" for q in (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)) + ")")
+def length_quantiles(s, d):
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    found = exact_quantiles(G.edge_lengths(D.trade_nodes(s, d), D.trade_edges(s, d).distinct()), "length", shares)
+    return rounded(s.createDataFrame(list(zip(shares, found, strict=True)), "share double, length double"))
 
 
 @query("knn_edges", f"SELECT a, b, round(d, 6) AS d FROM {KNN}")
