@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from lumispan.functions.store import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in ``spark.checkpoint.dir``, or in a temporary folder where that is unset (tests)."""
+    """``df`` from a checkpoint in the folder of :func:`lumispan.functions.store.shared_dir`."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        base = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="lumispan-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

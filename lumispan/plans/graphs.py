@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from lumispan.functions import derived as D
 from lumispan.functions.lineage import cut
 from lumispan.functions.quantiles import exact_quantiles
+from lumispan.functions.store import scratch
 from lumispan.functions.vectors import euler
 from lumispan.operators import clouds as C
 from lumispan.operators import features as E
@@ -359,27 +357,21 @@ def catalog_flat(s, d):
     return SG.flat_catalog(names, F.col("name")).groupBy("stem").agg(F.count("*").alias("n"))
 
 
-def _temporary(s, name: str) -> str:
-    """A path for a query that writes a file and reads it back, in the shared folder if the session names one."""
-    base = (s.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://") or tempfile.gettempdir()
-    return os.path.join(tempfile.mkdtemp(prefix="lumispan-", dir=base if os.path.isdir(base) else None), name)
-
-
 @query("pcd_roundtrip", f"SELECT x, y, z, round(trunc(CAST(r AS DOUBLE) * 255) / 255, 4) AS r FROM {D.CLOUD_ORD} WHERE alive")
 def pcd_roundtrip(s, d):
-    back = SP.read_pcd(s, SP.write_pcd(D.cloud_ord(s, d), _temporary(s, "cloud.pcd")))
+    back = SP.read_pcd(s, SP.write_pcd(D.cloud_ord(s, d), scratch(s, "cloud.pcd")))
     return rounded(back.select("x", "y", "z", "r"), 4, "r")
 
 
 @query("ply_roundtrip", f"SELECT x, y, z, CAST(trunc(CAST(g AS DOUBLE) * 255) AS INT) AS green FROM {D.CLOUD_ORD} WHERE alive")
 def ply_roundtrip(s, d):
-    return SP.read_ply(s, SP.write_ply(D.cloud_ord(s, d), _temporary(s, "cloud.ply"))).select("x", "y", "z", "green")
+    return SP.read_ply(s, SP.write_ply(D.cloud_ord(s, d), scratch(s, "cloud.ply"))).select("x", "y", "z", "green")
 
 
 @query("graph_json_roundtrip", f"SELECT src, dst FROM {CLEAN}")
 def graph_json_roundtrip(s, d):
     nodes = D.user_nodes(s, d).select("node_id", *[(F.col("node_id") * k).cast("float").alias(c) for c, k in (("x", 1), ("y", 2), ("z", 3))])
-    return SG.read_graph_json(s, SG.write_graph_json(nodes, G.undirected(D.user_edges(s, d)), _temporary(s, "graph.json")))[1]
+    return SG.read_graph_json(s, SG.write_graph_json(nodes, G.undirected(D.user_edges(s, d)), scratch(s, "graph.json")))[1]
 
 
 @query("history_last20", "SELECT user_id AS log_id, event_id AS seq, age FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS age FROM events) WHERE age <= 20")

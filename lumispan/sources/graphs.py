@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumispan.functions.store import filesystem
+
 # File names of the form "<series tangle...> <session rest ...> T<threshold>.pcd".
 STRUCTURED = r"(?i)^(tangle\w+)\s+(.+?)\s+T([0-9.]+)\.pcd$"
 
@@ -34,7 +37,8 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> str:
     """{"nodes": [[x, y, z], ...], "edges": [[i, j], ...]}, written row by row on the driver (the format is one JSON value)."""
-    with open(path, "w", encoding="utf-8") as f:
+    system, place = filesystem(path)
+    with io.TextIOWrapper(system.open_output_stream(place), encoding="utf-8") as f:
         f.write('{\n  "nodes": [')
         for i, r in enumerate(nodes.orderBy("node_id").select(*[F.col(c).cast("double").alias(c) for c in "xyz"]).toLocalIterator()):
             f.write(f"{',' * bool(i)}\n    {json.dumps(list(r))}")

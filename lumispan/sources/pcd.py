@@ -1,161 +1,55 @@
-"""PCD and PLY clouds.
+"""PCD and PLY clouds by the data sources of :mod:`lumispan.sources.records`.
 
-Reading: the driver reads the header (Spark's binaryFile reader, so any store will do) for the schema; ascii data go through
-Spark's text reader, binary data are cut into ranges of records that tasks decode, compressed data are decoded by one task a
-file (the format has one block). Writing: each task encodes its rows, and the parts are put together behind one header.
+A store that pyarrow does not know, and Spark does, is read by Spark's binaryFile reader, one task a file.
 """
 
 from __future__ import annotations
 
-import os
-import struct
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lumispan.functions.store import filesystem
 from lumispan.functions.vectors import finite, pack_rgb, unpack_rgb, xyz
 from lumispan.operators.clouds import cloud
+from lumispan.sources import formats, records
+from lumispan.sources.formats import lzf_decompress, parse_header  # noqa: F401  part of this module's interface
 
-# Numpy and Spark types of PCD's (TYPE, SIZE).
-TYPES = {
-    ("F", 4): ("<f4", "float"), ("F", 8): ("<f8", "double"),
-    ("I", 1): ("<i1", "tinyint"), ("I", 2): ("<i2", "smallint"), ("I", 4): ("<i4", "int"), ("I", 8): ("<i8", "bigint"),
-    ("U", 1): ("<u1", "smallint"), ("U", 2): ("<u2", "int"), ("U", 4): ("<u4", "bigint"), ("U", 8): ("<u8", "decimal(20,0)"),
-}
-
-
-def parse_header(raw: bytes) -> dict:
-    """Fields, types, counts, number of points, kind of data and the place where they begin; ValueError if it is no PCD header."""
-    found, at = {}, 0
-    while True:
-        end = raw.find(b"\n", at)
-        if end < 0:
-            raise ValueError("PCD header without DATA")
-        line = raw[at:end].decode("ascii", "replace").strip()
-        at = end + 1
-        if not line or line.startswith("#"):
-            continue
-        key, _, rest = line.partition(" ")
-        found[key.upper()] = rest.split()
-        if key.upper() == "DATA":
-            break
-    fields = [f.lower() for f in found["FIELDS"]]
-    counts = [int(c) for c in found.get("COUNT", ["1"] * len(fields))]
-    kinds = list(zip([t.upper() for t in found["TYPE"]], map(int, found["SIZE"]), strict=True))
-    for k in kinds:
-        if k not in TYPES:
-            raise ValueError(f"PCD type {k[0]}{k[1]}")
-    points = int(found["POINTS"][0]) if "POINTS" in found else int(found["WIDTH"][0]) * int(found.get("HEIGHT", ["1"])[0])
-    data = found["DATA"][0].lower()
-    if data not in ("ascii", "binary", "binary_compressed"):
-        raise ValueError(f"PCD data {data}")
-    if not {"x", "y", "z"} <= set(fields):
-        raise ValueError("PCD without x, y and z")
-    return {"fields": fields, "kinds": kinds, "counts": counts, "points": points, "data": data, "start": at}
-
-
-def lzf_decompress(raw: bytes, size: int) -> bytes:
-    """Expand an LZF block: control bytes below 32 lead literals, others a length and a distance back."""
-    out, i = bytearray(), 0
-    while i < len(raw):
-        control = raw[i]
-        i += 1
-        if control < 32:
-            out += raw[i : i + control + 1]
-            i += control + 1
-            continue
-        length = control >> 5
-        if length == 7:
-            length += raw[i]
-            i += 1
-        back = len(out) - ((control & 31) << 8 | raw[i]) - 1
-        i += 1
-        if back < 0:
-            raise ValueError("broken LZF block")
-        for k in range(length + 2):
-            out.append(out[back + k])
-    if len(out) != size:
-        raise ValueError("broken LZF block")
-    return bytes(out)
-
-
-def _record(header: dict) -> np.dtype:
-    return np.dtype([(f, TYPES[k][0], (c,) if c > 1 else ()) for f, k, c in zip(header["fields"], header["kinds"], header["counts"], strict=True)])
-
-
-WANTED = ("x", "y", "z", "rgb", "rgba", "r", "g", "b")
-
-
-def _columns(header: dict, ids: np.ndarray, column) -> pa.RecordBatch:
-    """point_id and the wanted fields; packed colours as the bits of their four bytes."""
-    arrays, names = [pa.array(ids, pa.int64())], ["point_id"]
-    for f in WANTED:
-        if f in header["fields"]:
-            v = np.ascontiguousarray(column(f))
-            arrays.append(pa.array(v.view("<i4") if f in ("rgb", "rgba") and v.dtype.itemsize == 4 else v.astype("<f4"), pa.int32() if f in ("rgb", "rgba") else pa.float32()))
-            names.append(f)
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def read_pcd(spark: SparkSession, path: str, rows: int = 1 << 20) -> DataFrame:
-    """The cloud in a PCD file: point_id (the ordinal in the file), x, y, z, r, g, b, a, alive, selected."""
-    header = parse_header(_head(spark, path))
-    fields = [f for f in WANTED if f in header["fields"]]
-    schema = "point_id long" + "".join(f", {f} {'int' if f in ('rgb', 'rgba') else 'float'}" for f in fields)
-    if header["data"] == "ascii":
-        raw = _ascii(spark, path, header, fields)
-    else:
-        dtype = _record(header)
-
-        def decode(batches):
-            for batch in batches:
-                for content in batch.column(0).to_pylist():
-                    body = content[header["start"] :]
-                    if header["data"] == "binary":
-                        for at in range(0, header["points"], rows):
-                            some = np.frombuffer(body, dtype, min(rows, header["points"] - at), at * dtype.itemsize)
-                            yield _columns(header, np.arange(at, at + len(some)), lambda f, s=some: s[f])
-                    else:
-                        packed, size = struct.unpack_from("<II", body)
-                        flat, at, found = lzf_decompress(body[8 : 8 + packed], size), 0, {}
-                        for f, k, c in zip(header["fields"], header["kinds"], header["counts"], strict=True):  # field after field
-                            kind = np.dtype(TYPES[k][0])
-                            found[f] = np.frombuffer(flat, kind, header["points"] * c, at)
-                            at += header["points"] * c * kind.itemsize
-                        yield _columns(header, np.arange(header["points"]), found.__getitem__)
 
-        raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema)
-    return _colored(raw.where(finite(*xyz())), fields)
+def _raw(spark: SparkSession, path: str, kind: str, rows: int) -> DataFrame:
+    try:
+        filesystem(path)
+    except ValueError:
+        return _through_spark(spark, path, kind)
+    spark.dataSource.register(records.PcdSource if kind == "pcd" else records.PlySource)
+    return spark.read.format(kind).option("rows", rows).load(path)
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).first()[0])
+def _through_spark(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    import pyarrow as pa
 
+    content = spark.read.format("binaryFile").load(path).select("content")
+    head = content.select(F.substring("content", 1, 1 << 16)).first()
+    if head is None:
+        raise FileNotFoundError(path)
+    header = formats.read_header(pa.BufferReader(bytes(head[0])), kind)
+    schema = formats.schema([header], kind)
+    fields = [c.split()[0] for c in schema.split(", ")][1:]
 
-def _ascii(spark: SparkSession, path: str, header: dict, fields: list[str]) -> DataFrame:
-    at = dict(zip(header["fields"], np.cumsum([0, *header["counts"][:-1]]).tolist(), strict=True))
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("no", "line"))
-    data = lines.where(F.upper(F.trim("line")).startswith("DATA")).agg(F.min("no").alias("first"))
-    body = lines.join(F.broadcast(data)).where((F.col("no") > F.col("first")) & (F.length(F.trim("line")) > 0) & (F.col("no") <= F.col("first") + header["points"]))
-    part = F.split(F.trim("line"), r"\s+")
+    def decode(batches):
+        for batch in batches:
+            for c in batch.column(0):
+                yield from records.from_bytes(c.as_py(), kind, fields)
 
-    def value(f: str):
-        text = part[int(at[f])]
-        if f in ("rgb", "rgba"):
-            return (_bits(text.try_cast("float")) if header["kinds"][header["fields"].index(f)][0] == "F" else text.try_cast("long").cast("int")).alias(f)
-        return text.try_cast("float").alias(f)
+    return content.mapInArrow(decode, schema)
 
-    return body.select((F.col("no") - F.col("first") - 1).cast("long").alias("point_id"), *[value(f) for f in fields])
 
+def read_pcd(spark: SparkSession, path: str, rows: int = records.ROWS) -> DataFrame:
+    """The cloud in a PCD file, folder or pattern: point_id (the ordinal), x, y, z, r, g, b, a, alive, selected.
 
-@F.pandas_udf(T.IntegerType())
-def _bits(numbers: pd.Series) -> pd.Series:
-    """The bits of numbers in single precision."""
-    return pd.Series(np.ascontiguousarray(numbers.astype("float32").to_numpy()).view("<i4"))
+    A task reads ``rows`` binary records. Points with a coordinate that is not finite go.
+    """
+    raw = _raw(spark, path, "pcd", rows)
+    return _colored(raw.where(finite(*xyz())), raw.columns)
 
 
 def _colored(raw: DataFrame, fields: list[str]) -> DataFrame:
@@ -174,66 +68,26 @@ def _colored(raw: DataFrame, fields: list[str]) -> DataFrame:
     return out.select("point_id", "x", "y", "z", *[F.col(c).cast("float").alias(c) for c in "rgba"], "alive", "selected")
 
 
-def _write(rows: DataFrame, path: str, dtype: np.dtype, head) -> str:
-    """Records of all rows behind a header, in the order of point_id; a local or mounted path."""
-    names = list(dtype.names)
-    folder = path + ".parts"
-    os.makedirs(folder, exist_ok=True)
-    ordered = rows.repartitionByRange("point_id").sortWithinPartitions("point_id").select(*names)
-
-    def encode(batches):
-        from pyspark import TaskContext
-
-        no, n = TaskContext.get().partitionId(), 0
-        name = f"{folder}/{no:08d}-{TaskContext.get().taskAttemptId()}"
-        with open(name, "wb") as f:
-            for batch in batches:
-                out = np.empty(batch.num_rows, dtype)
-                for c in names:
-                    out[c] = batch.column(c).to_numpy(zero_copy_only=False)
-                f.write(out.tobytes())
-                n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([name]), pa.array([n])], names=["no", "name", "n"])
-
-    parts = sorted((r.no, r.name, r.n) for r in ordered.mapInArrow(encode, "no long, name string, n long").collect())
-    with open(path, "wb") as f:
-        f.write(head(sum(n for *_, n in parts)))
-        for _, name, _ in parts:
-            with open(name, "rb") as g:
-                while block := g.read(1 << 24):
-                    f.write(block)
-    for name in os.listdir(folder):
-        os.unlink(f"{folder}/{name}")
-    os.rmdir(folder)
+def _save(rows: DataFrame, path: str, kind: str, single: bool) -> str:
+    rows.sparkSession.dataSource.register(records.PcdSource if kind == "pcd" else records.PlySource)
+    ordered = rows.repartitionByRange("point_id").sortWithinPartitions("point_id").drop("point_id")
+    ordered.write.format(kind).mode("overwrite").option("single", str(single).lower()).save(path)
     return path
 
 
-def write_pcd(points: DataFrame, path: str) -> str:
-    """Living points as x, y, z and packed rgb, truncated and not clipped; alpha is not kept."""
+def write_pcd(points: DataFrame, path: str, single: bool = True) -> str:
+    """Living points as x, y, z and packed rgb, truncated and not clipped; alpha is not kept. One file, or a folder of files."""
     rows = points.where("alive").select("point_id", "x", "y", "z", pack_rgb(F.col("r"), F.col("g"), F.col("b")).alias("rgb"))
-    head = lambda n: f"# .PCD v0.7\nVERSION 0.7\nFIELDS x y z rgb\nSIZE 4 4 4 4\nTYPE F F F F\nCOUNT 1 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n".encode()
-    return _write(rows, path, np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rgb", "<i4")]), head)
+    return _save(rows, path, "pcd", single)
 
 
-def write_ply(points: DataFrame, path: str) -> str:
-    """Living points as little-endian binary PLY, colours clipped to bytes."""
+def write_ply(points: DataFrame, path: str, single: bool = True) -> str:
+    """Living points as little-endian binary PLY, colours clipped to bytes. One file, or a folder of files."""
     channel = lambda c: (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c).cast("double"))) * 255).cast("int")
     rows = points.where("alive").select("point_id", "x", "y", "z", channel("r").alias("red"), channel("g").alias("green"), channel("b").alias("blue"))
-    lines = ["property float x", "property float y", "property float z", "property uchar red", "property uchar green", "property uchar blue"]
-    head = lambda n: ("\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {n}", *lines, "end_header"]) + "\n").encode()
-    return _write(rows, path, np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")]), head)
+    return _save(rows, path, "ply", single)
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """x, y, z, red, green, blue of a file as :func:`write_ply` makes it."""
-    dtype = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")])
-
-    def decode(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                start = content.index(b"end_header\n") + 11
-                n = int(next(x for x in content[:start].decode().split("\n") if x.startswith("element vertex")).split()[2])
-                got = np.frombuffer(content, dtype, n, start)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(got[c])).cast(pa.float32() if c in "xyz" else pa.int32()) for c in dtype.names)], names=["point_id", *dtype.names])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "point_id long, x float, y float, z float, red int, green int, blue int")
+def read_ply(spark: SparkSession, path: str, rows: int = records.ROWS) -> DataFrame:
+    """point_id, x, y, z, red, green, blue of files as :func:`write_ply` makes them."""
+    return _raw(spark, path, "ply", rows)
