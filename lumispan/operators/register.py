@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumispan.functions.lineage import cut
-from lumispan.functions.vectors import about, affine, dist2, rotation, xyz
+from lumispan.functions.vectors import about, affine, dist2, finite, rotation, xyz
 from lumispan.operators.features import farthest_points
 from lumispan.operators.spatial import extent, knn_join, nearest_join, voxel_downsample
 
+log = logging.getLogger(__name__)
+
 
 def centroid(points: DataFrame) -> np.ndarray:
     return np.array(points.agg(*[F.avg(F.col(c).cast("double")) for c in "xyz"]).first(), float)
@@ -121,61 +125,113 @@ def beta_schedule(schedule: Sequence[float], least: float) -> list[float]:
     return out or [least]
 
 
+def _kernel(x: np.ndarray, y: np.ndarray, beta: float) -> np.ndarray:
+    """exp(-|x_i - y_j|^2 / (2 beta^2)), without an array of differences."""
+    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
+    return np.exp(np.minimum(-d / (2 * beta * beta), 0.0))
+
+
 def kernel_warp(points: DataFrame, control: np.ndarray, weights: np.ndarray, beta: float) -> DataFrame:
     """x + sum_j exp(-|x - y_j|^2 / (2 beta^2)) w_j; ``control`` and ``weights`` are small arrays that the plan carries."""
+    middle = control.mean(axis=0) if len(control) else np.zeros(3)
 
     def move(parts):
         for part in parts:
             x = part[["x", "y", "z"]].to_numpy(float)
-            for lo in range(0, len(x), 2000):
-                block = x[lo : lo + 2000]
-                d = ((block[:, None, :] - control[None]) ** 2).sum(axis=2)
-                x[lo : lo + 2000] = block + np.exp(-d / (2 * beta * beta)) @ weights
+            step = max(1, (1 << 21) // max(1, len(control)))
+            for lo in range(0, len(x), step):
+                block = x[lo : lo + step]
+                x[lo : lo + step] = block + _kernel(block - middle, control - middle, beta) @ weights
             yield part.assign(x=x[:, 0], y=x[:, 1], z=x[:, 2])
 
     typed = points.withColumns({c: F.col(c).cast("double") for c in "xyz"})
     return typed.mapInPandas(move, typed.schema)
 
 
-def coherent_drift(source: DataFrame, target: DataFrame, schedule: Sequence[float] = (60, 15, 5, 2), alpha: float = 1e-6, sample: int = 15_000, steps: int = 150) -> tuple[list, DataFrame]:
+def kernel_factor(y: np.ndarray, beta: float, rank: int, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float]:
+    """Pivots and factor (n, m) of the Gaussian kernel of ``y`` by pivoted incomplete Cholesky steps, and the largest residual.
+
+    The factor times its transpose is the Nystroem kernel on the pivots, so a field of it extends to all of space by its values there.
+    """
+    factor, left, pivots = np.zeros((len(y), min(rank, len(y)))), np.ones(len(y)), []
+    for j in range(factor.shape[1]):
+        p = int(left.argmax())
+        if left[p] <= tolerance:
+            break
+        column = (_kernel(y, y[p : p + 1], beta)[:, 0] - factor[:, :j] @ factor[p, :j]) / np.sqrt(left[p])
+        factor[:, j] = column
+        left = np.maximum(left - column * column, 0.0)
+        left[p] = 0.0
+        pivots.append(p)
+    return np.array(pivots, int), np.ascontiguousarray(factor[:, : len(pivots)]), float(left.max(initial=0.0))
+
+
+def matching_odds(target: DataFrame, moved: np.ndarray, var: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums over all target points of the odds that each of ``moved`` made them, of odds times points, and of squared points.
+
+    The odds of a target point add up to one. Tasks hold blocks of their points against all of ``moved``; Spark adds up.
+    """
+
+    def run(batches):
+        total = np.zeros((len(moved) + 1, 4))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "z")], axis=1)
+            step = max(1, (1 << 21) // len(moved))
+            for lo in range(0, len(x), step):
+                block = x[lo : lo + step]
+                d = (moved * moved).sum(axis=1) - 2 * (block @ moved.T)  # but for a part that is the same for all
+                p = np.exp((d.min(axis=1, keepdims=True) - d) / (2 * max(var, 1e-12)))
+                p /= p.sum(axis=1, keepdims=True)
+                total[:-1, 0] += p.sum(axis=0)
+                total[:-1, 1:] += p.T @ block
+                total[-1, 0] += (block * block).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), *(pa.array(np.ascontiguousarray(c)) for c in total.T)], names=["i", "p", "px", "py", "pz"])
+
+    sums = target.select("x", "y", "z").mapInArrow(run, "i long, p double, px double, py double, pz double").groupBy("i").agg(*[F.sum(c).alias(c) for c in ("p", "px", "py", "pz")]).toArrow()  # a row for each of ``moved``
+    out = np.zeros((len(moved) + 1, 4))
+    out[sums.column("i").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in ("p", "px", "py", "pz")], axis=1)
+    return out[:-1, 0], out[:-1, 1:], float(out[-1, 0])
+
+
+def coherent_drift(source: DataFrame, target: DataFrame, schedule: Sequence[float] = (60, 15, 5, 2), alpha: float = 1e-6, sample: int = 15_000, steps: int = 150, rank: int = 500) -> tuple[list, DataFrame]:
     """Non-rigid registration by expectation maximisation (Myronenko and Song, 2010) on bounded samples, applied to all points.
 
-    Returns the stages (control points, weights, beta) and the warped source.
+    The kernel of the source sample is a factor of at most ``rank`` columns, with which the weights are solved in that many
+    unknowns; a residual over a hundredth, where narrow kernels on wide clouds have a higher rank, is logged. The expectation
+    runs on Spark, over blocks of the target sample. Samples are by a hash of the ids. Points that are not finite are left out
+    of the fit. Returns the stages (control points, weights, beta) and the warped source; beta is held above twice the spacing
+    of at most 2000 of the sampled points.
     """
-    take = lambda d: d.orderBy(F.xxhash64("point_id"), "point_id").limit(sample).select("x", "y", "z").toPandas().to_numpy(float)
-    y, x = take(source), take(target)
-    if len(y) < 2 or len(x) < 2:
+    some = lambda d, n: d.where(finite(*xyz())).orderBy(F.xxhash64("point_id"), "point_id").limit(n).select("point_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    y = some(source, sample).select("x", "y", "z").toPandas().to_numpy(float)
+    goal = cut(some(target, sample))
+    count = goal.count()
+    if len(y) < 2 or count < 2:
         raise ValueError("a drift needs two points on both sides")
-    least, stages, warped = safe_beta(source), [], source
-
-    def expected(t: np.ndarray, var: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Sums of the matching odds of each control point, of the odds times the points, and of the squared points, by blocks."""
-        p1, px, sq = np.zeros(len(t)), np.zeros_like(t), 0.0
-        for lo in range(0, len(x), 1000):
-            block = x[lo : lo + 1000]
-            d = ((block[:, None] - t[None]) ** 2).sum(2)
-            p = np.exp(-(d - d.min(axis=1, keepdims=True)) / (2 * max(var, 1e-12)))
-            p /= p.sum(axis=1, keepdims=True)
-            p1 += p.sum(axis=0)
-            px += p.T @ block
-            sq += float((p.sum(axis=1) * (block * block).sum(axis=1)).sum())
-        return p1, px, sq
-
-    for beta in beta_schedule(schedule, least):
-        g = np.exp(-((y[:, None] - y[None]) ** 2).sum(2) / (2 * beta * beta))
-        w, t = np.zeros_like(y), y.copy()
-        spread = lambda z: float((z * z).sum() / len(z))
-        var = max((spread(x) + spread(t) - 2 * float(x.mean(axis=0) @ t.mean(axis=0))) / 3, 1e-12)
+    middle = y.mean(axis=0)  # near which squares lose little
+    y = y - middle
+    goal = cut(goal.select(*[(F.col(c) - float(m)).alias(c) for c, m in zip("xyz", middle, strict=True)]))
+    stages, warped = [], source
+    means = np.array(goal.agg(*[F.avg(c) for c in "xyz"], F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).first(), float)
+    for beta in beta_schedule(schedule, safe_beta(some(source, min(sample, 2000)))):
+        pivots, factor, residual = kernel_factor(y, beta, rank)
+        if residual > 0.01:
+            log.warning("beta %g: %d columns leave %.3f of the kernel", beta, rank, residual)
+        move, t = np.zeros((factor.shape[1], 3)), y.copy()
+        var = max((means[3] + float((t * t).sum() / len(t)) - 2 * float(means[:3] @ t.mean(axis=0))) / 3, 1e-12)
         for _ in range(steps):
-            p1, px, sq = expected(t, var)
-            w = np.linalg.solve(p1[:, None] * g + (alpha * var + 1e-9) * np.eye(len(y)), px - p1[:, None] * y)
-            t = y + g @ w
-            new = (sq - 2 * float((px * t).sum()) + float((p1 * (t * t).sum(axis=1)).sum())) / (3 * p1.sum())
+            p1, px, squares = matching_odds(goal, t, var)
+            # Woodbury: the weights of all points are only wanted as the factor's transpose times them
+            system = factor.T @ (p1[:, None] * factor) + (alpha * var + 1e-9) * np.eye(factor.shape[1])
+            move = np.linalg.solve(system, factor.T @ (px - p1[:, None] * y))
+            t = y + factor @ move
+            new = (squares - 2 * float((px * t).sum()) + float((p1 * (t * t).sum(axis=1)).sum())) / (3 * p1.sum())
             if abs(new - var) < 1e-9 * max(var, 1e-12):
                 break
             var = max(new, 1e-12)
-        stages.append((y.copy(), w, beta))
-        warped = kernel_warp(warped, y.copy(), w, beta)
+        control, weights = y[pivots] + middle, np.linalg.solve(factor[pivots].T, move)
+        stages.append((control, weights, beta))
+        warped = kernel_warp(warped, control, weights, beta)
         y = t
     return stages, warped
 
