@@ -43,6 +43,24 @@ def invert_selection(points: DataFrame) -> DataFrame:
     return points.withColumn("selected", F.when(F.col("alive"), ~F.col("selected")).otherwise(F.col("selected")))
 
 
+def select_all(points: DataFrame, chosen: bool = True) -> DataFrame:
+    """All points, or none, selected; for graphs too."""
+    return points.withColumn("selected", F.lit(chosen))
+
+
+def click_select(points: DataFrame, hit: DataFrame, add: bool = False, key: str = "point_id") -> DataFrame:
+    """The selection after a click on ``hit`` (``key``; no row, or a point that is not alive, is a miss).
+
+    A hit alone is selected, or toggled with ``add``; a miss clears the selection, or leaves it with ``add``. Works for nodes as
+    well, which have no ``alive``.
+    """
+    living = points.where("alive") if "alive" in points.columns else points
+    found = hit.select(F.col(key).alias("__hit")).join(living.select(F.col(key).alias("__hit")), "__hit", "left_semi").limit(1)
+    joined = points.join(F.broadcast(found), points[key] == F.col("__hit"), "left")  # one row at most
+    on = F.col("__hit").isNotNull()
+    return joined.withColumn("selected", F.when(on, ~F.col("selected")).otherwise(F.col("selected")) if add else on).drop("__hit")
+
+
 def delete_ids(points: DataFrame, ids: DataFrame) -> DataFrame:
     hit = ids.select(F.col("point_id").alias("__hit")).distinct()
     found, gone = points.join(hit, points.point_id == F.col("__hit"), "left"), F.col("__hit").isNotNull()
@@ -126,6 +144,13 @@ def pick_near(projected: DataFrame, x: float, y: float, radius: float = 15.0) ->
     return projected.withColumn("d2", d).orderBy("d2", "point_id").limit(1).where(F.col("d2") <= radius * radius)
 
 
+def hit_anchor(primary: DataFrame, secondary: DataFrame, x: float, y: float, radius: float = 15.0) -> DataFrame:
+    """(kind, point_id): the projected anchor nearest to a place, if nearer than ``radius``; the primary one of equal ones."""
+    d = dist2([F.col("sx"), F.col("sy")], [F.lit(x), F.lit(y)])
+    both = primary.select(F.lit("primary").alias("kind"), "point_id", d.alias("d2")).unionByName(secondary.select(F.lit("secondary").alias("kind"), "point_id", d.alias("d2")))
+    return both.where(F.col("d2") < radius * radius).orderBy("d2", "kind", "point_id").limit(1).select("kind", "point_id")
+
+
 def pick_code(point_id: Column) -> list[Column]:
     """id + 1 as three bytes; 0, 0, 0 is the background."""
     n = point_id.cast("long") + 1

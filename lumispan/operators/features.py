@@ -123,7 +123,7 @@ def grow_skeleton(points: DataFrame, radius: float = 20.0, steps: int = 5, size:
         new = vote(both, radius, steps, size)
         if new.isEmpty():
             break
-        grown = cut(voxel_downsample(new if grown is None else new.unionByName(grown), 1.1, colors=False).select("x", "y", "z"))
+        grown = cut(voxel_downsample(new if grown is None else new.unionByName(grown), 1.1, colors=False, shift=0.5).select("x", "y", "z"))
     return now if grown is None else now.unionByName(grown)
 
 

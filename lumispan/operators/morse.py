@@ -280,7 +280,7 @@ def reconstruct_skeleton(points: DataFrame, threshold: float, tau: float = 3.0,
     are tied, and edges longer than the percentile of all lengths go.
     """
     good = points.where(finite(*xyz())).select(*[F.col(c).cast("double").alias(c) for c in "xyz"])
-    thin = voxel_downsample(good, voxel, colors=False).select(*xyz()) if voxel else good
+    thin = voxel_downsample(good, voxel, colors=False, shift=0.5).select(*xyz()) if voxel else good
     places = cut(thin.distinct().select(F.struct("x", "y", "z").alias("node_id")))
     nodes = cut(compact_ids(places).select(F.col("new_id").alias("node_id"), *[F.col(f"node_id.{c}").alias(c) for c in "xyz"]))
     vertices, edges, triangles = weighted_rips(nodes, k)

@@ -227,43 +227,59 @@ def none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "q long, p long, d2 double, rank int")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+class Tree:
+    """Points (p, x, y, z) made ready for many searches: held whole if they are few, else as leaves."""
+
+    def __init__(self, points: DataFrame):
+        self.few, self._leaves = _few(points, "p"), {}
+        if self.few is None:
+            self.cube = Cube.around(points.where(finite(*xyz())))
+            self.places = cut(positions(points, "p", self.cube))
+            self.total = self.places.count()
+            self.leafed = cut(with_leaf(self.places, self.total))
+            self.ids = cut(_typed(points, "p"))
+
+    def leaves(self, k: int) -> DataFrame:
+        """Leaves whose positions have the ids of at most ``k`` points each, the smallest."""
+        if k not in self._leaves:
+            many = self.places.where("weight > 1").select("x", "y", "z")
+            leafed = self.leafed.withColumn("ids", F.array("pos"))
+            if not many.isEmpty():
+                ranked = self.ids.join(many, ["x", "y", "z"], "left_semi").withColumn("copy", F.row_number().over(W.partitionBy("x", "y", "z").orderBy("p"))).where(F.col("copy") <= k)
+                few = ranked.groupBy("x", "y", "z").agg(F.sort_array(F.collect_list("p")).alias("ids"))  # at most k
+                leafed = self.leafed.join(few, ["x", "y", "z"], "left").withColumn("ids", F.coalesce("ids", F.array("pos")))
+            self._leaves[k] = cut(packed(leafed, ["ids"]))
+        return self._leaves[k]
+
+
+def nearest(queries: DataFrame, points: DataFrame | Tree, k: int, radius: float | None = None) -> DataFrame:
     """(q, p, d2, rank): the k nearest points (p, x, y, z) of each query (q, x, y, z), a point at its place included.
 
     Ties go to the smaller p. With ``radius`` only points at most that far count.
     """
     same = queries is points
-    if same:
-        queries = points = points.withColumn("p", F.col("q"))
     if k < 1:
         return none(queries.sparkSession)
     most = math.inf if radius is None else radius * radius
-    few = _few(points, "p")
-    if few is not None:
-        held, place = few
+    tree = points if isinstance(points, Tree) else Tree(points.withColumn("p", F.col("q")) if same else points)
+    if tree.few is not None:
+        held, place = tree.few
 
         def of(ids, at, d):
             i, p, d2, rank = _best(d, held, k, most)
             return ids[at + i], p, d2, rank
 
         return _over_batches(queries, place, of, "q long, p long, d2 double, rank int") if len(place) else none(queries.sparkSession)
-    cube, places, mine, leafed, asking = _sides(queries, points, "q", "p")
-    total = places.count()
-    if not total or mine.isEmpty():
-        return none(queries.sparkSession)
-    many = places.where("weight > 1").select("x", "y", "z")
-    ids = points.where(finite(*xyz())).select(F.col("p").cast("long").alias("p"), *[(F.col(c).cast("double") + 0.0).alias(c) for c in "xyz"])
-    copies = not many.isEmpty()
-    if copies:  # of a place, only the k smallest ids can count
-        ranked = ids.join(many, ["x", "y", "z"], "left_semi").withColumn("copy", F.row_number().over(W.partitionBy("x", "y", "z").orderBy("p"))).where(F.col("copy") <= k)
-        few = ranked.groupBy("x", "y", "z").agg(F.sort_array(F.collect_list("p")).alias("ids"))  # at most k
-        leafed = leafed.join(few, ["x", "y", "z"], "left").withColumn("ids", F.coalesce("ids", F.array("pos")))
+    leaves, mine = tree.leaves(k), tree.places
+    if same:
+        askers = leaves.drop("ids")
     else:
-        leafed = leafed.withColumn("ids", F.array("pos"))
-    leaves = cut(packed(leafed, ["ids"]))
-    askers = leaves.drop("ids") if same else cut(packed(asking))
-    need = min(k, total)
-    pairs = cut(_bounded(askers, leaves, cube, need, radius).withColumn("n", F.count("*").over(W.partitionBy("qleaf"))).select("qleaf", "pleaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("pleaf"), F.col("chunks")).cast("int")))
+        mine = cut(positions(queries, "q", tree.cube))
+        n = mine.count()
+        if not n:
+            return none(queries.sparkSession)
+        askers = cut(packed(with_leaf(mine, n)))
+    pairs = cut(_bounded(askers, leaves, tree.cube, min(k, tree.total), radius).withColumn("n", F.count("*").over(W.partitionBy("qleaf"))).select("qleaf", "pleaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("pleaf"), F.col("chunks")).cast("int")))
 
     def meet(q: pa.Table, p: pa.Table) -> pa.Table:
         names, rows, got = [], [], []

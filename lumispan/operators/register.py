@@ -8,11 +8,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumispan.functions.lineage import cut
 from lumispan.functions.vectors import about, affine, dist2, finite, rotation, xyz
+from lumispan.operators import octree
+from lumispan.operators.clouds import transform
 from lumispan.operators.features import farthest_points
 from lumispan.operators.spatial import extent, knn_join, nearest_join, voxel_downsample
 
@@ -25,9 +27,13 @@ def centroid(points: DataFrame) -> np.ndarray:
 
 def cross_covariance(pairs: DataFrame) -> DataFrame:
     """One row: n, the means of (sx, sy, sz) and (tx, ty, tz) and the nine sums of products about them."""
+    return pairs.select(*[F.col(p + c).cast("double").alias(p + c) for p in "st" for c in "xyz"]).agg(*_cross_sums())
+
+
+def _cross_sums() -> list[Column]:
     sums = [F.avg(p + c).alias(f"m{p}{c}") for p in "st" for c in "xyz"]
     products = [(F.covar_pop(f"s{i}", f"t{j}") * F.count("*")).alias(f"h{i}{j}") for i in "xyz" for j in "xyz"]
-    return pairs.select(*[F.col(p + c).cast("double").alias(p + c) for p in "st" for c in "xyz"]).agg(F.count("*").alias("n"), *sums, *products)
+    return [F.count("*").alias("n"), *sums, *products]
 
 
 def rigid(row) -> np.ndarray:
@@ -53,61 +59,129 @@ def matched(source: DataFrame, target: DataFrame, matrix: np.ndarray) -> DataFra
     return near.join(s, "q").join(t, "p").select("q", "p", "sx", "sy", "sz", "tx", "ty", "tz", F.sqrt("d2").alias("d"))
 
 
-def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, steps: int = 50, tolerance: float = 1e-6, reach: float | None = None, sample: int | None = None) -> dict:
-    """Iterated closest points: ``matrix``, ``mean_distance`` and ``rmse`` of the inliers, their number ``n`` and ``fitness``.
+def icp_starts(source: DataFrame, target: DataFrame, first: Sequence[np.ndarray], steps: int = 50, tolerance: float = 1e-6, reach: float | None = None, sample: int | None = None) -> list[dict]:
+    """Iterated closest points from several first matrices (4 x 4) at once: a result as that of :func:`icp` for each.
 
-    Inliers are nearer than ``reach``, or than mean plus deviation of all distances. ``sample`` bounds the source points of a step,
-    by a hash of their ids.
+    The number of the start is a key: a step is one search and two sums for all starts that have not settled, so its jobs don't
+    grow with them. At most 64 starts. The target is made ready once.
     """
-    matrix, last = np.eye(4) if start is None else np.asarray(start, float), None
-    out = {"matrix": matrix, "mean_distance": None, "rmse": None, "n": 0, "fitness": 0.0}
-    some = source if sample is None else source.orderBy(F.xxhash64("point_id"), "point_id").limit(sample)
-    some, total = cut(some), some.count()
+    if len(first) > 64:
+        raise ValueError("at most 64 starts")
+    some = source.where(finite(*xyz())).select("point_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    some = cut((some if sample is None else some.orderBy(F.xxhash64("point_id"), "point_id").limit(sample)).withColumn("at", F.monotonically_increasing_id()))
+    total = some.count()
+    goal = cut(target.where(finite(*xyz())).select(F.col("point_id").cast("long").alias("p"), *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    tree = octree.Tree(goal)
+    at_goal = goal.select("p", *[F.col(c).alias("t" + c) for c in "xyz"])
+    out = [{"matrix": np.asarray(m, float), "mean_distance": None, "rmse": None, "n": 0, "fitness": 0.0} for m in first]
+    active, last = list(range(len(out))), {}
     for _ in range(steps):
-        pairs = cut(matched(some, target, matrix))
-        bound = reach
-        if bound is None:
-            m, s = pairs.agg(F.avg("d"), F.stddev_pop("d")).first()
-            bound = (m or 0.0) + (s or 0.0)
-        inliers = pairs.where(F.col("d") < bound)
-        row = cross_covariance(inliers).join(inliers.agg(F.avg("d").alias("mean_d"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"))).first()
-        if row is None or row.n < 4:
-            break
-        matrix = rigid(row) @ matrix
-        out = {"matrix": matrix, "mean_distance": row.mean_d, "rmse": row.rmse, "n": row.n, "fitness": row.n / max(total, 1)}
-        if last is not None and abs(last - row.mean_d) < tolerance:
+        if not active or not total:
             break
-        last = row.mean_d
+        moved = _moved(some, {k: out[k]["matrix"] for k in active})
+        near = octree.nearest(moved, tree, 1)
+        own = moved.select("q", "start", *[F.col(c).alias("s" + c) for c in "xyz"])
+        pairs = cut(near.select("q", "p", F.sqrt("d2").alias("d")).join(own, "q").join(at_goal, "p"))
+        if reach is None:
+            bounds = {r.start: (r.m or 0.0) + (r.s or 0.0) for r in pairs.groupBy("start").agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s")).collect()}  # a row for each start
+            limit = F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(bounds.items()) for x in (k, float(v))]), F.col("start")) if bounds else F.lit(0.0)
+        else:
+            limit = F.lit(float(reach))
+        sums = pairs.where(F.col("d") < limit).groupBy("start").agg(*_cross_sums(), F.avg("d").alias("mean_d"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"))
+        rows, going = {r.start: r for r in sums.collect()}, []
+        for k in active:
+            row = rows.get(k)
+            if row is None or row.n < 4:
+                continue
+            out[k] = {"matrix": rigid(row) @ out[k]["matrix"], "mean_distance": row.mean_d, "rmse": row.rmse, "n": row.n, "fitness": row.n / total}
+            if k not in last or abs(last[k] - row.mean_d) >= tolerance:
+                going.append(k)
+            last[k] = row.mean_d
+        active = going
     return out
 
 
-def starts() -> list[np.ndarray]:
+def _moved(points: DataFrame, matrices: dict[int, np.ndarray]) -> DataFrame:
+    """(start, q, x, y, z): all points under each matrix; q tells them apart."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "z")], axis=1)
+            ids = batch.column("at").to_numpy()
+            for k, m in matrices.items():
+                y = x @ m[:3, :3].T + m[:3, 3]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k, np.int32)), pa.array(ids | k << 57), *(pa.array(np.ascontiguousarray(c)) for c in y.T)], names=["start", "q", "x", "y", "z"])
+
+    return points.mapInArrow(run, "start int, q long, x double, y double, z double")
+
+
+def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, steps: int = 50, tolerance: float = 1e-6, reach: float | None = None, sample: int | None = None) -> dict:
+    """Iterated closest points: ``matrix``, ``mean_distance`` and ``rmse`` of the inliers, their number ``n`` and ``fitness``.
+
+    Inliers are nearer than ``reach``, or than mean plus deviation of all distances. ``sample`` bounds the source points of a step,
+    by a hash of their ids. Points that are not finite are left out; fewer than four inliers end the run as it stands.
+    """
+    return icp_starts(source, target, [np.eye(4) if start is None else start], steps, tolerance, reach, sample)[0]
+
+
+def turns() -> list[np.ndarray]:
     """Identity and quarter turns about each axis."""
     return [np.eye(3), *(rotation(a, d) for a in "xyz" for d in (90, 180, 270))]
 
 
-def align(source: DataFrame, target: DataFrame, voxel: float | None = None, probe: int = 10, steps: int = 50, candidates: Sequence[np.ndarray] | None = None) -> dict:
-    """The best of several first rotations by short runs on voxels, then a full run from it."""
+def _voxels(points: DataFrame, size: float, shift: float = 0.0) -> DataFrame:
+    return cut(voxel_downsample(points, size, colors=False, shift=shift).select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z"))
+
+
+def align(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, voxel: float | None = None, probe: int = 10, steps: int = 50, sample: int = 3000) -> dict:
+    """The best of ten first turns about the middle of the source, by short runs on voxels, then a full run from it.
+
+    All short runs are one iteration (:func:`icp_starts`). Without four inliers in any the start stays.
+    """
+    source, target = (d.where(finite(*xyz())) for d in (source, target))
     size = voxel or max(extent(source), extent(target)) / 50
-    small = [cut(voxel_downsample(d, size, colors=False).select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z")) for d in (source, target)]
-    c, t = centroid(small[0]), centroid(small[1])
-    tried = [icp(*small, start=about(r, c, t - c), steps=probe) for r in (candidates or starts())]
+    small = [_voxels(d, size) for d in (source, target)]
+    first = np.eye(4) if start is None else np.asarray(start, float)
+    c = centroid(source)
+    tried = icp_starts(*small, [first @ about(r, c) for r in turns()], steps=probe, sample=sample)
     good = [x for x in tried if x["n"] >= 4]
-    best = min(good, key=lambda x: x["mean_distance"]) if good else {"matrix": np.eye(4)}
-    return icp(*small, start=best["matrix"], steps=steps)
+    best = min(good, key=lambda x: x["mean_distance"])["matrix"] if good else first
+    return icp(*small, start=best, steps=steps, sample=sample)
 
 
-def sweep_align(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, voxel: float = 5.0, turns: int = 36, probe: int = 30, steps: int = 5000, wide: float = 30.0, narrow: float = 25.0) -> dict:
-    """Turns about z between centred clouds, the best by fitness, refined."""
-    small = [cut((voxel_downsample(d, voxel, colors=False) if voxel > 0 else d).select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z")) for d in (source, target)]
+def sweep_align(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, voxel: float = 5.0, sweep: int = 36, probe: int = 30, steps: int = 5000, wide: float = 30.0, narrow: float = 25.0) -> dict:
+    """Turns about z between centred clouds, all in one iteration; the best by fitness, the first of equal ones, is refined."""
+    source, target = (d.where(finite(*xyz())) for d in (source, target))
+    whole = lambda d: cut(d.select(F.monotonically_increasing_id().alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    small = [_voxels(d, voxel, 0.5) if voxel > 0 else whole(d) for d in (source, target)]
     first = np.eye(4) if start is None else np.asarray(start, float)
     c = (first @ np.append(centroid(small[0]), 1))[:3]
     t = centroid(small[1])
-    tried = [icp(*small, start=about(rotation("z", 360.0 * i / turns), c, t - c) @ first, steps=probe, reach=wide) for i in range(turns)]
-    best = max(tried, key=lambda x: (x["fitness"], -(x["rmse"] or 0.0)))
+    tried = icp_starts(*small, [about(rotation("z", 360.0 * i / sweep), c, t - c) @ first for i in range(sweep)], steps=probe, reach=wide)
+    best = max(tried, key=lambda x: x["fitness"])
     return icp(*small, start=best["matrix"], steps=steps, reach=narrow)
 
 
+def drift_aligned(secondary: DataFrame, primary: DataFrame, matrix: np.ndarray, **more) -> DataFrame:
+    """The living points of a secondary cloud, first moved by its alignment, then warped to the living primary ones."""
+    moved = transform(secondary.where("alive"), matrix)
+    return coherent_drift(moved, primary.where("alive"), **more)[1]
+
+
+def anchor_warp(secondary: DataFrame, matrix: np.ndarray, pairs: DataFrame, primary_anchors: DataFrame, secondary_anchors: DataFrame) -> DataFrame:
+    """The living points of a secondary cloud moved by its alignment and warped so that paired anchors meet; as it was without pairs.
+
+    ``pairs`` (p_idx, s_idx) names rows of both anchor tables (idx, x, y, z), which are small.
+    """
+    side = lambda d, p: d.select(F.col("idx").alias(f"{p}_idx"), *[F.col(c).cast("double").alias(p + c) for c in "xyz"])
+    rows = pairs.join(side(primary_anchors, "p"), "p_idx").join(side(secondary_anchors, "s"), "s_idx").orderBy("p_idx", "s_idx").toPandas()
+    moved = transform(secondary.where("alive"), matrix)
+    if rows.empty:
+        return moved
+    s = rows[["sx", "sy", "sz"]].to_numpy(float) @ np.asarray(matrix)[:3, :3].T + np.asarray(matrix)[:3, 3]
+    return plate_warp(moved, s, rows[["px", "py", "pz"]].to_numpy(float))
+
+
 def safe_beta(points: DataFrame) -> float:
     """Twice the mean distance of a point to its nearest other one."""
     q, p = points.withColumnRenamed("point_id", "q"), points.withColumnRenamed("point_id", "p")

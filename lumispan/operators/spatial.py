@@ -18,23 +18,30 @@ def extent(points: DataFrame) -> float:
     return max([1e-9, *(r[f"max_{c}"] - r[f"min_{c}"] for c in "xyz" if r[f"min_{c}"] is not None)])
 
 
-def voxel_keys(points: DataFrame, size: float) -> DataFrame:
-    """kx, ky, kz counted from the smallest coordinates, with single precision as the coordinates have."""
+def voxel_keys(points: DataFrame, size: float, shift: float = 0.0) -> DataFrame:
+    """kx, ky, kz counted from the smallest coordinates less ``shift`` sizes, with single precision as the coordinates have."""
     if size <= 0:
         raise ValueError("voxel size must be positive")
-    low = points.agg(*[F.min(c).cast("float").alias(f"__{c}") for c in "xyz"])
+    low = points.agg(*[(F.min(c).cast("float") - F.lit(float(size * shift)).cast("float")).alias(f"__{c}") for c in "xyz"])
     key = lambda c: F.floor(((F.col(c).cast("float") - F.col(f"__{c}")).cast("double") / F.lit(float(size)).cast("double")).cast("float")).cast("long")
     return points.join(F.broadcast(low)).withColumns({f"k{c}": key(c) for c in "xyz"}).drop("__x", "__y", "__z")  # one row
 
 
-def voxel_downsample(points: DataFrame, size: float, colors: bool = True) -> DataFrame:
-    """Mean place and colour of the points in each voxel, and their number."""
+def voxel_downsample(points: DataFrame, size: float, colors: bool = True, shift: float = 0.0) -> DataFrame:
+    """Mean place and colour of the points in each voxel, and their number; a ``shift`` of 0.5 centres the first voxel."""
     names = [*"xyz", *("rgba" if colors else "")]
     mean = [F.avg(F.col(c).cast("double")).alias(c) for c in names]
-    made = voxel_keys(points, size).groupBy("kx", "ky", "kz").agg(F.count("*").alias("n"), *mean)
+    made = voxel_keys(points, size, shift).groupBy("kx", "ky", "kz").agg(F.count("*").alias("n"), *mean)
     return made.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in "rgba"}) if colors else made
 
 
+def thinned(points: DataFrame, size: float | None = None) -> DataFrame:
+    """The living points by voxels, with ids of their own, alive and not selected; a hundredth of their extent where no size is given."""
+    living = points.where("alive")
+    made = voxel_downsample(living, size or max(extent(living) / 100, 1e-9))
+    return made.select(F.monotonically_increasing_id().alias("point_id"), *[F.col(c).cast("float").alias(c) for c in "xyzrgba"], F.lit(True).alias("alive"), F.lit(False).alias("selected"))
+
+
 def range_join(queries: DataFrame, points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
     """(q, p, d2) for queries (q, x, y, z) and points (p, x, y, z) at most ``radius`` apart; the ``most`` nearest of each if given."""
     if radius < 0:

@@ -79,8 +79,9 @@ def centroid(s, d):
     return rounded(D.cloud_ord(s, d).where("alive").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"]))
 
 
-def _voxel_sql(source: str, size: float, colors: bool) -> str:
-    key = ", ".join(f"CAST(floor(CAST(CAST(x.{c} - m.{c} AS DOUBLE) / {size}::DOUBLE AS FLOAT)) AS BIGINT) AS k{c}" for c in "xyz")
+def _voxel_sql(source: str, size: float, colors: bool, shift: float = 0.0) -> str:
+    low = f" - CAST({size * shift} AS FLOAT)" if shift else ""
+    key = ", ".join(f"CAST(floor(CAST(CAST(x.{c} - (m.{c}{low}) AS DOUBLE) / {size}::DOUBLE AS FLOAT)) AS BIGINT) AS k{c}" for c in "xyz")
     tail = ", ".join(f"round(least(1.0, greatest(0.0, avg(CAST({c} AS DOUBLE)))), 4) AS {c}" for c in "rgba") if colors else ""
     return f"WITH c AS {source}, m AS (SELECT min(x) AS x, min(y) AS y, min(z) AS z FROM c), v AS (SELECT x.*, {key} FROM c x, m) SELECT kx, ky, kz, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 4) AS x, round(avg(CAST(y AS DOUBLE)), 4) AS y, round(avg(CAST(z AS DOUBLE)), 4) AS z{', ' + tail if tail else ''} FROM v GROUP BY kx, ky, kz"
 
@@ -117,6 +118,34 @@ def invert_selection(s, d):
     return C.invert_selection(D.cloud_ord(s, d)).select("point_id", "selected")
 
 
+@query("voxel_half_origin", _voxel_sql(D.CLOUD_LI, 4.0, True, 0.5))
+def voxel_half_origin(s, d):
+    return rounded(S.voxel_downsample(D.cloud_li(s, d), 4.0, shift=0.5))
+
+
+_LIVING = f"(SELECT * FROM {D.CLOUD_ORD} WHERE alive)"
+
+
+@query("thinned_cloud", f"WITH c AS {_LIVING}, m AS (SELECT min(x) AS x, min(y) AS y, min(z) AS z, greatest(CAST(max(x) AS DOUBLE) - min(x), CAST(max(y) AS DOUBLE) - min(y), CAST(max(z) AS DOUBLE) - min(z), 1e-9) / 100 AS v FROM c), k AS (SELECT c.*, {', '.join(f'floor(CAST(CAST(c.{a} - m.{a} AS DOUBLE) / m.v AS FLOAT)) AS k{a}' for a in 'xyz')} FROM c, m) SELECT {', '.join(f'round(CAST(CAST(avg(CAST({a} AS DOUBLE)) AS FLOAT) AS DOUBLE), 2) AS {a}' for a in 'xyz')}, true AS alive, false AS selected FROM k GROUP BY kx, ky, kz")
+def thinned_cloud(s, d):
+    return rounded(S.thinned(D.cloud_ord(s, d)).select("x", "y", "z", "alive", "selected"), 2)
+
+
+@query("deselect_all", f"SELECT point_id, false AS selected FROM {D.CLOUD_ORD}")
+def deselect_all(s, d):
+    return C.select_all(D.cloud_ord(s, d), False).select("point_id", "selected")
+
+
+@query("select_all", f"SELECT point_id, true AS selected FROM {D.CLOUD_PART}")
+def select_all(s, d):
+    return C.select_all(D.cloud_part(s, d)).select("point_id", "selected")
+
+
+@query("region_add", f"SELECT point_id, (alive AND x > 150) OR selected AS selected FROM {D.CLOUD_ORD}")
+def region_add(s, d):
+    return C.select_where(D.cloud_ord(s, d), F.col("x") > 150, add=True).select("point_id", "selected")
+
+
 @query("selected_alive", f"SELECT point_id FROM {D.CLOUD_ORD} WHERE alive AND selected")
 def selected_alive(s, d):
     return D.cloud_ord(s, d).where("alive AND selected").select("point_id")
@@ -160,6 +189,36 @@ def region_pick(s, d):
     return C.id_buffer(_screen(s, d), 800, 600).where("px BETWEEN 300 AND 450 AND py BETWEEN 200 AND 380").select("point_id").distinct()
 
 
+_HIT = f"(SELECT point_id FROM {_COVER} WHERE px = 400 AND py = 300 ORDER BY depth, point_id LIMIT 1)"
+_CLICKED = f"(SELECT c.point_id, c.selected, c.alive AND c.point_id IS NOT DISTINCT FROM (SELECT point_id FROM {_HIT}) AS hit FROM {D.CLOUD_ORD} c)"
+
+
+@query("click_select", f"SELECT point_id, hit AS selected FROM {_CLICKED}")
+def click_select(s, d):
+    return C.click_select(D.cloud_ord(s, d), C.pick(_screen(s, d), 400, 300)).select("point_id", "selected")
+
+
+@query("click_toggle", f"SELECT point_id, CASE WHEN hit THEN NOT selected ELSE selected END AS selected FROM {_CLICKED}")
+def click_toggle(s, d):
+    return C.click_select(D.cloud_ord(s, d), C.pick(_screen(s, d), 400, 300), add=True).select("point_id", "selected")
+
+
+@query("node_click", f"SELECT point_id, CASE WHEN point_id IS NOT DISTINCT FROM (SELECT point_id FROM (SELECT point_id, (sx - 400.0::DOUBLE) * (sx - 400.0::DOUBLE) + (sy - 300.0::DOUBLE) * (sy - 300.0::DOUBLE) AS d2 FROM {SCREEN} ORDER BY d2, point_id LIMIT 1) WHERE d2 <= 225) THEN NOT selected ELSE selected END AS selected FROM {D.CLOUD_ORD}")
+def node_click(s, d):
+    return C.click_select(D.cloud_ord(s, d).drop("alive"), C.pick_near(_screen(s, d), 400.0, 300.0), add=True).select("point_id", "selected")
+
+
+_ANCHORS = f"(SELECT point_id, CASE WHEN w > 0 THEN (px / w + 1) / 2 * 800.0::DOUBLE ELSE -1000 END AS sx, CASE WHEN w > 0 THEN (1 - py / w) / 2 * 600.0::DOUBLE ELSE -1000 END AS sy FROM (SELECT *, {PX} AS px, {PY} AS py, {PW} AS w FROM {D.CLOUD_PART}))"
+
+
+@query("anchor_hit", f"WITH a AS {_ANCHORS}, m AS (SELECT avg(sx) AS x, avg(sy) AS y FROM (SELECT sx, sy FROM a WHERE sx <> -1000 ORDER BY point_id LIMIT 1)) SELECT kind, point_id FROM (SELECT CASE WHEN point_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS kind, point_id, (sx - m.x - 2) * (sx - m.x - 2) + (sy - m.y) * (sy - m.y) AS d2 FROM a, m) WHERE d2 < 225 ORDER BY d2, kind, point_id LIMIT 1")
+def anchor_hit(s, d):
+    at = C.project_anchors(D.cloud_part(s, d), CAMERA, 800, 600)
+    near = at.where("sx != -1000").orderBy("point_id").first()
+    x, y = (near.sx + 2, near.sy) if near else (0.0, 0.0)
+    return C.hit_anchor(at.where("point_id % 2 = 0"), at.where("point_id % 2 = 1"), x, y)
+
+
 @query("node_pick", f"SELECT point_id, round(d2, 4) AS d2 FROM (SELECT point_id, (sx - 400.0::DOUBLE) * (sx - 400.0::DOUBLE) + (sy - 300.0::DOUBLE) * (sy - 300.0::DOUBLE) AS d2 FROM {SCREEN} ORDER BY d2, point_id LIMIT 1) WHERE d2 <= 225")
 def node_pick(s, d):
     return rounded(C.pick_near(_screen(s, d), 400.0, 300.0).select("point_id", "d2"))

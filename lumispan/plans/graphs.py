@@ -13,6 +13,7 @@ from lumispan.functions.vectors import euler
 from lumispan.operators import clouds as C
 from lumispan.operators import features as E
 from lumispan.operators import graphs as G
+from lumispan.operators import morse as M
 from lumispan.operators import register as R
 from lumispan.operators import spatial as S
 from lumispan.plans.clouds import rounded
@@ -66,9 +67,9 @@ def degree_hist(s, d):
     return G.degree_histogram(D.user_nodes(s, d), D.user_edges(s, d))
 
 
-@query("select_degree", f"SELECT node_id FROM {DEGREES} WHERE degree = 20")
+@query("select_degree", f"SELECT node_id FROM {DEGREES} WHERE degree = 10")
 def select_degree(s, d):
-    return G.select_by_degree(D.user_nodes(s, d), D.user_edges(s, d), 20)
+    return G.select_by_degree(D.user_nodes(s, d), D.user_edges(s, d), 10)
 
 
 @query("graph_union", f"WITH t AS (SELECT max(node_id) + 1 AS top FROM {D.TRADE_NODES}) SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM {D.TRADE_EDGES} UNION ALL SELECT src + top, dst + top FROM {D.USER_EDGES}, t) GROUP BY src, dst")
@@ -177,6 +178,59 @@ def delete_cascade(s, d):
     return G.surviving(nodes, emb, emb.where("point_id % 2 = 0"))
 
 
+_WEB = f"(SELECT point_id AS node_id, x, y, z FROM {D.CLOUD_EMB} WHERE selected)"
+_LEFT = f"(SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS new_id FROM (SELECT q AS node_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, p) AS rank FROM (SELECT q.point_id AS q, p.point_id AS p, {_d2('q', 'p')} AS d2 FROM {D.CLOUD_EMB} q, {D.CLOUD_EMB} p WHERE q.selected AND p.alive)) WHERE rank = 1 AND p % 2 <> 0))"
+
+
+@query("cascaded_edges", f"SELECT a.new_id AS src, b.new_id AS dst FROM (SELECT node_id AS src, node_id + 3 AS dst FROM {_WEB}) e JOIN {_LEFT} a ON a.node_id = e.src JOIN {_LEFT} b ON b.node_id = e.dst")
+def cascaded_edges(s, d):
+    emb = D.cloud_emb(s, d)
+    nodes = emb.where("selected").select(F.col("point_id").alias("node_id"), "x", "y", "z")
+    chain = nodes.select(F.col("node_id").alias("src"), (F.col("node_id") + 3).alias("dst"))
+    return G.delete_cascade(nodes, chain, emb, emb.where("point_id % 2 = 0"))[1]
+
+
+_RIPS = f"(WITH n AS {NEAR}, f AS (SELECT q AS v, sqrt(sum(d2) / (count(*) + 1)) AS f FROM n WHERE rank <= 15 GROUP BY q), e AS (SELECT least(q, p) AS u, greatest(q, p) AS w, sqrt(min(d2)) AS d FROM n WHERE rank <= 15 GROUP BY 1, 2) SELECT e.u, e.w, CASE WHEN d <= abs(a.f - b.f) THEN greatest(a.f, b.f) ELSE greatest(a.f, b.f, (a.f + b.f + d) / 2) END AS value FROM e JOIN f a ON a.v = e.u JOIN f b ON b.v = e.w)"
+
+
+@query("rips_edges", f"SELECT u, w, round(value, 6) AS value FROM {_RIPS}")
+def rips_edges(s, d):
+    return rounded(M.weighted_rips(_nodes(s, d))[1].select("u", "w", "value"), 6)
+
+
+@query("rips_triangles", f"WITH e AS MATERIALIZED {_RIPS} SELECT a.u AS first, count(*) AS n FROM e a JOIN e b ON b.u = a.u AND a.w < b.w JOIN e c ON c.u = a.w AND c.w = b.w GROUP BY a.u")
+def rips_triangles(s, d):
+    _, edges, triangles = M.weighted_rips(_nodes(s, d))
+    last = edges.select(*[F.col(c).alias("e" + c) for c in ("rank", "u", "w")])
+    corner = triangles.withColumn("t", F.monotonically_increasing_id()).select("t", F.explode(F.array("r1", "r2", "r3")).alias("erank")).join(last, "erank").groupBy("t").agg(F.min("eu").alias("first"))
+    return corner.groupBy("first").agg(F.count("*").alias("n"))
+
+
+@query("edge_persistence")
+def edge_persistence(s, d):
+    return rounded(M.persistence(*M.weighted_rips(_nodes(s, d))), 6)
+
+
+@query("morse_skeleton")
+def morse_skeleton(s, d):
+    nodes, edges = M.reconstruct_skeleton(_nodes(s, d), threshold=0.02, tau=3.0, reach=0.05)
+    return rounded(G.edge_lengths(nodes, edges), 6)
+
+
+@query("align_turned")
+def align_turned(s, d):
+    cloud = D.cloud_ord(s, d).where("alive").select("point_id", "x", "y", "z")
+    found = R.align(C.transform(cloud, euler(30.0, -20.0, 10.0, 90, 0, 0)), cloud, probe=5, steps=20)
+    return s.createDataFrame([(i, *map(float, row)) for i, row in enumerate(np.round(found["matrix"], 1) + 0.0)], "row int, c0 double, c1 double, c2 double, c3 double")
+
+
+@query("sweep_turned")
+def sweep_turned(s, d):
+    cloud = D.cloud_part(s, d).select("point_id", "x", "y", "z")
+    found = R.sweep_align(C.transform(cloud, euler(5.0, -3.0, 2.0, 40, 0, 0)), cloud, voxel=2.0, probe=10, steps=30)
+    return s.createDataFrame([(round(found["fitness"], 3), found["n"])], "fitness double, n long")
+
+
 @query("feature_best_pair", "SELECT p, s, round(d, 6) AS d FROM (SELECT a.vec_id AS p, b.vec_id AS s, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1 ORDER BY d, p, s LIMIT 1)")
 def feature_best_pair(s, d):
     e = D.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("f"), "label")
@@ -374,6 +428,27 @@ def graph_json_roundtrip(s, d):
     return SG.read_graph_json(s, SG.write_graph_json(nodes, G.undirected(D.user_edges(s, d)), scratch(s, "graph.json")))[1]
 
 
+@query("catalog_ordered", f"SELECT regexp_extract(name, '(?i)^(tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 1) AS series, min(TRY_CAST(regexp_extract(name, '(?i)^(tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$', 3) AS DOUBLE)) AS lowest FROM {_NAMES} WHERE regexp_matches(name, '(?i)^(tangle\\w+)\\s+(.+?)\\s+T([0-9.]+)\\.pcd$') GROUP BY 1")
+def catalog_ordered(s, d):
+    found = SG.ordered_catalog(SG.structured_catalog(_names(s, d), F.col("name")))
+    return found.groupBy("series").agg(F.min("value").alias("lowest"))
+
+
+@query("recon_convert", f"SELECT src, dst FROM {CLEAN}")
+def recon_convert(s, d):
+    nodes = D.user_nodes(s, d).select(F.format_string("%d %d %d", "node_id", "node_id", "node_id"))
+    edges = G.undirected(D.user_edges(s, d)).select(F.format_string("%d %d 1", "src", "dst"))
+    n, e = scratch(s, "nodes"), scratch(s, "edges")
+    nodes.coalesce(1).write.text(n)  # the format has one file each
+    edges.coalesce(1).write.text(e)
+    return SG.read_graph_json(s, SG.convert_recon(s, n, e, scratch(s, "graph.json")))[1]
+
+
+@query("text_sink", f"SELECT printf('%.6f %.6f %.6f', CAST(x AS DOUBLE), CAST(y AS DOUBLE), CAST(z AS DOUBLE)) AS value FROM {D.CLOUD_ORD}")
+def text_sink(s, d):
+    return s.read.text(SG.write_points_text(D.cloud_ord(s, d), scratch(s, "points")))
+
+
 @query("history_last20", "SELECT user_id AS log_id, event_id AS seq, age FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS age FROM events) WHERE age <= 20")
 def history_last20(s, d):
     log = D.table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("seq"))

@@ -73,6 +73,23 @@ def structured_catalog(files: DataFrame, name: Column) -> DataFrame:
     return files.where(name.rlike(STRUCTURED)).select(part(1).alias("series"), part(2).alias("session"), part(3).alias("threshold"), name.alias("name"))
 
 
+def ordered_catalog(found: DataFrame) -> DataFrame:
+    """By series and session as text, then by threshold as a number (``value``); what is no number comes first."""
+    return found.withColumn("value", F.col("threshold").try_cast("double")).orderBy("series", "session", "value", "name")
+
+
+def convert_recon(spark: SparkSession, nodes_path: str, edges_path: str, path: str) -> str:
+    """A graph in JSON from its text files of nodes and edges."""
+    return write_graph_json(read_nodes_text(spark, nodes_path), read_edges_text(spark, edges_path), path)
+
+
+def write_points_text(points: DataFrame, path: str) -> str:
+    """A folder of text files with "x y z" of each point, six places each (halves to even), in the order of point_id."""
+    ordered = points.repartitionByRange("point_id").sortWithinPartitions("point_id")
+    ordered.select(F.format_string("%.6f %.6f %.6f", *[F.bround(F.col(c).cast("double"), 6) for c in "xyz"])).write.mode("overwrite").text(path)
+    return path
+
+
 def flat_catalog(files: DataFrame, name: Column) -> DataFrame:
     return files.where(F.lower(name).endswith(".pcd")).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), name.alias("name"))
 
