@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +37,75 @@ def farthest_points(points: DataFrame, n: int) -> DataFrame:
     return points.sparkSession.createDataFrame([(i + 1, r.point_id, r.x, r.y, r.z) for i, r in enumerate(taken)], "turn int, point_id long, x double, y double, z double")
 
 
+BUCKET = 256
+MOST_GROUP = 1_000_000  # points of a cluster that one task spreads, about 100 MB; larger ones take a job a turn
+
+
+def farthest_rows(x: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``x`` as :func:`farthest_points` takes them, from row 0 on, ties to the smaller row.
+
+    Rows lie in buckets of near ones. A bucket whose box is farther from the new point than all its rows are from those taken
+    has nothing to change, so later turns touch few rows.
+    """
+    if n >= len(x):
+        return np.arange(len(x))
+    low, wide = x.min(axis=0), max(float(np.ptp(x, axis=0).max()), 1e-300)
+    cells = max(1, int(np.ceil((len(x) / BUCKET) ** (1 / 3))))
+    at = np.minimum(((x - low) / wide * cells).astype(np.int64), cells - 1)
+    order = np.argsort((at[:, 0] * cells + at[:, 1]) * cells + at[:, 2], kind="stable")
+    starts = np.arange(0, len(x), BUCKET)
+    ends = np.append(starts[1:], len(x))
+    y = x[order]
+    lo, hi = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+    near, best, row = np.full(len(x), np.inf), np.full(len(starts), np.inf), np.zeros(len(starts), np.int64)
+    taken = [0]
+    while len(taken) < n:
+        c = x[taken[-1]]
+        gap = np.maximum(np.maximum(lo - c, c - hi), 0.0)
+        for b in np.flatnonzero((gap * gap).sum(axis=1) < best):
+            part = slice(starts[b], ends[b])
+            d = y[part] - c
+            d = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            near[part] = np.minimum(near[part], d)
+            best[b] = near[part].max()
+            row[b] = order[part][near[part] == best[b]].min()
+        taken.append(int(row[best == best.max()].min()))
+    return np.array(taken)
+
+
+def spread_picks(points: DataFrame, share: float, k: int, least: int) -> DataFrame:
+    """(label, point_id, x, y, z, near): spread points of each cluster (label, point_id, x, y, z), a ``share`` of it, one at least.
+
+    ``near`` are the ``k`` nearest other picks of the cluster, none if it has fewer than ``least``. One grouped plan takes all
+    clusters of at most MOST_GROUP points; larger ones, which are counted, come one by one from :func:`farthest_points`.
+    """
+    schema = "label long, point_id long, x double, y double, z double, near array<long>"
+    sizes = cut(points.groupBy("label").agg(F.count("*").alias("n")))
+
+    def pick(t: pa.Table) -> pa.Table:
+        t = t.sort_by("point_id")
+        x, ids = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1), t.column("point_id").to_numpy()
+        rows = farthest_rows(x, max(1, int(len(x) * share)))
+        x, ids = x[rows], ids[rows]
+        lists: list[list[int]] = [[]] * len(x)
+        if len(x) >= least:
+            lists, order = [], np.argsort(ids, kind="stable")  # ties to the smaller id
+            for i in range(0, len(x), 256):
+                d = ((x[i : i + 256, None] - x[None, order]) ** 2).sum(axis=2)
+                d[np.arange(len(d)), np.argsort(order)[i : i + len(d)]] = np.inf
+                lists += ids[order][np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]].tolist()
+        return pa.table({"label": pa.array(np.full(len(x), t.column("label")[0].as_py(), np.int64)), "point_id": ids, **{c: np.ascontiguousarray(x[:, i]) for i, c in enumerate("xyz")}, "near": pa.array(lists, pa.list_(pa.int64()))})
+
+    typed = points.select(F.col("label").cast("long").alias("label"), F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    out = typed.join(sizes.where(F.col("n") <= MOST_GROUP).select("label"), "label", "left_semi").groupBy("label").applyInArrow(pick, schema)
+    for r in sizes.where(F.col("n") > MOST_GROUP).collect():  # at most a millionth of the points
+        few = cut(farthest_points(typed.where(F.col("label") == r.label), max(1, int(r.n * share))).select("point_id", "x", "y", "z"))
+        found = knn_join(few.withColumnRenamed("point_id", "q"), few.withColumnRenamed("point_id", "p"), k, self_join=True) if few.count() >= least else few.limit(0).select(F.col("point_id").alias("q"), F.col("point_id").alias("p"))
+        lists = found.groupBy("q").agg(F.collect_list("p").alias("near"))  # k
+        out = out.unionByName(few.join(lists, F.col("point_id") == F.col("q"), "left").select(F.lit(r.label).cast("long").alias("label"), "point_id", "x", "y", "z", F.coalesce("near", F.array().cast("array<long>")).alias("near")))
+    return cut(out)
+
+
 def neighbours(points: DataFrame, radius: float, most: int) -> DataFrame:
     """(q, p, d2): up to ``most`` points within ``radius`` of each, itself among them."""
     return range_join(points.withColumnRenamed("point_id", "q"), points.withColumnRenamed("point_id", "p"), radius, most)
@@ -101,22 +171,16 @@ def vote(points: DataFrame, radius: float = 20.0, steps: int = 5, size: float =
 
 
 def grow_skeleton(points: DataFrame, radius: float = 20.0, steps: int = 5, size: float = 2.5, strength: float = 0.4, iterations: int = 30, rounds: int = 8) -> DataFrame:
-    """Clusters (noise counts as one), two in a hundred spread points of each, contracted, then grown along their ends."""
+    """Clusters (noise counts as one), two in a hundred spread points of each, contracted, then grown along their ends.
+
+    Picks of fewer than 15 points stay as they are. The number of jobs depends on the steps and rounds, not on the clusters.
+    """
     base = cut(points.select(F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]))
     if base.isEmpty():
         return base.select("x", "y", "z")
     labels = cut(dbscan(base, density_eps(base)).select("point_id", "label"))
-    kept = []
-    for r in labels.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect():  # a row for each cluster
-        mine = base.join(labels.where(F.col("label") == r.label), "point_id", "left_semi")
-        few = cut(farthest_points(mine, max(1, int(r.n * 0.02))).select("point_id", "x", "y", "z"))
-        if few.count() >= 15:
-            near = cut(knn_join(few.withColumnRenamed("point_id", "q"), few.withColumnRenamed("point_id", "p"), 7, self_join=True))
-            few = contract(few, near, strength, iterations)
-        kept.append(few.select("x", "y", "z"))
-    now = kept[0]
-    for k in kept[1:]:
-        now = now.unionByName(k)
+    few = spread_picks(base.join(labels, "point_id"), 0.02, 7, 15)
+    now = contract(few, few.select(F.col("point_id").alias("q"), F.explode("near").alias("p")), strength, iterations).select("x", "y", "z")
     grown, now = None, cut(now)
     for _ in range(rounds):
         both = cut((now if grown is None else now.unionByName(grown)).select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z"))

@@ -217,6 +217,11 @@ def morse_skeleton(s, d):
     return rounded(G.edge_lengths(nodes, edges), 6)
 
 
+@query("grow_skeleton")
+def grow_skeleton(s, d):
+    return rounded(E.grow_skeleton(D.cloud_part(s, d).where("alive"), radius=4.0, size=0.5, iterations=10, rounds=3), 4)
+
+
 @query("align_turned")
 def align_turned(s, d):
     cloud = D.cloud_ord(s, d).where("alive").select("point_id", "x", "y", "z")
