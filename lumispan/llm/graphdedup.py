@@ -7,8 +7,8 @@ from a node of each piece that the medoid does not reach, and from the vector's
 it finds in range it expands through all neighbours in range. Hits are verified in double precision.
 Recall is audited against brute force in blocks for all vectors whose id is divisible by 100, label by label. Labels under the
 aim are searched again with a beam twice as wide and more overlap; those that stay under it, and labels of at most MOST_SHARD
-nodes of which the audit has no true link, are compared exactly in blocks. The measured recall is logged; a larger label
-without any true link in the audit has no measured recall, which is logged as well.
+nodes of which the audit has no true link, are compared exactly in blocks. Of a larger label without one, more vectors are
+asked for, at last all, so no label's recall stays unmeasured. The measured recall is logged.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows without label. Equal
 vectors of a label are one node; each copy counts as a link. Of rows with equal vec_id the one with the
@@ -35,6 +35,7 @@ MOST_SHARD = 4000  # a larger shard is split by a hash; its parts are searched f
 OVERLAP = 2
 DEGREE, CANDIDATES, BEAM = 24, 48, 24
 ALPHA = 1.2
+MORE = (25, 5, 1)  # one vector in so many is asked for where the audit met no link
 MOST_ASKED = 8192  # vectors that a pass of brute force holds in a task and on the driver
 
 log = logging.getLogger(__name__)
@@ -394,9 +395,16 @@ def audited_links(nodes: DataFrame, threshold: float = THRESHOLD, aim: float = 0
             break
         left = materialize(nodes.join(low.select(*keys), keys, "left_semi"), "low")
         beam, overlap = 2 * beam, overlap + 1
-    large = recall.where((F.col("there") == 0) & (F.col("nodes") > MOST_SHARD))
-    if not large.isEmpty():
-        log.warning("recall not measured, as the audit has no true link: labels of %s nodes, the largest ones first", [r.nodes for r in large.orderBy(F.desc("nodes")).limit(20).collect()])
+    unmet = materialize(recall.where((F.col("there") == 0) & (F.col("nodes") > MOST_SHARD)), "unmet")
+    for parts in MORE:  # large labels without a true link in the audit: ask for more vectors until there is one, at last for all
+        if unmet.isEmpty():
+            break
+        some = materialize(nodes.join(unmet.select(*keys), keys, "left_semi"), "some")
+        more = exact_links(some, some.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0), threshold)
+        again = audit(some, more, links)
+        links = materialize(links.unionByName(more.select("u", "v")).distinct(), "links")
+        low = materialize(low.unionByName(again.where(F.col("found") < aim * F.col("there"))), "low") if parts > 1 else low  # all pairs are known
+        unmet = materialize(again.where("there = 0"), "unmet")
     few = F.col("nodes") <= MOST_SHARD
     unproven = recall.where(few & (F.col("nodes") > 1) & (F.col("there") == 0)).unionByName(low.where(few))
     exact = group_links(nodes.join(unproven.select(*keys), keys, "left_semi"), threshold)

@@ -160,6 +160,18 @@ def test_labels_of_low_recall_are_compared_exactly(spark, monkeypatch, most):
     assert {(r.u, r.v) for r in none.where("u < 1000").collect()} == want
 
 
+def test_vector_graph_measures_labels_without_links_in_the_audit(spark, monkeypatch):
+    """A large label whose only links are between vectors that the audit does not ask for, and a search that finds nothing."""
+    monkeypatch.setattr(graphdedup, "MOST_SHARD", 20)
+    monkeypatch.setattr(graphdedup, "near_links", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "u long, v long"))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 32)).astype(np.float32)
+    x[77] = x[33] * 1.01 + 0.001
+    d = spark.createDataFrame([(i + 1, v.tolist(), 1 + (i % 100 == 99)) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r for r in graphdedup.near_duplicates(d).collect()}
+    assert {i: r.n_links for i, r in got.items() if r.n_links} == {34: 1, 78: 1} and got[78].component_id == 34 and not got[78].kept
+
+
 def test_jaccard(docs, empty):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
