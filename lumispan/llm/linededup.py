@@ -18,9 +18,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lumispan.llm.common import materialize, small_slices, worker_cache
 from lumispan.llm.components import components
@@ -389,14 +388,10 @@ def line_components(docs: DataFrame, seen: DataFrame, percent: int = PERCENT, le
     return components(links.unionByName(verify(candidates(left, True, percent))))
 
 
-@F.arrow_udf(StringType())
-def _without(text: pa.Array, drop: pa.Array) -> pa.Array:
-    """Each text without the lines whose numbers are in ``drop``; null where ``text`` is."""
-    left = []
-    for t, d in zip(text.to_pylist(), drop.to_pylist(), strict=True):
-        gone = set(d or ())
-        left.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
-    return pa.array(left, pa.string())
+def _without(text: Column, drop: Column) -> Column:
+    """``text`` without its lines of the numbers in ``drop``; the lines are bound once, and numbers are taken off by a hash set."""
+    bound = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop.cast("array<int>")), lambda i: F.get(lines, i)), "\n"))
+    return F.get(bound, F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
@@ -419,6 +414,6 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) ->
     drop = gone.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("drop")).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "drop")
     full = clean.withColumn("__m", F.xxhash64(F.col("text").cast("string"))).join(drop, (F.col("__id") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
     lines = F.split("text", "\n", -1)
-    left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(_without(F.when(F.col("drop").isNotNull(), F.col("text").cast("string")), "drop"))
+    left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(_without(F.col("text").cast("string"), F.col("drop")))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return full.select(*names, left.alias("text"), F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
