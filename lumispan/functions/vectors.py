@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The colours of points without any, of selected ones, and of a second cloud.
 GRAY = (0.7, 0.7, 0.7, 1.0)
 SELECTED = (1.0, 0.5, 0.0, 1.0)
 TINT = (0.35, 0.55, 0.75, 0.55)
