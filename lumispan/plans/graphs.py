@@ -224,8 +224,8 @@ def grow_skeleton(s, d):
 
 @query("align_turned")
 def align_turned(s, d):
-    cloud = D.cloud_ord(s, d).where("alive").select("point_id", "x", "y", "z")
-    found = R.align(C.transform(cloud, euler(30.0, -20.0, 10.0, 90, 0, 0)), cloud, probe=5, steps=20)
+    cloud = D.cloud_part(s, d).where("alive").select("point_id", "x", "y", "z")
+    found = R.align(C.transform(cloud, euler(30.0, -20.0, 10.0, 90, 0, 0)), cloud, probe=4, steps=10)
     return s.createDataFrame([(i, *map(float, row)) for i, row in enumerate(np.round(found["matrix"], 1) + 0.0)], "row int, c0 double, c1 double, c2 double, c3 double")
 
 
