@@ -19,6 +19,7 @@ from lumispan.operators import spatial as S
 from lumispan.plans.clouds import rounded
 from lumispan.sources import graphs as SG
 from lumispan.sources import pcd as SP
+from lumispan.streaming import keyed as K
 from lumispan.streaming import session as L
 
 QUERIES, SQL = {}, {}
@@ -460,13 +461,73 @@ def history_last20(s, d):
     return L.recent(log, F.col("seq"))
 
 
-@query("undo_replay")
-def undo_replay(s, d):
+def edit_log(s, d):
     kind = F.when(F.col("event_id") % 4 == 1, "undo").when(F.col("event_id") % 9 == 2, "redo").otherwise("edit")
-    return L.replay(D.table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("seq"), kind.alias("kind")))
+    return D.table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+# a step of every log at once: the edits that can be undone and redone as lists
+EDITS = """WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_id % 4 = 1 THEN 'undo' WHEN event_id % 9 = 2 THEN 'redo' ELSE 'edit' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+t(user_id, n, done, undone, fixed) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM e
+  UNION ALL
+  SELECT t.user_id, e.n,
+    CASE WHEN kind = 'undo' THEN done[:-2] WHEN kind = 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE list_append(CASE WHEN len(done) = 20 THEN done[2:] ELSE done END, event_id) END,
+    CASE WHEN kind = 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN kind = 'redo' THEN undone[:-2] ELSE CAST([] AS BIGINT[]) END,
+    fixed + CASE WHEN kind = 'edit' AND len(done) = 20 THEN 1 ELSE 0 END
+  FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1)
+SELECT user_id AS log_id, fixed + len(done) AS applied, CAST(len(undone) AS BIGINT) AS redoable{more} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM t) WHERE back = 1"""
+
+
+@query("undo_replay", EDITS.format(more=""))
+def undo_replay(s, d):
+    return L.replay(edit_log(s, d))
+
+
+@query("undo_stream", EDITS.format(more=", CAST(0 AS BIGINT) AS late, (SELECT max(event_id) FROM events x WHERE x.user_id = user_id_of.user_id) AS last_seq").replace(") WHERE back = 1", ") user_id_of WHERE back = 1"))
+def undo_stream(s, d):
+    return K.replay(edit_log(s, d))
+
+
+def camera_log(s, d):
+    i, of = F.col("event_id"), F.array(*[F.lit(k) for k in ("w", "s", "a", "d", "space", "shift")])
+    kind = F.when(i % 97 == 0, "blur").when(i % 6 == 0, "down").when(i % 12 == 1, "up").when(i % 6 == 2, "look").otherwise("tick")
+    return D.table(s, d, "events").select(F.col("user_id").alias("log_id"), i.alias("seq"), kind.alias("kind"), F.get(of, (F.floor(i / 6) % 6).cast("int")).alias("key"), F.when(kind == "tick", (i % 13) / 200.0).otherwise(F.col("value")).alias("a"), (i % 400 - 150).cast("double").alias("b"))
+
+
+@query("camera_stream")
+def camera_stream(s, d):
+    return rounded(K.cameras(camera_log(s, d)), 6)
 
 
-@query("smoothed_rate")
+def click_log(s, d):
+    i = F.col("event_id")
+    kind = F.when(i % 7 == 0, "miss").when(F.floor(i / 3) % 2 == 0, "primary").otherwise("secondary")
+    return D.table(s, d, "events").select(F.col("user_id").alias("log_id"), i.alias("seq"), kind.alias("kind"), (i * 5 % 9).alias("idx"))
+
+
+@query("pair_stream")
+def pair_stream(s, d):
+    return K.pairs_now(K.pair_changes(click_log(s, d)))
+
+
+def lasso_log(s, d):
+    i = F.col("event_id")
+    kind = F.when(i % 11 == 0, "press").when(i % 13 == 5, "release").otherwise("move")
+    return D.table(s, d, "events").select(F.col("user_id").alias("log_id"), i.alias("seq"), kind.alias("kind"), (i * 7 % 50).cast("double").alias("x"), (i * 3 % 10).cast("double").alias("y"))
+
+
+@query("lasso_stream")
+def lasso_stream(s, d):
+    return K.lassos(lasso_log(s, d))
+
+
+RATES = """WITH RECURSIVE e AS (SELECT user_id % 10 AS log_id, event_id % 13 / 200.0::DOUBLE AS dt, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events),
+t(log_id, n, rate) AS (SELECT DISTINCT log_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM e UNION ALL SELECT t.log_id, e.n, CASE WHEN dt > 0 THEN 0.9::DOUBLE * rate + 0.1::DOUBLE / least(dt, 0.1::DOUBLE) ELSE rate END FROM t JOIN e ON e.log_id = t.log_id AND e.n = t.n + 1)
+SELECT log_id, CAST(n AS INT) AS n, round(rate, 6) AS rate FROM t WHERE n > 0 AND n % 30 = 0"""
+
+
+@query("smoothed_rate", RATES)
 def smoothed_rate(s, d):
     ticks = D.table(s, d, "events").select((F.col("user_id") % 10).alias("log_id"), F.col("event_id").alias("seq"), ((F.col("event_id") % 13) / 200.0).alias("dt"))
     return rounded(L.smoothed_rate(ticks), 6)
@@ -478,7 +539,12 @@ def camera_flight(s, d):
     return rounded(L.fly(keys), 6)
 
 
-@query("camera_look")
+LOOKS = """WITH RECURSIVE e AS (SELECT user_id, value AS dx, CAST(event_id % 400 - 150 AS DOUBLE) AS dy, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+t(user_id, n, yaw, pitch) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM e UNION ALL SELECT t.user_id, e.n, yaw + dx * 0.1::DOUBLE, greatest(-89.0::DOUBLE, least(89.0::DOUBLE, pitch - dy * 0.1::DOUBLE)) FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1)
+SELECT user_id AS log_id, round(yaw, 4) AS yaw, round(pitch, 4) AS pitch FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM t) WHERE back = 1"""
+
+
+@query("camera_look", LOOKS)
 def camera_look(s, d):
     deltas = D.table(s, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("seq"), F.col("value").alias("dx"), (F.col("event_id") % 400 - 150).cast("double").alias("dy"))
     return rounded(L.look(deltas), 4)
