@@ -24,7 +24,7 @@ from lumispan.functions.vectors import dist2, finite, xyz
 from lumispan.operators.graphs import _in_one_task, _Sets, _small, compact_ids, connected_components, edge_lengths
 from lumispan.operators.spatial import knn_join, range_join, voxel_downsample
 
-COLUMNS = 200_000  # triangles that a task of a round reduces
+COLUMNS = 200_000  # columns of about four entries that a task of a round reduces
 
 
 def weighted_rips(points: DataFrame, k: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,32 +123,48 @@ def _reduce(columns: list[tuple[tuple, list[int]]], low: int) -> list[tuple[tupl
     return out + list(owner.values())
 
 
+def loop_columns(positive: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rank, rows), (at, death): the triangles of each edge that closes a loop, and the last edge of each triangle.
+
+    Triangles are numbered in the order in which they come; ``rows`` holds the negative numbers, as later ones are smaller.
+    """
+    signs = positive.select(F.col("rank").alias("r"))
+    numbered = cut(compact_ids(triangles.select(F.struct("r1", "r2", "r3").alias("node_id"))).select(F.col("new_id").alias("at"), "node_id.*"))
+    sides = numbered.select("at", F.explode(F.array("r1", "r2", "r3")).alias("r")).join(signs, "r", "left_semi")
+    columns = sides.groupBy("r").agg(F.collect_list(-F.col("at")).alias("rows"))  # at most the neighbours of an edge's end
+    return cut(columns.withColumnRenamed("r", "rank")), numbered.select("at", F.col("r1").alias("death"))
+
+
 def cycle_pairs(positive: DataFrame, triangles: DataFrame, most: int = COLUMNS) -> DataFrame:
     """(rank, death): loops that edges of rank ``rank`` close, and the rank of the last edge of the triangle that fills them.
 
-    ``positive`` (rank) are the edges that close something; others have no loop and leave the columns beforehand. Columns are
-    dealt by ranges of their pivots. A round reduces each range by itself and passes on what has left it, until nothing does.
+    ``positive`` (rank) are the edges that close something. Their coboundaries are reduced, later edges first, with the earliest
+    triangle as pivot: the pairs are those of the triangles' boundaries (de Silva, Morozov and Vejdemo-Johansson, 2011), but there
+    is a column for each loop and not one for each triangle, and most have a pivot of their own from the start. Columns are dealt
+    by ranges of their pivots. A round reduces the ranges to which something came, each by itself, and passes on what has left it.
     """
-    signs = positive.select(F.col("rank").alias("r"), F.lit(True).alias("loop"))
-    long = triangles.select("r1", "r2", "r3", F.explode(F.array("r1", "r2", "r3")).alias("r")).join(signs, "r", "left_semi")
-    state = cut(long.groupBy("r1", "r2", "r3").agg(F.collect_list("r").alias("rows")))  # at most three
-    n = state.count()
-    parts = -(-n // most)
+    state, ends = loop_columns(positive, triangles)
+    n = state.agg(F.sum(F.size("rows"))).first()[0] or 0
+    parts = -(-n // (4 * most))
     edges = sorted(set(state.select(F.array_max("rows").cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    lows = [0, *(int(e) for e in edges)]
+    lows = [-(1 << 62), *(int(e) for e in edges)]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        low = lows[int(part["part"].iloc[0])]
-        done = _reduce([((a, b, c), list(r)) for a, b, c, r in zip(part["r1"], part["r2"], part["r3"], part["rows"], strict=True)], low)
-        pivots = [max(r) for _, r in done]
-        return pd.DataFrame({"r1": [n[0] for n, _ in done], "r2": [n[1] for n, _ in done], "r3": [n[2] for n, _ in done], "rows": [sorted(r) for _, r in done], "moved": [p < low for p in pivots]})
+        at = int(part["part"].iloc[0])
+        done = _reduce([((-r,), list(rows)) for r, rows in zip(part["rank"], part["rows"], strict=True)], lows[at])
+        return pd.DataFrame({"rank": [-name[0] for name, _ in done], "rows": [sorted(r) for _, r in done], "was": at})
 
-    place = lambda: F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda x: x <= F.array_max("rows"))) - 1
+    place = F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda x: x <= F.array_max("rows"))) - 1
+    rest, state, turn = None, state.withColumn("part", place), 0
     while True:
-        state = cut(state.withColumn("part", place()).groupBy("part").applyInPandas(run, "r1 long, r2 long, r3 long, rows array<long>, moved boolean"))
-        if state.where("moved").isEmpty():
-            return state.select(F.array_max("rows").alias("rank"), F.col("r1").alias("death"))
-        state = state.drop("moved")
+        new = cut(state.groupBy("part").applyInPandas(run, "rank long, rows array<long>, was int").withColumn("part", place))
+        into = [r.part for r in new.where("part != was").select("part").distinct().collect()]  # at most ``parts`` numbers
+        held = new.drop("was") if rest is None else rest.unionByName(new.drop("was"))
+        if not into:
+            return held.select("rank", F.array_max("rows").alias("pivot")).join(ends, -F.col("pivot") == F.col("at")).select("rank", "death")
+        turn += 1
+        held = cut(held) if turn % 8 == 0 else held
+        state, rest = held.where(F.col("part").isin(into)), held.where(~F.col("part").isin(into))
 
 
 def persistence(vertices: DataFrame, edges: DataFrame, triangles: DataFrame) -> DataFrame:

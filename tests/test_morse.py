@@ -65,6 +65,20 @@ def test_persistence(spark, monkeypatch, most, local):
         assert {r.rank: (r.joins, r.persistence) for r in morse.persistence(v, e, t).collect()} == want
 
 
+def test_a_dense_cloud_has_a_column_for_each_loop(spark):
+    """Of 5984 triangles, 528 loops are reduced, as the plain reduction of all triangles says."""
+    x = np.random.default_rng(9).normal(size=(34, 3))
+    v, e, t = morse.weighted_rips(frame(spark, x), 33)
+    loops = e.join(morse.elder_pairs(v, e), "rank", "left_anti")
+    columns, ends = morse.loop_columns(loops, t)
+    assert columns.count() == loops.count() == 33 * 34 // 2 - 33 and ends.count() == t.count() == 34 * 33 * 32 // 6
+    vertices, edges, triangles = ([tuple(r) for r in d.collect()] for d in (v, e.select("rank", "u", "w", "value"), t))
+    want = {r: p for r, (joins, p) in plain(vertices, edges, triangles).items() if not joins}
+    value = {r: x for r, _, _, x in edges}
+    for most in (10**6, 300):
+        assert {r.rank: value[r.death] - value[r.rank] for r in morse.cycle_pairs(loops, t, most).collect()} == want
+
+
 def shape(spark, x, threshold, tau=3.0, reach=0.0):
     nodes, edges = morse.reconstruct_skeleton(frame(spark, x), threshold, tau, reach, k=12, percentile=1.0)
     found = [tuple(r) for r in edges.collect()]
