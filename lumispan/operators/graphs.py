@@ -154,32 +154,105 @@ def _spread_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) ->
 def minimum_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Minimum spanning forest of edges (a, b, d); the order (d, a, b) makes it unique."""
     edges = cut(edges.select("a", "b", "d"))
-    if _small(edges):
+    return _first_edges(edges.withColumns({"ca": F.col("a"), "cb": F.col("b")})) if _small(edges) else _spread_forest(nodes, edges, rounds)
 
-        def pick(rows):
-            s = _Sets()
-            return [(a, b, d) for d, a, b in sorted((d, a, b) for a, b, d in rows) if s.join(a, b)]
 
-        return _in_one_task(edges, pick, "a long, b long, d double")
-    return _spread_forest(nodes, edges, rounds)
+def _first_edges(live: DataFrame) -> DataFrame:
+    def pick(rows):
+        s = _Sets()
+        return [(a, b, d) for d, a, b, x, y in sorted((d, a, b, x, y) for a, b, d, x, y in rows) if s.join(x, y)]
+
+    return _in_one_task(live.select("a", "b", "d", "ca", "cb"), pick, "a long, b long, d double")
 
 
 def _spread_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Boruvka's rounds: every component takes its first edge to another one."""
-    part = cut(nodes.select("node_id", F.col("node_id").alias("c")))
-    chosen = None
+    """Boruvka's rounds: every part takes its first edge to another one, parts that meet become one, and of the edges between two
+    parts the first stays. So a round leaves at most half of the parts; what is small enough ends in one task."""
+    live = cut(edges.where("a != b").select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    chosen = edges.select("a", "b", "d").limit(0)
     for _ in range(rounds):
-        l, r = part.select(F.col("node_id").alias("a"), F.col("c").alias("ca")), part.select(F.col("node_id").alias("b"), F.col("c").alias("cb"))
-        across = cut(edges.join(l, "a").join(r, "b").where("ca != cb"))
-        if across.isEmpty():
+        if _small(live):
+            return chosen.unionByName(_first_edges(live))
+        if live.isEmpty():
+            return chosen
+        ways = live.select("a", "b", "d", F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("o")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("o")))).alias("w"))
+        best = cut(ways.groupBy("w.c").agg(F.min(F.struct("d", "a", "b", "w.o")).alias("m")).select("c", "m.*"))
+        chosen = chosen.unionByName(best.select("a", "b", "d").distinct())
+        # first edges close no loop, but two parts can take the same one: the smaller is then the root
+        back = best.select(F.col("c").alias("o"), F.col("o").alias("next"))
+        to = cut(best.select("c", "o").join(back, "o").select("c", F.when((F.col("next") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("o"), F.lit(True).alias("moved")))
+        while not to.where("moved").isEmpty():
+            to = cut(to.join(to.select(F.col("c").alias("o"), F.col("o").alias("next")), "o").select("c", F.col("next").alias("o"), (F.col("next") != F.col("o")).alias("moved")))
+        name = lambda n: to.select(F.col("c").alias(n), F.col("o").alias("new" + n))
+        moved = live.join(name("ca"), "ca").join(name("cb"), "cb").where("newca != newcb")
+        live = cut(moved.groupBy(F.least("newca", "newcb").alias("ca"), F.greatest("newca", "newcb").alias("cb")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "m.d", "ca", "cb"))
+    raise RuntimeError("the forest did not settle")
+
+
+def trimmed(edges: DataFrame, stay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst) without leaves that are not in ``stay`` (node_id), taken off one after the other; nodes of parts that keep edges.
+
+    A round takes off the loose leaves and makes one edge of the two at a node that has no others, of nodes whose hash is less than
+    those of both neighbours. So chains get shorter from all places at once, and rounds grow with the logarithm of the graph;
+    what is small enough ends in one task.
+    """
+    mark = lambda n, k: stay.select(F.col("node_id").alias(n), F.lit(True).alias(k)).distinct()
+    named = cut(edges.select("src", "dst", F.monotonically_increasing_id().alias("id")))
+    live = named.join(mark("src", "s"), "src", "left").join(mark("dst", "t"), "dst", "left")
+    live = cut(live.select("id", "src", "dst", F.coalesce("s", F.lit(False)).alias("s"), F.coalesce("t", F.lit(False)).alias("t")))
+    hung, merged, turn = [], [], 0
+    while not _small(live):
+        ends = live.select(F.explode(F.array(F.struct(F.col("src").alias("n"), F.col("s").alias("k"), F.struct("id", F.col("dst").alias("o"), F.col("t").alias("ok")).alias("e")), F.struct(F.col("dst").alias("n"), F.col("t").alias("k"), F.struct("id", F.col("src").alias("o"), F.col("s").alias("ok")).alias("e")))).alias("x")).select("x.*")
+        thin = ends.groupBy("n").agg(F.count("*").alias("degree"), F.max("k").alias("k"), F.min("e").alias("e"), F.max("e").alias("f")).where("degree <= 2 AND NOT k")
+        thin = cut(thin)
+        loose = thin.where("degree = 1").select("n", "e.id", "e.o")
+        if loose.isEmpty():
             break
-        best = across.select("a", "b", "d", F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("m"))
-        picked = cut(best.select("m.a", "m.b", "m.d").distinct())
-        chosen = picked if chosen is None else cut(chosen.unionByName(picked))
-        links = picked.join(l, "a").join(r, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        merged = _spread_components(part.select(F.col("c").alias("node_id")).distinct(), links)
-        part = cut(part.join(merged.select(F.col("node_id").alias("c"), "component"), "c").select("node_id", F.col("component").alias("c")))
-    return edges.limit(0).select("a", "b", "d") if chosen is None else chosen
+        h = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
+        inner = thin.where((F.col("degree") == 2) & (F.col("e.o") != F.col("n")) & (F.col("f.o") != F.col("n")) & (h("n") < h("e.o")) & (h("n") < h("f.o")))
+        inner = inner.select("n", F.col("e.id").alias("id"), F.col("f.id").alias("other"), F.col("e.o").alias("src"), F.col("f.o").alias("dst"), F.col("e.ok").alias("s"), F.col("f.ok").alias("t"))
+        taken = loose.select("id").distinct()
+        inner = cut(inner.join(taken, "id", "left_anti").join(taken.withColumnRenamed("id", "other"), "other", "left_anti"))
+        hung.append(loose.select("n", "o").unionByName(inner.select("n", F.col("src").alias("o"))))
+        merged.append(inner.select("id", "other"))
+        used = taken.unionByName(inner.select(F.explode(F.array("id", "other")).alias("id")))
+        live = cut(live.join(used, "id", "left_anti").unionByName(inner.select("id", "src", "dst", "s", "t")))
+        turn += 1
+    if _small(live):
+        last = cut(_in_one_task(live, _trimmed, "id long, edge boolean"))
+        kept, nodes = last.where("edge").select("id"), last.where("NOT edge").select(F.col("id").alias("n"))
+    else:
+        kept, nodes = live.select("id"), live.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
+    for on, two in zip(reversed(hung), reversed(merged), strict=True):
+        kept = cut(kept.unionByName(two.join(kept, "id", "left_semi").select(F.col("other").alias("id"))))
+        nodes = cut(nodes.unionByName(on.join(nodes.select(F.col("n").alias("o")), "o", "left_semi").select("n")))
+    return cut(named.join(kept, "id", "left_semi").select("src", "dst")), nodes.select(F.col("n").alias("node_id"))
+
+
+def _trimmed(rows: list[tuple]) -> list[tuple]:
+    """(id, True) of edges that stay, (node, False) of nodes of parts that keep some."""
+    at: dict[int, set[int]] = {}
+    ends, loops, stay, s = {}, set(), set(), _Sets()
+    for i, a, b, ka, kb in rows:
+        ends[i] = (a, b)
+        at.setdefault(a, set()).add(i)
+        at.setdefault(b, set()).add(i)
+        stay |= {n for n, k in ((a, ka), (b, kb)) if k}
+        loops |= {a} if a == b else set()
+        s.join(a, b)
+    line = [n for n, e in at.items() if len(e) == 1 and n not in stay and n not in loops]
+    while line:
+        n = line.pop()
+        if not at[n]:  # the last of two that faced each other
+            continue
+        i = at[n].pop()
+        hub = sum(ends[i]) - n
+        at[hub].discard(i)
+        del ends[i]
+        if len(at[hub]) == 1 and hub not in stay and hub not in loops:
+            line.append(hub)
+    roots = {s.find(a) for a, _ in ends.values()}
+    return [(i, True) for i in ends] + [(n, False) for n in at if s.find(n) in roots]
 
 
 def prune_leaves(nodes: DataFrame, edges: DataFrame, shortest: float) -> tuple[DataFrame, DataFrame]:
@@ -194,16 +267,30 @@ def prune_leaves(nodes: DataFrame, edges: DataFrame, shortest: float) -> tuple[D
         # a row (node, node) names a node that goes, any other one an edge that stays
         left = nodes.join(kept.where("gone").select(F.col("src").alias("node_id")), "node_id", "left_anti")
         return (nodes, edges) if left.limit(2).count() < 2 else (left, kept.where("NOT gone").select("src", "dst"))
-    return _spread_prune(nodes, edges, lengths, shortest)
-
-
-def _pruned(rows: list[tuple], shortest: float) -> list[tuple]:
+    # ends of long edges never go, so where any edge stays the order of passes tells at most which node of a short tree is its last
+    stay = lengths.where(F.col("length") >= shortest).select(F.explode(F.array("src", "dst")).alias("node_id"))
+    kept, held = trimmed(lengths.select("src", "dst"), stay)
+    if kept.isEmpty():
+        return _spread_prune(nodes, edges, lengths, shortest)
+    held = cut(held)
+    short = cut(lengths.join(held.select(F.col("node_id").alias("src")), "src", "left_anti").select("src", "dst", "length"))
+    if _small(short):
+        rest = _in_one_task(short, lambda rows: _pruned(rows, shortest, 2), "src long, dst long, gone boolean").where("gone").select(F.col("src").alias("node_id"))
+    else:
+        ends = short.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        rest = ends.join(_spread_prune(ends, short, short, shortest, 2)[0], "node_id", "left_anti")
+    gone = held.join(kept.select(F.explode(F.array("src", "dst")).alias("node_id")), "node_id", "left_anti").unionByName(rest)
+    return nodes.join(gone, "node_id", "left_anti"), kept
+
+
+def _pruned(rows: list[tuple], shortest: float, others: int = 0) -> list[tuple]:
+    """Rows as in :func:`prune_leaves`; ``others`` are nodes with edges elsewhere."""
     near: dict[int, dict[int, float]] = {}
     for a, b, d in rows:
         near.setdefault(a, {})[b] = d
         near.setdefault(b, {})[a] = d
     gone, changed = [], True
-    joined = sum(bool(x) for x in near.values())
+    joined = others + sum(bool(x) for x in near.values())
     while changed:
         changed = False
         for n in sorted(n for n, x in near.items() if len(x) == 1):
@@ -221,7 +308,7 @@ def _pruned(rows: list[tuple], shortest: float) -> list[tuple]:
     return gone + [(a, b, False) for a, b, _ in rows if b in near[a]]
 
 
-def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shortest: float) -> tuple[DataFrame, DataFrame]:
+def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shortest: float, others: int = 0) -> tuple[DataFrame, DataFrame]:
     """Passes over the whole graph, each a few joins, until no leaf goes."""
     left, long = cut(nodes), lengths
     while True:
@@ -231,7 +318,7 @@ def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shorte
         cand = ends.where(F.col("length") < shortest).join(tips, "node_id")
         facing = tips.select(F.col("node_id").alias("hub"), F.lit(True).alias("tip"))
         cand = cut(cand.join(facing, "hub", "left").where("tip IS NULL OR node_id < hub").select("node_id", "hub"))
-        n, joined = cand.count(), degree.count()
+        n, joined = cand.count(), others + degree.count()
         if not n:
             break
         if joined - 2 * n <= 2:
@@ -252,7 +339,7 @@ def _spread_prune(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, shorte
         gone = cand.select("node_id")
         left = cut(left.join(gone, "node_id", "left_anti"))
         long = cut(long.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti").select("src", "dst", "length"))
-    if left.limit(2).count() < 2:
+    if not others and left.limit(2).count() < 2:
         return nodes, edges
     return left, long.select("src", "dst")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lumispan.functions.lineage import cut
 from lumispan.functions.quantiles import exact_quantiles
 from lumispan.functions.vectors import dist2, finite, xyz
-from lumispan.operators.graphs import _in_one_task, _Sets, _small, compact_ids, connected_components, edge_lengths
+from lumispan.operators.graphs import _in_one_task, _Sets, _small, compact_ids, connected_components, edge_lengths, trimmed
 from lumispan.operators.spatial import knn_join, range_join, voxel_downsample
 
 COLUMNS = 200_000  # columns of about four entries that a task of a round reduces
@@ -223,12 +223,7 @@ def _trimmed(tree: DataFrame, stay: DataFrame) -> DataFrame:
             return [(a, b) for a, b, _, _ in rows if b in near.get(a, ())]
 
         return _in_one_task(now, trim, "src long, dst long")
-    while True:
-        ends = now.select(F.col("src").alias("n"), F.col("s").alias("k")).unionByName(now.select(F.col("dst").alias("n"), F.col("t").alias("k")))
-        loose = cut(ends.groupBy("n").agg(F.count("*").alias("degree"), F.max("k").alias("k")).where("degree = 1 AND NOT k").select("n"))
-        if loose.isEmpty():
-            return now.select("src", "dst")
-        now = cut(now.join(loose.withColumnRenamed("n", "src"), "src", "left_anti").join(loose.withColumnRenamed("n", "dst"), "dst", "left_anti"))
+    return trimmed(tree, stay)[0]
 
 
 def detour_filter(nodes: DataFrame, edges: DataFrame, tau: float) -> DataFrame:

@@ -93,6 +93,36 @@ def test_spread_and_local_forms_agree(spark):
     assert pairs(b) == pairs(f) and same(a.select("node_id")) == same(c.select("node_id"))
 
 
+def test_contracted_graphs_end_in_few_rounds(spark, monkeypatch):
+    """A long chain, twigs, loops and whole short trees, contracted to the end: as in one task, in rounds that a chain does not add to."""
+    rng = np.random.default_rng(11)
+    chain = [(i, i + 1) for i in range(120)]
+    twigs = [(int(rng.integers(0, i)), i) for i in range(121, 150)] + [(160 + i, 161 + i) for i in range(9)] + [(180, 181), (181, 182), (180, 182), (182, 183)]
+    x = rng.uniform(size=(190, 3))
+    x[:121, 0] += np.arange(121) * 0.01
+    x[[40, 90]] += 50.0
+    n, e = nodes(spark, x), edges(spark, chain + twigs)
+    same = lambda f: {tuple(r) for r in f.collect()}
+    d = G.edge_lengths(n, e).selectExpr("src AS a", "dst AS b", "length AS d")
+    forest, (a, b) = same(G.minimum_forest(n, d)), G.prune_leaves(n, e, 3.0)
+    a, b = same(a.select("node_id")), pairs(b)
+    assert (40, 41) in b and (180, 181) in b and not any(160 <= i < 170 for p in b for i in p) and len({i for i, in a if 160 <= i < 170}) == 1
+    seen = []
+    cut = G.cut
+    monkeypatch.setattr(G, "_small", lambda f: False)
+    monkeypatch.setattr(G, "cut", lambda f: seen.append(1) or cut(f))
+    assert forest == same(G.minimum_forest(n, d))
+    kept, held = G.trimmed(e, spark.createDataFrame([(39,), (92,)], "node_id long"))
+    assert len(seen) < 100
+    monkeypatch.undo()
+    assert set(pairs(kept)) == {(i, i + 1) for i in range(39, 92)} | {(180, 181), (181, 182), (180, 182)}
+    assert {r[0] for r in same(held)} == set(range(150)) | set(range(180, 184))
+    small, first = G._small, []
+    monkeypatch.setattr(G, "_small", lambda f: bool(first) and small(f) if first or first.append(1) else False)
+    c, f = G.prune_leaves(n, e, 3.0)
+    assert pairs(f) == b and same(c.select("node_id")) == a
+
+
 def test_components_of_the_whole_graph(spark):
     from lumispan.functions import derived as D
     from lumispan.plans import graphs as P
