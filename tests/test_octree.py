@@ -128,3 +128,26 @@ def test_empty_and_tiny(spark):
     assert spatial.knn_join(one, p(one), 3, self_join=True).count() == 0
     assert spatial.range_join(none, p(one), 1.0).count() == 0 and spatial.range_join(one, p(one), -1.0).count() == 0
     assert [tuple(r)[1:] for r in features.dbscan(one.withColumnRenamed("q", "point_id"), 1.0).collect()] == [(-1, False)] * 4
+
+
+@pytest.mark.parametrize("radius", [0.5, 0.02])
+def test_dense_cells_count_as_one_place(spark, monkeypatch, radius):
+    """Dense balls, some near enough to touch, a thin line, copies and noise: as distances between all pairs say, by few of them."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(150, 3)) * 0.1, rng.normal(size=(80, 3)) * 0.05 + [0.7, 0, 0], rng.normal(size=(60, 3)) * 0.05 + [3, 3, 3], np.stack([np.linspace(-2, 2, 30), np.ones(30), np.zeros(30)], axis=1), np.repeat([[5.0, 5.0, 5.0], [5.01, 5.0, 5.0]], 3, axis=0), rng.uniform(-4, 4, (20, 3))])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= radius * radius
+    core = d.sum(axis=1) >= 5
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in x:
+        label = np.where(core, np.where(d & core[None], label[None], len(x)).min(axis=1), label)
+    label = np.where(core, label, np.where(d & core[None], label[None], len(x)).min(axis=1))
+    want = {i: (-1 if l == len(x) else int(l), bool(c)) for i, (l, c) in enumerate(zip(label, core, strict=True))}
+    monkeypatch.setattr(octree, "ONE", 10)
+    monkeypatch.setattr(octree, "LEAF", 16)
+    asked = []
+    pairs = octree.leaf_pairs
+    monkeypatch.setattr(octree, "leaf_pairs", lambda a, b, c, r: asked.append(a) or pairs(a, b, c, r))
+    cloud = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "point_id long, x double, y double, z double")
+    assert {r.point_id: (r.label, r.core) for r in octree.density_clusters(cloud, radius, 5).collect()} == want
+    counted = sum(r.n for r in asked[0].select("n").collect())
+    assert counted < (150 if radius == 0.5 else 400)
