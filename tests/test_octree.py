@@ -151,3 +151,18 @@ def test_dense_cells_count_as_one_place(spark, monkeypatch, radius):
     assert {r.point_id: (r.label, r.core) for r in octree.density_clusters(cloud, radius, 5).collect()} == want
     counted = sum(r.n for r in asked[0].select("n").collect())
     assert counted < (150 if radius == 0.5 else 400)
+
+
+def test_pairs_in_reach_pass_no_join_even_of_copies(spark):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(0, 1, (4500, 3)), np.zeros((300, 3))])
+    found = spatial.range_join(frame(spark, x, "q"), frame(spark, x, "p"), 0.3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert {(r.q, r.p) for r in found.select("q", "p").collect()} == set(zip(*np.nonzero(d <= 0.3 * 0.3), strict=True))
+
+
+def test_leaves_may_be_wide_from_a_level_down(spark):
+    placed = spark.range(5000).select(F.lpad(F.conv((F.col("id") * 7919).cast("string"), 10, 8), octree.DEPTH, "0").alias("code"))
+    assert octree.with_leaf(placed, 5000, level=0).groupBy("leaf").count().count() < octree.with_leaf(placed, 5000).groupBy("leaf").count().count()
