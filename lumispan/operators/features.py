@@ -213,12 +213,12 @@ def point_features(points: DataFrame, normal_radius: float, radius: float) -> Da
             theta = np.abs(np.arctan2((w * n).sum(1), (u * n).sum(1)))
             theta = np.minimum(theta, np.pi - theta)
             bins = [np.clip((x * 11).astype(int), 0, 10) + 11 * i for i, x in enumerate((alpha, phi, theta / (np.pi / 2)))]
-            yield pd.DataFrame({"q": np.tile(t["q"], 3), "bin": np.concatenate(bins).astype("int32")})
-
-    counts = pairs.mapInPandas(angles, "q long, bin int").groupBy("q", "bin").agg(F.count("*").alias("n"))
-    simple = cut(counts.join(counts.groupBy("q").agg((F.sum("n") / 3).alias("of")), "q").select("q", "bin", (F.col("n") * 100.0 / F.col("of")).alias("h")))
-    mixed = near.where("d2 > 0").join(simple.withColumnRenamed("q", "p"), "p").groupBy("q", "bin").agg(F.sum(F.col("h") / F.sqrt("d2")).alias("h"))
-    size = near.where("d2 > 0").groupBy("q").agg(F.count("*").alias("k"))
-    total = simple.unionByName(mixed.join(size, "q").select("q", "bin", (F.col("h") / F.col("k")).alias("h"))).groupBy("q", "bin").agg(F.sum("h").alias("h"))
-    bins = total.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("bin", "h"))).alias("m"))  # at most 33 entries
-    return bins.select(F.col("q").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("f"))
+            yield pd.DataFrame({"q": t["q"], **{f"bin{i}": b.astype("int32") for i, b in enumerate(bins)}})
+
+    # histograms are arrays: a row for each bin of each pair would be some twenty times the pairs
+    counts = pairs.mapInPandas(angles, "q long, bin0 int, bin1 int, bin2 int").groupBy("q").agg(F.count("*").alias("of"), F.array(*[F.count_if(F.col(f"bin{i // 11}") == i) for i in range(33)]).alias("n"))
+    simple = cut(counts.select("q", F.transform("n", lambda n: n * 100.0 / F.col("of")).alias("h")))
+    of_p = simple.select(F.col("q").alias("p"), "h")
+    weighed = near.where("d2 > 0").select("q", "p", F.sqrt("d2").alias("d")).join(of_p, "p", "left")
+    mixed = weighed.groupBy("q").agg(F.count("*").alias("k"), F.array(*[F.sum(F.coalesce(F.get("h", F.lit(i)) / F.col("d"), F.lit(0.0))) for i in range(33)]).alias("m"))
+    return simple.join(mixed, "q").select(F.col("q").alias("id"), F.zip_with("h", "m", lambda h, m: h + m / F.col("k")).alias("f"))

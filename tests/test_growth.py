@@ -54,3 +54,11 @@ def test_growth_follows_a_line(spark):
     assert 15 <= len(base) <= 40 and len(grown) > len(base)
     assert np.abs(grown[:, 1:]).max() < 1.0
     assert grown[:, 0].max() > base[:, 0].max() + 1 and grown[:, 0].min() < base[:, 0].min() - 1
+
+
+def test_point_features_make_no_row_for_each_bin(spark):
+    rows = [(i, float(v[0]), float(v[1]), float(v[2])) for i, v in enumerate(np.random.default_rng(2).normal(0, 0.2, (60, 3)))]
+    found = E.point_features(spark.createDataFrame([*rows, (60, 99.0, 99.0, 99.0)], "point_id long, x double, y double, z double"), 0.3, 0.3)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.f for r in found.collect()}
+    assert 60 not in got and all(len(f) == 33 and abs(sum(f[:11]) - sum(f[22:])) < 1e-6 and sum(f) >= 300 - 1e-6 for f in got.values())
