@@ -308,8 +308,9 @@ def nearest(queries: DataFrame, points: DataFrame | Tree, k: int, radius: float
         chunks = int(p.column("chunks")[0].as_py()) if p.num_rows else 1
         return pa.table({"q": pa.array(whole(names), pa.int64()), "p": pa.array(whole(rows), pa.int64()), "d2": pa.array(both[0]), "rank": pa.array(both[1].astype(np.int32)), "chunks": pa.array(np.full(both.shape[1], chunks, np.int32))})
 
-    left = pairs.select("qleaf", "chunk").distinct().join(askers.withColumnRenamed("leaf", "qleaf"), "qleaf").select(*[F.col(c).alias(f"q_{c}") for c in ("qleaf", "chunk", "pos", "xs", "ys", "zs")])
-    right = pairs.join(leaves.withColumnRenamed("leaf", "pleaf"), "pleaf").select("qleaf", "chunk", "chunks", "ids", "xs", "ys", "zs")
+    # rows of points are merged: a broadcast would pass them through the driver, in each step of a registration
+    left = pairs.select("qleaf", "chunk").distinct().join(askers.withColumnRenamed("leaf", "qleaf").hint("merge"), "qleaf").select(*[F.col(c).alias(f"q_{c}") for c in ("qleaf", "chunk", "pos", "xs", "ys", "zs")])
+    right = pairs.join(leaves.withColumnRenamed("leaf", "pleaf").hint("merge"), "pleaf").select("qleaf", "chunk", "chunks", "ids", "xs", "ys", "zs")
     found = cut(left.groupBy("q_qleaf", "q_chunk").cogroup(right.groupBy("qleaf", "chunk")).applyInArrow(meet, "q long, p long, d2 double, rank int, chunks int"))
     merged = found.where("chunks > 1").withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "p"))).where(F.col("rank") <= k)
     out = found.where("chunks = 1").unionByName(merged).drop("chunks")
@@ -349,7 +350,7 @@ def _bounded(askers: DataFrame, leaves: DataFrame, cube: Cube, need: int, radius
             yield pa.RecordBatch.from_arrays([batch.column("qleaf"), pa.array(best, pa.float64())], names=["qleaf", "known2"])
 
     side = lambda d, s: d.select(F.col("leaf").alias(f"{s}leaf"), *[F.col(f"{c}s").alias(f"{s}{c}s") for c in "xyz"])
-    tried = first.where(F.col("pn") >= need).select("qleaf", "pleaf").join(side(askers, "q"), "qleaf").join(side(leaves, "p"), "pleaf").drop("pleaf").mapInArrow(kth, "qleaf string, known2 double")
+    tried = first.where(F.col("pn") >= need).select("qleaf", "pleaf").join(side(askers, "q").hint("merge"), "qleaf").join(side(leaves, "p").hint("merge"), "pleaf").drop("pleaf").mapInArrow(kth, "qleaf string, known2 double")
     bounds = first.select("qleaf", "far2").join(tried, "qleaf", "left").select("qleaf", F.least(F.coalesce("far2", F.lit(float("inf"))), F.coalesce("known2", F.lit(float("inf")))).alias("bound"))
     return near.join(bounds, "qleaf").where(F.col("near2") <= F.col("bound")).select("qleaf", "pleaf")
 
