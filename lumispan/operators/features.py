@@ -89,11 +89,10 @@ def spread_picks(points: DataFrame, share: float, k: int, least: int) -> DataFra
         x, ids = x[rows], ids[rows]
         lists: list[list[int]] = [[]] * len(x)
         if len(x) >= least:
-            lists, order = [], np.argsort(ids, kind="stable")  # ties to the smaller id
-            for i in range(0, len(x), 256):
-                d = ((x[i : i + 256, None] - x[None, order]) ** 2).sum(axis=2)
-                d[np.arange(len(d)), np.argsort(order)[i : i + len(d)]] = np.inf
-                lists += ids[order][np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]].tolist()
+            lists, most = [], min(k, len(x) - 1)
+            for at, d in octree._blocks(x, x):
+                d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+                lists += octree._best(d, ids, most, np.inf)[1].reshape(-1, most).tolist()  # ties to the smaller id
         return pa.table({"label": pa.array(np.full(len(x), t.column("label")[0].as_py(), np.int64)), "point_id": ids, **{c: np.ascontiguousarray(x[:, i]) for i, c in enumerate("xyz")}, "near": pa.array(lists, pa.list_(pa.int64()))})
 
     typed = points.select(F.col("label").cast("long").alias("label"), F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])

@@ -445,16 +445,20 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
         found = spark.range(1, numPartitions=1).mapInArrow(lambda batches: _clustered(held, place, radius * radius, least), "pos long, component long, core boolean")
         return points.select("point_id").join(found, F.col("point_id") == F.col("pos"), "left").select("point_id", F.coalesce("component", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
     named = points.select(F.col("point_id").cast("long").alias("q"), "x", "y", "z").withColumn("p", F.col("q"))
+    if radius == 0:  # only copies of a place are near each other
+        held = positions(named, "p").where(F.col("weight") >= least).select("x", "y", "z", F.col("pos").alias("component"), F.lit(True).alias("core"))
+        return _at_places(points, held)
     cube, places, _, leafed, _ = _sides(named, named, "q", "p")
     most = radius * radius
     level = min(DEPTH, max(0, math.ceil(math.log2(cube.side * math.sqrt(3) / radius)))) if radius > 0 else DEPTH
-    leafed = cut(leafed.withColumn("cell", F.substring("code", 1, level)).withColumn("leaf", F.expr(f"substring(code, 1, greatest({level}, length(leaf)))")))
+    leafed = cut(leafed.withColumn("cell", F.substring("code", 1, level)))
     # cells in which all are within the radius of each other and that hold enough: each one is a part of a cluster, all core
     box = [f(c).alias(n + c) for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"]
     wide = [F.col("hi" + c) - F.col("lo" + c) for c in "xyz"]
     full = cut(leafed.groupBy("cell").agg(F.sum("weight").alias("n"), F.min("pos").alias("rep"), *box).where((F.col("n") >= least) & (wide[0] * wide[0] + wide[1] * wide[1] + wide[2] * wide[2] <= most)))
     loose = cut(leafed.join(full.select("cell"), "cell", "left_anti"))
-    solid = cut(leafed.join(full.select("cell", "rep"), "cell"))
+    # a full cell is a leaf of its own; others stay as wide as LEAF lets them, as a row of few positions costs Python as much as one of many
+    solid = cut(leafed.join(full.select("cell", "rep"), "cell").withColumn("leaf", F.expr(f"substring(code, 1, greatest({level}, length(leaf)))")))
     leaves, asking, firm = cut(packed(leafed, ["weight"])), cut(packed(loose)), cut(packed(solid, ["rep"]))
 
     def counts(batches):
@@ -537,7 +541,11 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
 
     reach = meet(leaf_pairs(rest, labelled, cube, radius), rest, labelled, "component").mapInArrow(border, "pos long, component long").groupBy("pos").agg(F.min("component").alias("component"))
     found = parts.withColumn("core", F.lit(True)).unionByName(reach.withColumn("core", F.lit(False)))
-    labels = places.select("pos", "x", "y", "z").join(found, "pos", "left")
+    return _at_places(points, places.select("pos", "x", "y", "z").join(found, "pos").drop("pos"))
+
+
+def _at_places(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(point_id, label, core) of points from the places (x, y, z, component, core) that are in a cluster."""
     at = points.select(F.col("point_id"), *[(F.col(c).cast("double") + 0.0).alias(c) for c in "xyz"])
     return at.join(labels, ["x", "y", "z"], "left").select("point_id", F.coalesce("component", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
 

@@ -166,3 +166,19 @@ def test_pairs_in_reach_pass_no_join_even_of_copies(spark):
 def test_leaves_may_be_wide_from_a_level_down(spark):
     placed = spark.range(5000).select(F.lpad(F.conv((F.col("id") * 7919).cast("string"), 10, 8), octree.DEPTH, "0").alias("code"))
     assert octree.with_leaf(placed, 5000, level=0).groupBy("leaf").count().count() < octree.with_leaf(placed, 5000).groupBy("leaf").count().count()
+
+
+@pytest.mark.parametrize(("radius", "most"), [(0.05, 100), (0.0, 0)])
+def test_thin_clusters_take_few_leaves(spark, monkeypatch, radius, most):
+    """Lines and copies without full cells: leaves are as wide as their number of positions lets them; at radius 0 there are none."""
+    x = np.concatenate([np.stack([np.full(200, i), np.arange(200) * 0.04, np.zeros(200)], axis=1) for i in range(3)] + [np.repeat([[0.0, 9.0, 9.0]], 6, axis=0), np.repeat([[0.0, 9.5, 9.0]], 4, axis=0)])
+    monkeypatch.setattr(octree, "ONE", 10)
+    monkeypatch.setattr(octree, "LEAF", 32)
+    asked = []
+    pairs = octree.leaf_pairs
+    monkeypatch.setattr(octree, "leaf_pairs", lambda a, b, c, r: asked.append(a) or pairs(a, b, c, r))
+    points = frame(spark, x, "point_id")
+    got = {tuple(r) for r in features.dbscan(points, radius, 3 if radius else 5).collect()}
+    assert {g for g in got if g[0] < 10**9} == clusters(x, radius, 3 if radius else 5)
+    assert {g for g in got if g[0] >= 10**9} == {(10**9 + i, -1, False) for i in range(3)}
+    assert sum(a.count() for a in asked[:1]) <= most and (radius > 0) == bool(asked)
