@@ -1,5 +1,7 @@
 """Keyed state over tables and over streams of three batches, against plain folds over the whole log."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +124,23 @@ def test_keys_and_flight_of_a_table(spark):
     assert [tuple(r) for r in K.cameras(odd).collect()] == [(1, 5, 0, 0, 0, 0, 0, 0, 0.0, -89.0, 0)]
 
 
+
+def test_a_step_of_a_camera_makes_no_arrays(monkeypatch):
+    """Arrays of three took most of a tick's time; numbers that are not finite stay as they were with them."""
+    for name in ("array", "radians", "sqrt", "zeros"):
+        monkeypatch.delattr(np, name)
+    camera = K._Camera(5.0, 20.0, 8.0, 0.1)
+    camera.open(K._InTask())
+    camera.load()
+    for row in [("down", "d", None, None), ("look", None, 900.0, 0.0)]:
+        assert camera.step(SimpleNamespace(seq=0, **dict(zip(("kind", "key", "a", "b"), row, strict=True)))) == []
+    ((seq, *at),) = camera.step(SimpleNamespace(seq=1, kind="tick", key=None, a=0.05, b=None))
+    assert seq == 1 and abs(at[5] - 20 * 0.05 * 0.6) < 1e-12 and abs(at[2] - 0.03) < 1e-12 and abs(at[0]) < 1e-12
+    assert camera.step(SimpleNamespace(seq=2, kind="look", key=None, a=float("inf"), b=0.0)) == []
+    ((_, *at),) = camera.step(SimpleNamespace(seq=3, kind="tick", key=None, a=0.05, b=None))
+    assert all(x != x for x in (at[0], at[2], at[3], at[5])) and at[1] == at[4] == 0.0
+
+
 def plain_pairs(rows):
     active, pairs = None, []
     for _, _, kind, idx in sorted(rows, key=lambda r: r[1]):
