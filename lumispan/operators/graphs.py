@@ -121,34 +121,48 @@ def _in_one_task(rows: DataFrame, work, schema) -> DataFrame:
     return rows.coalesce(1).mapInPandas(run, schema)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node_id, component): the smallest id that edges reach, by passing minima on and jumping."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, component): the smallest id that edges reach."""
     edges = cut(undirected(edges))
-    if _small(edges):
+    if not _small(edges):
+        return _spread_components(nodes, edges)
+    return _labelled(nodes, _in_one_task(edges.select("src", "dst"), _joined, "id long, component long"))
 
-        def label(rows):
-            s = _Sets()
-            for a, b in rows:
-                s.join(a, b)
-            return [(x, s.find(x)) for x in list(s.up)]
 
-        found = _in_one_task(edges.select("src", "dst"), label, "id long, c long")
-        return nodes.select("node_id").join(found, F.col("node_id") == F.col("id"), "left").select("node_id", F.coalesce("c", "node_id").alias("component"))
-    return _spread_components(nodes, edges, rounds)
+def _joined(rows: list[tuple]) -> list[tuple]:
+    s = _Sets()
+    for a, b in rows:
+        s.join(a, b)
+    return [(x, s.find(x)) for x in list(s.up)]
 
 
-def _spread_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    ways = cut(undirected(edges).select("src", "dst").unionByName(undirected(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    now = cut(nodes.select("node_id", F.col("node_id").alias("component")))
-    for _ in range(rounds):
-        seen = ways.join(now.select(F.col("node_id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("c"))
-        step = now.join(seen, now.node_id == seen.src, "left").select("node_id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        up = step.select(F.col("node_id").alias("component"), F.col("component").alias("up"))
-        new = cut(step.join(up, "component", "left").select("node_id", F.coalesce("up", "component").alias("component")))
-        if new.join(now, ["node_id", "component"], "left_anti").isEmpty():
-            return new
-        now = new
-    raise RuntimeError("components did not settle")
+def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.select("node_id").join(found, F.col("node_id") == F.col("id"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+def _spread_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rounds in which every part joins the first of its neighbours, by a hash, if that comes before itself.
+
+    So a round leaves about half of the parts that have edges, however ids lie along a path, and of the edges between two parts one
+    stays; what is small enough ends in one task. The smallest ids are taken at the end.
+    """
+    live, steps = cut(edges.where("src != dst").select("src", "dst")), []
+    while not live.isEmpty() and not _small(live):
+        h = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("o"))  # noqa: E731, B023
+        way = lambda a, b: F.struct(F.col(a).alias("c"), h(b).alias("m"))  # noqa: E731, B023
+        first = live.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("w")).groupBy("w.c").agg(F.min("w.m").alias("m"))
+        to = cut(first.withColumn("o", F.when(F.col("m") < h("c"), F.col("m.o")).otherwise(F.col("c"))).select("c", "o", (F.col("o") != F.col("c")).alias("moved")))
+        while not to.where("moved").isEmpty():
+            to = cut(to.join(to.select(F.col("c").alias("o"), F.col("o").alias("next")), "o").select("c", F.col("next").alias("o"), (F.col("next") != F.col("o")).alias("moved")))
+        steps.append(to.select("c", "o"))
+        name = lambda n: to.select(F.col("c").alias(n), F.col("o").alias("new" + n))  # noqa: E731, B023
+        moved = live.join(name("src"), "src").join(name("dst"), "dst").where("newsrc != newdst")
+        live = cut(moved.select(F.least("newsrc", "newdst").alias("src"), F.greatest("newsrc", "newdst").alias("dst")).distinct())
+    found = cut(_in_one_task(live, _joined, "id long, part long"))
+    for to in reversed(steps):  # a step has a row for each part that had edges then
+        found = cut(to.join(found, F.col("o") == F.col("id"), "left").select(F.col("c").alias("id"), F.coalesce("part", "o").alias("part")))
+    least = found.groupBy("part").agg(F.min("id").alias("component"))
+    return _labelled(nodes, found.join(least, "part").select("id", "component"))
 
 
 def minimum_forest(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:

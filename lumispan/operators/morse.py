@@ -54,32 +54,33 @@ def elder_pairs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(rank, v): edges that join two parts, and the younger one's oldest vertex, by the order (f, v)."""
     full = edges.select("rank", "u", "w").join(vertices.select(F.col("v").alias("u"), F.col("f").alias("fu")), "u").join(vertices.select(F.col("v").alias("w"), F.col("f").alias("fw")), "w")
     full = cut(full.select("rank", "u", "fu", "w", "fw"))
-    if not _small(full):
-        return _spread_elder(vertices, full.select("rank", "u", "w"))
+    return _in_one_task(full, _elders, "rank long, v long") if _small(full) else _spread_elder(vertices, full.select("rank", "u", "w"))
 
-    def pair(rows):
-        s, born, out = _Sets(), {}, []
-        for rank, u, fu, w, fw in sorted(rows):
-            a, b = s.find(u), s.find(w)
-            x, y = born.setdefault(a, (fu, u)), born.setdefault(b, (fw, w))
-            if s.join(a, b):
-                out.append((rank, max(x, y)[1]))
-                born[s.find(a)] = min(x, y)
-        return out
 
-    return _in_one_task(full, pair, "rank long, v long")
+def _elders(rows: list[tuple]) -> list[tuple]:
+    s, born, out = _Sets(), {}, []
+    for rank, u, fu, w, fw in sorted(rows):
+        a, b = s.find(u), s.find(w)
+        x, y = born.setdefault(a, (fu, u)), born.setdefault(b, (fw, w))
+        if s.join(a, b):
+            out.append((rank, max(x, y)[1]))
+            born[s.find(a)] = min(x, y)
+    return out
 
 
 def _spread_elder(vertices: DataFrame, live: DataFrame) -> DataFrame:
     """Rounds in which every part whose first edge outwards leads to an older one ends there.
 
     At that edge the part is complete, and what lies behind the edge is at least as old as its part is known to be; the younger
-    side of the first edge of all ends in every round.
+    side of the first edge of all ends in every round. What is small enough ends in one task.
     """
     pairs = None
     while not live.isEmpty():
         f = lambda n: vertices.select(F.col("v").alias(n), F.col("f").alias("f" + n))
         full = live.join(f("u"), "u").join(f("w"), "w")
+        if _small(live):
+            last = _in_one_task(full.select("rank", "u", "fu", "w", "fw"), _elders, "rank long, v long")
+            return last if pairs is None else pairs.unionByName(last)
         ways = full.select(F.col("u").alias("c"), F.col("fu").alias("fc"), F.col("w").alias("o"), F.col("fw").alias("fo"), "rank").unionByName(full.select(F.col("w").alias("c"), F.col("fw").alias("fc"), F.col("u").alias("o"), F.col("fu").alias("fo"), "rank"))
         first = ways.groupBy("c").agg(F.min(F.struct("rank", "o", "fo", "fc")).alias("m"))
         ends = cut(first.where(F.struct("m.fo", "m.o") < F.struct("m.fc", "c")).select("c", "m.o", "m.rank"))

@@ -123,6 +123,24 @@ def test_contracted_graphs_end_in_few_rounds(spark, monkeypatch):
     assert pairs(f) == b and same(c.select("node_id")) == a
 
 
+def test_components_settle_however_ids_lie_along_a_path(spark, monkeypatch):
+    """Ids that fall along a path towards its other end let no smaller id pass on faster than an edge a round."""
+    far, rng = 150, np.random.default_rng(2)
+    fall = [0, *range(far, 0, -1)]
+    path = list(zip(fall, fall[1:], strict=False)) + [(int(rng.integers(200, i)), i) for i in range(201, 260)] + [(300, 301), (302, 302)]
+    n = nodes(spark, np.zeros((310, 3)))
+    want = {(i, 0 if i <= far else 200 if 200 <= i < 260 else 300 if i == 301 else i) for i in range(310)}
+    same = lambda f: {tuple(r) for r in f.collect()}
+    assert same(G.connected_components(n, edges(spark, path))) == want
+    seen, cut, small = [], G.cut, G._small
+    monkeypatch.setattr(G, "_small", lambda f: False)
+    monkeypatch.setattr(G, "cut", lambda f: seen.append(1) or cut(f))
+    assert same(G.connected_components(n, edges(spark, path))) == want and len(seen) < 60
+    first = []
+    monkeypatch.setattr(G, "_small", lambda f: small(f) if len(first) > 2 else bool(first.append(1)))
+    assert same(G.connected_components(n, edges(spark, path))) == want and len(first) == 3
+
+
 def test_components_of_the_whole_graph(spark):
     from lumispan.functions import derived as D
     from lumispan.plans import graphs as P

@@ -65,6 +65,13 @@ def test_persistence(spark, monkeypatch, most, local):
         assert {r.rank: (r.joins, r.persistence) for r in morse.persistence(v, e, t).collect()} == want
 
 
+def test_parts_end_in_one_task_after_a_round(spark, monkeypatch):
+    v, e, _ = morse.weighted_rips(frame(spark, np.random.default_rng(5).normal(size=(70, 3))), 5)
+    want, turns = {tuple(r) for r in morse.elder_pairs(v, e).collect()}, []
+    monkeypatch.setattr(morse, "_small", lambda d: len(turns) > 1 or bool(turns.append(1)))
+    assert {tuple(r) for r in morse.elder_pairs(v, e).collect()} == want and len(turns) == 2 and len(want) > 50
+
+
 def test_a_dense_cloud_has_a_column_for_each_loop(spark):
     """Of 5984 triangles, 528 loops are reduced, as the plain reduction of all triangles says."""
     x = np.random.default_rng(9).normal(size=(34, 3))
