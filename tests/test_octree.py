@@ -163,6 +163,32 @@ def test_pairs_in_reach_pass_no_join_even_of_copies(spark):
     assert {(r.q, r.p) for r in found.select("q", "p").collect()} == set(zip(*np.nonzero(d <= 0.3 * 0.3), strict=True))
 
 
+def test_points_are_sent_for_groups_and_not_for_each_leaf_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x, y = np.vstack([rng.uniform(0, 1, (1500, 3)), np.full((150, 3), 0.5)]), rng.uniform(0, 1, (700, 3))
+    for name, value in (("ONE", 10), ("LEAF", 16), ("WIDE", 16), ("GROUP", 400), ("SHARE", 10**5)):
+        monkeypatch.setattr(octree, name, value)
+    seen, send = [], octree.sent
+
+    def spy(pairs, mine, theirs):
+        n = lambda d, s: d.groupBy(F.col("leaf").alias(s + "leaf")).agg(F.sum(F.size("pos")).alias(s + "n"), F.count("*").alias(s + "rows"))
+        for d in (mine, theirs):
+            held = d.groupBy("group").agg(F.sum(F.size("pos")).alias("n"))
+            assert held.agg(F.max("n")).first()[0] <= 400 + 60 and held.count() >= 4
+        each = pairs.join(n(mine, "q"), "qleaf").join(n(theirs, "p"), "pleaf").agg(F.sum(F.col("qn") * F.col("prows") + F.col("pn") * F.col("qrows"))).first()[0]
+        out = send(pairs, mine, theirs)
+        seen.append((each, out.agg(F.sum(F.size("pos"))).first()[0]))
+        return out
+
+    monkeypatch.setattr(octree, "sent", spy)
+    for a, b in ((x, x), (y, x)):
+        found = spatial.range_join(frame(spark, a, "q"), frame(spark, b, "p"), 0.3)
+        got = [(r.q, r.p) for r in found.select("q", "p").collect()]
+        d = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        assert len(got) == len(set(got)) and set(got) == set(zip(*np.nonzero(d <= 0.3 * 0.3), strict=True))
+    assert len(seen) == 2 and all(now < each / 4 for each, now in seen), seen
+
+
 def test_leaves_may_be_wide_from_a_level_down(spark):
     placed = spark.range(5000).select(F.lpad(F.conv((F.col("id") * 7919).cast("string"), 10, 8), octree.DEPTH, "0").alias("code"))
     assert octree.with_leaf(placed, 5000, level=0).groupBy("leaf").count().count() < octree.with_leaf(placed, 5000).groupBy("leaf").count().count()
